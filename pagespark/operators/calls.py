@@ -174,7 +174,7 @@ NUMERIC = "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|TINYINT|SMALLINT|INT)$"
 TYPE_PATTERN = {
     "string": "^STRING$", "url": "^STRING$", "bool": "^BOOLEAN$", "number": NUMERIC, "int": NUMERIC,
     "strings": "^ARRAY", "urls": "^ARRAY", "objects": "^ARRAY", "object": "^OBJECT",
-    "text_or_number": f"^STRING$|{NUMERIC}", "grant": "^STRING$|^ARRAY",
+    "text_or_number": f"^STRING$|{NUMERIC}", "bool_or_object": "^BOOLEAN$|^OBJECT", "grant": "^STRING$|^ARRAY",
 }
 
 # Permissions that can be granted.
@@ -202,7 +202,7 @@ def _check(r: Column, v: Column) -> Column:
     listed = t.isin("strings", "urls") | ((t == "grant") & kind.startswith("ARRAY"))
     return (
         F.when(v.isNull(), F.when(r["required"], "invalid_type"))
-        .when(~typed, F.when(t.isin("text_or_number", "grant"), "invalid_union").otherwise("invalid_type"))
+        .when(~typed, F.when(t.isin("text_or_number", "grant", "bool_or_object"), "invalid_union").otherwise("invalid_type"))
         .when((t == "int") & (number != F.floor(number)), "invalid_type")
         .when(r["words"].isNotNull() & ~F.array_contains(r["words"], F.coalesce(text, F.lit(""))), "invalid_value")
         .when((t == "url") & ~_is_url(text), "invalid_format")
@@ -251,13 +251,15 @@ def handler_problem(tool: Column, fields: Column) -> Column:
     both_or_none = (text("selector") != "") == (text("condition") != "")
     half = given("viewport_width") != given("viewport_height")
     action = text("action")
+    n_cookies = F.json_array_length(F.to_json(F.try_element_at(fields, F.lit("cookies"))))
     return (
         F.when((tool == "browser_wait") & both_or_none, "provide exactly one of `selector` or `condition`")
         .when((tool == "browser_configure") & half, "viewport_width and viewport_height must be set together.")
-        .when((tool == "browser_storage") & action.isin("set", "remove") & (text("key") == ""),
-              F.concat(F.lit("`key` required for action='"), action, F.lit("'")))
-        .when((tool == "browser_storage") & (action == "set") & ~given("value"), "`value` required for action='set'")
-        .when((tool == "browser_cookies") & (action == "set") & ~given("cookies"),
+        .when((tool == "browser_storage") & (action == "set") & ~(given("key") & given("value")),
+              "`key` and `value` are required for action='set'")
+        .when((tool == "browser_storage") & (action == "remove") & ~given("key"),
+              "`key` is required for action='remove'")
+        .when((tool == "browser_cookies") & (action == "set") & (F.coalesce(n_cookies, F.lit(0)) == 0),
               "`cookies` array required for action='set'")
         .when((tool == "browser_download_wait") & (action == "navigate") & (text("url") == ""),
               "url required for action='navigate'")

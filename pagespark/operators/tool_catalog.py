@@ -81,6 +81,7 @@ select_option | by | string | in=value,label,index default="value"
 select_option | values | strings | required min=1 max=64 item=1024
 check | checked | bool | default=true
 fill_form | fields | objects | required min=1 max=64
+fill_form | submit | bool_or_object |
 scroll | direction | string | in=up,down,top,bottom default="down"
 scroll | amount | int | min=1 default=800
 find | query | string | required

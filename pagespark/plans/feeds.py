@@ -148,3 +148,212 @@ def held_sessions(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("ts_ms") + F.col("k") * 120_000).alias("end_ms"),
         (F.col("ts_ms") + F.col("k") * 120_000).alias("last_ms"),
     )
+
+
+def kv_log(spark: SparkSession, sf: str) -> DataFrame:
+    e, k = F.col("event_type"), F.col("k")
+    return base(spark, sf).select(
+        "profile", F.concat(F.lit("o"), (F.col("user_id") % 5).cast("string")).alias("origin"),
+        F.when(k % 2 == 0, "local").otherwise("session").alias("area"),
+        F.when(e == "view", "get").when(e == "purchase", "remove")
+        .when((e == "error") & (k % 20 == 0), "clear").otherwise("set").alias("action"),
+        F.concat(F.lit("key"), (k % 5).cast("string")).alias("key"),
+        F.when(k % 13 != 0, k.cast("string")).alias("value"),
+        "ts_ms", "seq",
+    )
+
+
+def cookie_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Set calls with two cookies (one by domain, one by url), clears, and refused calls without a path."""
+    e, k = F.col("event_type"), F.col("k")
+    by_domain = F.struct(
+        F.concat(F.lit("c"), (k % 7).cast("string")).alias("name"),
+        F.concat(F.lit("v"), k.cast("string")).alias("value"),
+        F.when(k % 3 == 0, ".example.com").when(k % 3 == 1, "api.example.com").otherwise("www.example.com").alias("domain"),
+        F.when(e != "purchase", F.when(k % 4 == 0, "/view").otherwise("/")).alias("path"),
+        F.lit(None).cast("string").alias("url"),
+        F.when(k % 5 == 0, F.lit(-1)).when(k % 5 == 1, F.lit(None)).otherwise(1_704_067_200 + k * 86_400).cast("double").alias("expires"),
+        (k % 2 == 0).alias("httpOnly"), (k % 3 == 0).alias("secure"),
+        F.when(k % 4 == 1, "Lax").when(k % 4 == 2, "Strict").alias("sameSite"),
+    )
+    by_url = F.struct(
+        F.concat(F.lit("u"), (k % 3).cast("string")).alias("name"), F.col("value").cast("string").alias("value"),
+        F.lit(None).cast("string").alias("domain"), F.lit(None).cast("string").alias("path"), _url().alias("url"),
+        F.lit(None).cast("double").alias("expires"), F.lit(False).alias("httpOnly"), F.lit(False).alias("secure"),
+        F.lit(None).cast("string").alias("sameSite"),
+    )
+    return base(spark, sf).filter(e != "view").select(
+        "profile", "seq",
+        F.when((e == "error") & (k % 25 == 0), "clear").otherwise("set").alias("action"),
+        F.array(by_domain, by_url).alias("cookies"),
+    )
+
+
+def dialog_policies(spark: SparkSession, sf: str) -> DataFrame:
+    e, k = F.col("event_type"), F.col("k")
+    return base(spark, sf).filter(e.isin("signup", "purchase")).select(
+        "profile", "ts_ms", "seq", F.when(k % 3 == 0, "dismiss").otherwise("accept").alias("action"),
+        F.when(k % 4 != 0, F.concat(F.lit("answer "), k.cast("string"))).alias("prompt_text"),
+        (k % 2 == 1).alias("persist"),
+    )
+
+
+def dialogs(spark: SparkSession, sf: str) -> DataFrame:
+    return base(spark, sf).filter(F.col("event_type") == "click").select("profile", "ts_ms", "seq")
+
+
+def permission_log(spark: SparkSession, sf: str) -> DataFrame:
+    e, k = F.col("event_type"), F.col("k")
+    return base(spark, sf).filter(e != "view").select(
+        "profile", "seq",
+        F.when((e == "error") & (k % 30 == 0), "none").when(k % 3 == 0, "all").otherwise("list").alias("grant"),
+        F.when(k % 2 == 0, F.array(F.lit("camera"), F.lit("midi"))).otherwise(F.array(F.lit("geolocation"))).alias("permissions"),
+        F.when(k % 4 == 1, F.concat(F.lit("https://o"), (k % 9).cast("string"), F.lit(".example.com")))
+        .when(k % 4 == 2, "ftp://files.example.com").alias("origin"),
+        F.when(k % 8 == 0, "about:blank").when(k % 5 != 0, _url()).alias("current_url"),
+    )
+
+
+def geo_log(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("k")
+    return base(spark, sf).select(
+        "profile", "seq",
+        F.when(k == 0, 95.0).otherwise((k - 50).cast("double")).alias("latitude"),
+        (k * 2 - 100).cast("double").alias("longitude"),
+        F.when(k % 3 == 0, F.lit(None)).when(k % 7 == 1, -1.0).otherwise(k.cast("double")).cast("double").alias("accuracy"),
+    )
+
+
+def settings_log(spark: SparkSession, sf: str) -> DataFrame:
+    e, k = F.col("event_type"), F.col("k")
+
+    def pick(names: str, n: int):
+        return F.element_at(F.array(*[F.lit(x) for x in names.split()]), k % n + 1)
+
+    none = F.lit(None)
+    return base(spark, sf).select(
+        "profile", "seq",
+        F.when((e == "purchase") & (k % 9 == 0),
+               pick("iphone-15 iphone-se ipad ipad-pro pixel-8 galaxy-s24 desktop-retina", 7)).alias("device_preset"),
+        F.when(e == "view", pick("mobile tablet desktop desktop-hd desktop-2k", 5)).alias("viewport_preset"),
+        F.when((e == "view") & (k % 3 == 0), 600 + k).alias("viewport_width"),
+        F.when((e == "view") & (k % 6 == 0), 400 + k).alias("viewport_height"),
+        F.when((e == "error") & (k % 10 == 0), k / 10.0 + 1).cast("double").alias("device_scale_factor"),
+        F.when((e == "error") & (k % 14 == 0), k % 4 == 0).alias("is_mobile"),
+        F.when((e == "click") & (k % 3 == 0), F.concat(F.lit("agent/"), k.cast("string"))).alias("user_agent"),
+        F.when(e == "click", pick("chrome-desktop chrome-mobile safari-desktop safari-mobile firefox-desktop", 5)).alias("ua_preset"),
+        F.when(e.isin("signup", "error") & (k % 4 == 0), pick("en-US ru-RU ja-JP de-DE", 3)).alias("locale"),
+        F.when(e == "signup", pick("light dark no-preference", 3)).alias("color_scheme"),
+        F.when(e.isin("purchase", "error"), F.create_map(
+            F.concat(F.lit("X-H"), (k % 4).cast("string")), k.cast("string"))).otherwise(none.cast("map<string,string>")).alias("extra_headers"),
+    )
+
+
+def checked_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """URLs of many kinds spelled from ``k`` and the event type."""
+    e, k = F.col("event_type"), F.col("k")
+    s = k.cast("string")
+    return base(spark, sf).select(
+        "seq", k,
+        F.when(e == "view", F.concat(F.lit("HTTPS://Www.Example"), s, F.lit(".COM:"), (8000 + k).cast("string"), F.lit("/p?q=1")))
+        .when(e == "click", F.concat(F.lit("http://user@"), (k + 100).cast("string"), F.lit("."), (k * 2).cast("string"), F.lit(".1.2/x")))
+        .when(e == "signup", F.when(k % 4 == 0, F.concat(F.lit("file:///tmp/"), s)).when(k % 4 == 1, F.concat(F.lit("javascript:void("), s, F.lit(")")))
+              .when(k % 4 == 2, "about:blank").otherwise(F.concat(F.lit("plain text "), s)))
+        .when(e == "purchase", F.concat(F.lit("http://["), F.when(k % 3 == 0, "FD00").when(k % 3 == 1, "fe80").otherwise("2001"),
+                                        F.lit("::"), s, F.lit("]/")))
+        .otherwise(F.concat(F.lit("http://"), (k.cast("long") * 2 * 16_777_216 + 257).cast("string"), F.lit("/"))).alias("url"),
+    )
+
+
+def sandbox_requests(spark: SparkSession, sf: str) -> DataFrame:
+    e, k = F.col("event_type"), F.col("k")
+    s = k.cast("string")
+    return base(spark, sf).select(
+        "seq", F.when(k % 5 == 0, "").otherwise(F.col("profile")).alias("profile"),
+        F.when(e == "view", F.concat(F.lit("reports/./"), s, F.lit("//page.html")))
+        .when(e == "click", F.concat(F.lit("/srv/pages/downloads/"), F.col("profile"), F.lit("/f"), s))
+        .when(e == "signup", F.concat(F.lit("a/../../"), F.col("profile"), F.lit("/g"), s))
+        .when(e == "purchase", F.concat(F.repeat(F.lit("../"), k % 6), F.lit("etc/"), s))
+        .otherwise(F.concat(F.lit("..n"), s)).alias("path"),
+    )
+
+
+def tool_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Tool calls with secrets spelled from ``k``; some tools are unknown, some arguments invalid."""
+    e, k = F.col("event_type"), F.col("k")
+    s = k.cast("string")
+    name = (
+        F.when(k % 17 == 0, "browser_unknown").when(e == "view", "browser_open").when(e == "click", "browser_type")
+        .when(e == "signup", "browser_fill_form").when(e == "purchase", "browser_cookies").otherwise("browser_evaluate")
+    )
+    bad = k % 9 == 0
+    args = (
+        F.when(e == "view", F.concat(F.lit('{"url":"'), F.when(bad, "nowhere").otherwise(_url()), F.lit('","tab_id":"t'), s, F.lit('"}')))
+        .when(e == "click", F.concat(F.lit('{"target":"Password","target_type":"'), F.when(bad, "guess").otherwise("label"),
+                                     F.lit('","text":"secret-'), s, F.lit('","submit":true}')))
+        .when(e == "signup", F.concat(F.lit('{"fields":[{"target":"Email","value":"secret-'), s, F.lit('@x.org"},{"target":"Agree"'),
+                                      F.when(bad, "").otherwise(',"checked":true'), F.lit("}]}")))
+        .when(e == "purchase", F.concat(F.lit('{"action":"set","cookies":[{"name":"sid","value":"secret-'), s, F.lit('","domain":".x.org"'),
+                                        F.when(bad, "").otherwise(',"path":"/"'), F.lit("}]}")))
+        .otherwise(F.concat(F.lit('{"expression":'), F.when(bad, s).otherwise(F.concat(F.lit('"secret('), s, F.lit(')"'))), F.lit("}")))
+    )
+    return base(spark, sf).select(
+        "seq", "ts_ms", name.alias("name"), args.alias("args"), F.floor("value").alias("elapsed_ms"),
+        F.when(k % 11 == 0, F.concat(F.lit("timeout after "), s)).alias("error"),
+        (k % 11 == 0).alias("is_error"),
+        F.concat(F.lit('[{"type":"image","data":"AA"},{"type":"text","text":"done '), s, F.lit('"}]')).alias("content"),
+        F.when(k % 2 == 0, F.concat(F.lit('{"k":'), s, F.lit("}"))).alias("data"),
+    )
+
+
+def request_log(spark: SparkSession, sf: str) -> DataFrame:
+    e, k = F.col("event_type"), F.col("k")
+    s = k.cast("string")
+    url = (
+        F.when(e == "view", F.when(k % 5 == 0, "/health").when(k % 5 == 1, F.concat(F.lit("/other/"), s))
+               .when(k % 5 == 2, "/api/v1/tools").when(k % 5 == 3, "/api/v1/openapi.json").otherwise("/api/v2/x"))
+        .when(e == "click", F.concat(F.lit("/api/v1/tools/browser_read?profile="), F.when(k % 6 == 0, "bad%20name").otherwise(F.col("profile"))))
+        .when(e == "signup", F.concat(F.lit("/mcp/"), F.when(k % 7 == 0, "no.good").otherwise(F.col("profile"))))
+        .when(e == "purchase", F.concat(F.lit("/api/v1/profiles/"), F.when(k % 8 == 0, "a%2Fb").otherwise(F.col("profile"))))
+        .otherwise("/mcpfoo")
+    )
+    body = F.when(k % 10 == 0, "{broken").when(k % 10 < 5, '{"method":"initialize"}').when(k % 10 == 5, '[{"method":"ping"},{"method":"initialize"}]').otherwise('{"method":"ping"}')
+    return base(spark, sf).select(
+        "seq",
+        F.when(e == "view", F.when(k % 3 == 0, "POST").otherwise("GET"))
+        .when(e == "purchase", F.when(k % 4 == 0, "GET").otherwise("DELETE")).otherwise("POST").alias("method"),
+        url.alias("url"),
+        F.when(k % 12 == 1, "https://evil.example").when(k % 12 == 2, "https://ok.example").alias("origin"),
+        F.when(k % 16 != 3, "application/json; charset=utf-8").alias("content_type"),
+        (k % 19 != 0).alias("auth_ok"), body.alias("body"),
+        F.when(k % 23 == 0, 2_000_000).otherwise(F.length(body)).alias("body_bytes"),
+        (k % 29 == 0).alias("body_late"),
+        k.alias("live_sessions"), (k % 3 == 0).alias("known_session"), (k % 2 == 0).alias("holder_exists"),
+        F.when(k % 31 == 0, 400).otherwise(200).alias("call_status"),
+    )
+
+
+def deployments(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("k")
+    return base(spark, sf).select(
+        "seq",
+        F.when(k % 4 == 0, "127.0.0.1").when(k % 4 == 1, "::1").when(k % 4 == 2, "0.0.0.0").otherwise("box.example.com").alias("host"),
+        F.when(k % 3 == 0, "").when(k % 3 == 1, "key").alias("api_key"),
+        (k % 5 == 0).alias("allow_insecure"),
+    )
+
+
+def config_layers(spark: SparkSession, sf: str) -> DataFrame:
+    e, k = F.col("event_type"), F.col("k")
+    s = k.cast("string")
+    kind = (F.when(e == "view", "string").when(e == "click", "number").when(e == "signup", "bool")
+            .when(e == "purchase", "list").otherwise("viewport"))
+    cli = F.when(k % 3 == 0, F.when(kind == "number", F.when(k % 2 == 0, s).otherwise("abc"))
+                 .when(kind == "bool", F.when(k % 2 == 0, "true").otherwise("false"))
+                 .when(kind == "list", F.concat(F.lit("  --a=1,2   --b"), s, F.lit(" ")))
+                 .when(kind == "viewport", F.concat(s, F.lit("x"), s)).otherwise(F.concat(F.lit("cli"), s)))
+    env = F.when(k % 2 == 0, F.when(kind == "number", "1.5").when(kind == "bool", F.when(k % 4 == 0, "0").otherwise("no"))
+                 .when(kind == "list", "--env").when(kind == "viewport", "10X20").otherwise("env"))
+    fallback = (F.when(kind == "number", "7").when(kind == "bool", "true").when(kind == "list", F.lit(None))
+                .when(kind == "viewport", F.when(k % 5 == 0, "wide").otherwise("1280x900")).otherwise("default"))
+    return base(spark, sf).select("seq", kind.alias("kind"), cli.alias("cli"), env.alias("env"), fallback.alias("fallback"))
