@@ -3,16 +3,26 @@
 Hosts are normalised the way a browser's URL parser does before they are judged: lower
 case, percent-decoded, user info and port removed, numeric IPv4 spellings (decimal, hex,
 octal, short) folded to dotted form, IPv6 compressed.
+
+Every step is bound to a name with ``let``, so the expression stays linear in size however
+the optimizer moves it around; the IPv4 and IPv6 branches only run for such hosts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _NUMBER = "(?:0[xX][0-9a-fA-F]*|[0-9]+)"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _ipv4_number(label: Column) -> Column:
     """A label as an IPv4 number (hex, octal or decimal), null when it is not one."""
     digits = (
@@ -23,71 +33,75 @@ def _ipv4_number(label: Column) -> Column:
     return digits.try_cast("decimal(38,0)")
 
 
-def _ipv4(host: Column) -> Column:
-    """Dotted IPv4 of a host whose last label is numeric; 'bad' when it does not fit; null otherwise."""
-    bare = F.regexp_replace(host, "\\.$", "")
-    labels = F.split(bare, "\\.")
-    numeric = F.element_at(labels, -1).rlike(f"^{_NUMBER}$")
-    nums = F.transform(labels, _ipv4_number)
-    n = F.size(labels)
+def _dotted(nums: Column) -> Column:
+    """Dotted text of one to four IPv4 numbers (the last one fills the remaining bytes), or null."""
+    n = F.size(nums)
     last = F.element_at(nums, -1)
-    heads = F.slice(nums, 1, F.greatest(n - 1, F.lit(0)))
     fits = (
         (n <= 4) & ~F.exists(nums, lambda v: v.isNull())
-        & F.forall(heads, lambda v: v <= 255)
+        & F.forall(F.slice(nums, 1, F.greatest(n - 1, F.lit(0))), lambda v: v <= 255)
         & (last < F.pow(F.lit(256.0), (5 - n)).cast("decimal(38,0)"))
     )
     value = last.cast("long")
     for i in range(3):
-        part = F.when(n > i + 1, F.get(nums, F.lit(i)).cast("long") * (256 ** (3 - i))).otherwise(0)
-        value = value + part
-    dotted = F.concat_ws(
-        ".", *[(F.shiftright(value, s) % 256).cast("string") for s in (24, 16, 8, 0)]
-    )
-    return F.when(numeric, F.when(fits, dotted).otherwise("bad"))
+        value = value + F.when(n > i + 1, F.get(nums, F.lit(i)).cast("long") * (256 ** (3 - i))).otherwise(0)
+    return let(F.when(F.coalesce(fits, F.lit(False)), value), lambda v: F.when(v.isNotNull(), F.concat_ws(
+        ".", *[(F.shiftright(v, s) % 256).cast("string") for s in (24, 16, 8, 0)])))
 
 
-def _ipv6(inner: Column) -> Column:
-    """Compressed IPv6 of the text between brackets, or 'bad'."""
-    text = F.lower(inner)
-    tail4 = F.regexp_extract(text, "(?:^|:)((?:[0-9]{1,3}\\.){3}[0-9]{1,3})$", 1)
-    octets = F.transform(F.split(tail4, "\\."), lambda p: p.try_cast("int"))
-    pair = F.concat(
-        F.lower(F.hex(F.get(octets, F.lit(0)) * 256 + F.get(octets, F.lit(1)))), F.lit(":"),
-        F.lower(F.hex(F.get(octets, F.lit(2)) * 256 + F.get(octets, F.lit(3)))),
-    )
-    octets_ok = F.forall(octets, lambda o: o <= 255)
-    plain = F.when(
-        tail4 != "", F.when(octets_ok, F.concat(F.regexp_replace(text, "[0-9.]+$", ""), pair)).otherwise("bad")
-    ).otherwise(text)
-    halves = F.split(plain, "::", -1)
-
-    def groups(side: Column) -> Column:
-        return F.when(F.coalesce(side, F.lit("")) == "", F.array().cast("array<string>")).otherwise(
-            F.split(side, ":", -1)
-        )
+def _ipv4(name: Column) -> Column:
+    labels = F.split(F.regexp_replace(name, "\\.$", ""), "\\.")
+    return let(F.transform(labels, _ipv4_number), _dotted)
 
-    left, right = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
-    have = F.size(left) + F.size(right)
-    n_gap = F.size(halves) - 1
-    filled = F.when(
-        n_gap == 1,
-        F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - have, F.lit(0))), right),
-    ).otherwise(left)
-    ok = (
-        (n_gap <= 1) & (F.size(filled) == 8) & ((n_gap == 0) | (have <= 7))
-        & F.forall(filled, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-    )
-    joined = F.array_join(F.transform(filled, lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":")
-    short = F.when(F.lit(False), joined)
+
+def _compressed(full: Column) -> Column:
+    """Eight groups joined by colons, with the first longest run of zeros as ``::``."""
+    short = F.when(full.isNull(), F.lit(None).cast("string"))
     for run in range(8, 1, -1):
         zeros = f"^(|.*?[^:]:)0(?::0){{{run - 1}}}(|:.*)$"
         packed = F.concat(
-            F.regexp_replace(F.regexp_extract(joined, zeros, 1), ":$", ""), F.lit("::"),
-            F.regexp_replace(F.regexp_extract(joined, zeros, 2), "^:", ""),
+            F.regexp_replace(F.regexp_extract(full, zeros, 1), ":$", ""), F.lit("::"),
+            F.regexp_replace(F.regexp_extract(full, zeros, 2), "^:", ""),
+        )
+        short = short.when(full.rlike(zeros), packed)
+    return short.otherwise(full)
+
+
+def _groups(halves: Column) -> Column:
+    def side(i: int) -> Column:
+        text = F.coalesce(F.get(halves, F.lit(i)), F.lit(""))
+        return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ":", -1))
+
+    def fill(s: Column) -> Column:
+        have = F.size(s["l"]) + F.size(s["r"])
+        gap = F.size(halves) - 1
+        return F.when(
+            (gap == 1) & (have <= 7), F.concat(s["l"], F.array_repeat(F.lit("0"), 8 - have), s["r"])
+        ).when(gap == 0, s["l"])
+
+    return let(F.struct(side(0).alias("l"), side(1).alias("r")), fill)
+
+
+def _ipv6(inner: Column) -> Column:
+    """Compressed IPv6 of the text between brackets, or null."""
+
+    def with_tail(octets: Column) -> Column:
+        def pair(i: int) -> Column:
+            return F.lower(F.hex(F.get(octets, F.lit(i)) * 256 + F.get(octets, F.lit(i + 1))))
+
+        return F.when(F.size(octets) != 4, inner).when(
+            F.forall(octets, lambda o: o <= 255),
+            F.concat(F.regexp_replace(inner, "[0-9.]+$", ""), pair(0), F.lit(":"), pair(2)),
         )
-        short = short.when(joined.rlike(zeros), packed)
-    return F.when(ok, short.otherwise(joined)).otherwise("bad")
+
+    tail = F.split(F.regexp_extract(inner, "(?:^|:)((?:[0-9]{1,3}\\.){3}[0-9]{1,3})$", 1), "\\.")
+    plain = let(F.transform(tail, lambda p: p.try_cast("int")), with_tail)
+
+    def joined(groups: Column) -> Column:
+        ok = (F.size(groups) == 8) & F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(ok, F.array_join(F.transform(groups, lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":"))
+
+    return let(let(let(F.split(plain, "::", -1), _groups), joined), _compressed)
 
 
 def _private(host: Column) -> Column:
@@ -95,87 +109,113 @@ def _private(host: Column) -> Column:
 
     IPv4-mapped IPv6 and fe90: to febf: are not in the rule.
     """
-    v4 = host.rlike("^[0-9]+(\\.[0-9]+){3}$")
-    octets = F.split(host, "\\.")
-    a, b = F.get(octets, F.lit(0)).try_cast("int"), F.get(octets, F.lit(1)).try_cast("int")
-    bad4 = (
-        a.isin(0, 10, 127)
-        | ((a == 172) & b.between(16, 31))
-        | ((a == 192) & (b == 168))
-        | ((a == 169) & (b == 254))
-    )
-    v6 = host.startswith("[")
-    inner = F.regexp_replace(host, "^\\[|\\]$", "")
-    bad6 = inner.isin("::1", "::") | inner.rlike("^(fc|fd|fe80:)")
-    return F.when(v4, bad4).when(v6, bad6).otherwise(host == "localhost")
 
+    def bad4(o: Column) -> Column:
+        a, b = F.get(o, F.lit(0)), F.get(o, F.lit(1))
+        return (
+            a.isin(0, 10, 127) | ((a == 172) & b.between(16, 31))
+            | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254))
+        )
 
-def parse_url_parts(df: DataFrame, url: str) -> DataFrame:
-    """Add ``_scheme``, ``_host``, ``_port``, ``_url_ok`` for an absolute URL column."""
-    clean = F.regexp_replace(F.regexp_replace(F.col(url), "^[\\x00-\\x20]+|[\\x00-\\x20]+$", ""), "[\\t\\n\\r]", "")
-    df = df.withColumn("_clean", clean).withColumn(
-        "_scheme", F.lower(F.regexp_extract("_clean", "^([a-zA-Z][a-zA-Z0-9+.-]*):", 1))
-    )
-    web = F.col("_scheme").isin("http", "https", "ftp", "ws", "wss")
-    authority = F.regexp_extract("_clean", "^[^:]*:[/\\\\]*([^/\\\\?#]*)", 1)
-    host_port = F.regexp_extract(authority, "([^@]*)$", 1)
-    df = df.withColumn("_hp", F.when(web, host_port))
-    bracket = F.regexp_extract("_hp", "^\\[([^\\]]*)\\](?::[0-9]*)?$", 1)
-    name = F.lower(F.try_url_decode(F.regexp_replace(F.regexp_replace("_hp", ":[0-9]*$", ""), "\\+", "%2B")))
-    df = df.withColumn("_name", F.when(F.col("_hp").startswith("["), bracket).otherwise(name))
-    df = df.withColumn("_v4", F.when(~F.col("_hp").startswith("["), _ipv4(F.col("_name"))))
-    df = df.withColumn("_v6", F.when(F.col("_hp").startswith("["), _ipv6(F.col("_name"))))
-    host = (
-        F.when(F.col("_v6").isNotNull(), F.concat(F.lit("["), F.col("_v6"), F.lit("]")))
-        .when(F.col("_v4").isNotNull(), F.col("_v4"))
-        .otherwise(F.col("_name"))
-    )
-    port = F.regexp_extract("_hp", ":([0-9]+)$", 1).try_cast("int")
-    default_port = F.when(F.col("_scheme") == "http", 80).when(F.col("_scheme") == "https", 443)
-    host_ok = (
-        (F.coalesce(host, F.lit("")) != "")
-        & ~F.coalesce(F.col("_v4") == "bad", F.lit(False))
-        & ~F.coalesce(F.col("_v6") == "bad", F.lit(False))
-        & ~host.rlike("^[^\\[].*[\\x00-\\x20#/<>?@\\\\^|%\\[\\]:]|^[\\x00-\\x20#/<>?@\\\\^|%\\]:]")
-        & (F.coalesce(port, F.lit(0)) <= 65535)
+    octets = F.transform(F.split(host, "\\."), lambda p: p.try_cast("int"))
+    inner = F.regexp_replace(host, "^\\[|\\]$", "")
+    return (
+        F.when(host.rlike("^[0-9]+(\\.[0-9]+){3}$"), let(octets, bad4))
+        .when(host.startswith("["), inner.isin("::1", "::") | inner.rlike("^(fc|fd|fe80:)"))
+        .otherwise(host == "localhost")
     )
-    return df.select(
-        "*",
-        host.alias("_host"),
-        F.when(port == default_port, F.lit(None)).otherwise(port).alias("_port"),
-        ((F.col("_scheme") != "") & (~web | F.coalesce(host_ok, F.lit(False)))).alias("_url_ok"),
-    ).drop("_hp", "_name", "_v4", "_v6")
-
-
-def _reason(url: str, allow_file: bool, allow_private: bool) -> Column:
-    """Why a parsed URL may not be opened; null when it may."""
-    scheme = F.col("_scheme")
-    about = F.regexp_extract("_clean", "^[^:]*:([^?#]*)", 1)
-    private = F.coalesce(_private(F.col("_host")), F.lit(False)) & F.lit(not allow_private)
+
+
+def _host(host_port: Column) -> Column:
+    """Normalised host of ``host[:port]``; null when it is not a valid host."""
+    boxed = host_port.startswith("[")
+    inner = F.lower(F.regexp_extract(host_port, "^\\[([^\\]]*)\\](?::[0-9]*)?$", 1))
+    decoded = F.lower(F.try_url_decode(F.regexp_replace(F.regexp_replace(host_port, ":[0-9]*$", ""), "\\+", "%2B")))
+
+    def named(name: Column) -> Column:
+        numeric = F.regexp_extract(name, "([^.]+)\\.?$", 1).rlike(f"^{_NUMBER}$")
+        bad = (name == "") | name.rlike("[\\x00-\\x20#/<>?@\\\\^|%\\[\\]:]")
+        return F.when(numeric, _ipv4(name)).when(~bad, name)
+
+    return F.when(
+        boxed, let(_ipv6(inner), lambda v: F.concat(F.lit("["), v, F.lit("]")))
+    ).otherwise(let(decoded, named))
+
+
+def _parts(url: Column) -> Column:
+    """Struct (clean, scheme, host, port, ok) of an absolute URL."""
+    clean = F.regexp_replace(F.regexp_replace(url, "^[\\x00-\\x20]+|[\\x00-\\x20]+$", ""), "[\\t\\n\\r]", "")
+
+    def split_up(c: Column) -> Column:
+        scheme = F.lower(F.regexp_extract(c, "^([a-zA-Z][a-zA-Z0-9+.-]*):", 1))
+        host_port = F.regexp_extract(c, "^[^:]*:[/\\\\]*(?:[^/\\\\?#]*@)?([^/\\\\?#@]*)", 1)
+        return F.struct(c.alias("clean"), scheme.alias("scheme"), host_port.alias("hp"))
+
+    def judge(s: Column) -> Column:
+        web = s["scheme"].isin("http", "https", "ftp", "ws", "wss")
+        port = F.regexp_extract(s["hp"], ":([0-9]+)$", 1).try_cast("int")
+        default_port = F.when(s["scheme"] == "http", 80).when(s["scheme"] == "https", 443)
+        return let(
+            F.when(web, _host(s["hp"])),
+            lambda host: F.struct(
+                s["clean"].alias("clean"), s["scheme"].alias("scheme"), host.alias("host"),
+                F.when(F.coalesce(port != default_port, F.lit(True)), port).alias("port"),
+                ((s["scheme"] != "") & (~web | (host.isNotNull() & (F.coalesce(port, F.lit(0)) <= 65535)))).alias("ok"),
+            ),
+        )
+
+    return let(let(clean, split_up), judge)
+
+
+def _reason(url: Column, u: Column, allow_file: bool, allow_private: bool) -> Column:
+    about = F.regexp_extract(u["clean"], "^[^:]*:([^?#]*)", 1)
+    private = F.lit(False) if allow_private else F.coalesce(_private(u["host"]), F.lit(False))
     return (
-        F.when(~F.col("_url_ok"), F.concat(F.lit("invalid URL: "), F.col(url)))
+        F.when(~u["ok"], F.concat(F.lit("invalid URL: "), url))
         .when(
-            scheme == "about",
+            u["scheme"] == "about",
             F.when(about != "blank", F.concat(
                 F.lit("about: scheme other than about:blank is blocked: "),
-                F.regexp_replace("_clean", "^[^:]*:", "about:"))),
+                F.regexp_replace(u["clean"], "^[^:]*:", "about:"))),
         )
         .when(
-            scheme == "file",
+            u["scheme"] == "file",
             F.lit(None).cast("string") if allow_file else F.lit("file:// URLs are blocked by default."),
         )
         .when(
-            ~scheme.isin("http", "https"),
-            F.concat(F.lit("URL scheme '"), scheme, F.lit(
+            ~u["scheme"].isin("http", "https"),
+            F.concat(F.lit("URL scheme '"), u["scheme"], F.lit(
                 ":' is not allowed. Only http:, https:, about:blank are supported by default.")),
         )
         .when(
             private,
-            F.concat(F.lit("host '"), F.col("_host"), F.lit("' is a private/loopback/link-local address.")),
+            F.concat(F.lit("host '"), u["host"], F.lit("' is a private/loopback/link-local address.")),
         )
     )
 
 
+def verdict(url: Column, allow_file: bool = False, allow_private: bool = False) -> Column:
+    """Struct (host, reason); the reason is null for a URL that may be opened."""
+    return let(_parts(url), lambda u: F.struct(
+        u["host"].alias("host"), _reason(url, u, allow_file, allow_private).alias("reason")))
+
+
+def origin(url: Column, allow_private: bool = False) -> Column:
+    """Struct (origin, reason): as ``verdict`` but http(s) only; origin is scheme, host and non-default port."""
+
+    def judge(u: Column) -> Column:
+        web = u["scheme"].isin("http", "https")
+        text = F.concat(
+            u["scheme"], F.lit("://"), u["host"],
+            F.coalesce(F.concat(F.lit(":"), u["port"].cast("string")), F.lit("")),
+        )
+        not_web = F.concat(F.lit("permissions origin must be http(s), got "), u["scheme"], F.lit(":"))
+        reason = F.coalesce(_reason(url, u, False, allow_private), F.when(~web, not_web))
+        return F.struct(F.when(u["ok"] & web, text).alias("origin"), reason.alias("reason"))
+
+    return let(_parts(url), judge)
+
+
 def url_verdict(
     df: DataFrame, url: str = "url", allow_file: bool = False, allow_private: bool = False
 ) -> DataFrame:
@@ -183,24 +223,11 @@ def url_verdict(
 
     Allowed are http, https and about:blank; file URLs and private hosts by opt-in only.
     """
-    return parse_url_parts(df, url).select(
-        *[F.col(c) for c in df.columns],
-        F.col("_host").alias("host"),
-        _reason(url, allow_file, allow_private).alias("reason"),
-    ).withColumn("safe", F.col("reason").isNull())
+    judged = df.withColumn("_v", verdict(F.col(url), allow_file, allow_private))
+    return judged.select(*df.columns, "_v.host", "_v.reason", F.col("_v.reason").isNull().alias("safe"))
 
 
 def origin_verdict(df: DataFrame, url: str = "url", allow_private: bool = False) -> DataFrame:
-    """Add ``origin`` (scheme, host and non-default port), ``reason`` and ``safe``: as above, but http(s) only."""
-    web = F.col("_scheme").isin("http", "https")
-    not_web = F.concat(F.lit("permissions origin must be http(s), got "), F.col("_scheme"), F.lit(":"))
-    origin = F.concat(
-        F.col("_scheme"), F.lit("://"), F.col("_host"),
-        F.coalesce(F.concat(F.lit(":"), F.col("_port").cast("string")), F.lit("")),
-    )
-    reason = F.coalesce(_reason(url, False, allow_private), F.when(~web, not_web))
-    return parse_url_parts(df, url).select(
-        *[F.col(c) for c in df.columns],
-        F.when(F.col("_url_ok") & web, origin).alias("origin"),
-        reason.alias("reason"),
-    ).withColumn("safe", F.col("reason").isNull())
+    """Add ``origin``, ``reason`` and ``safe``."""
+    judged = df.withColumn("_v", origin(F.col(url), allow_private))
+    return judged.select(*df.columns, "_v.origin", "_v.reason", F.col("_v.reason").isNull().alias("safe"))

@@ -79,8 +79,8 @@ def resolved_changes(changes: DataFrame) -> DataFrame:
     restart = device | F.col("device_scale_factor").isNotNull() | F.col("is_mobile").isNotNull()
     size = (
         F.when(device, F.struct(F.col("d_width").alias("w"), F.col("d_height").alias("h")))
-        .when(F.col("viewport_width").isNotNull(), F.struct("viewport_width", "viewport_height"))
-        .when(F.col("vp_width").isNotNull(), F.struct("vp_width", "vp_height"))
+        .when(F.col("viewport_width").isNotNull(), F.struct(F.col("viewport_width").alias("w"), F.col("viewport_height").alias("h")))
+        .when(F.col("vp_width").isNotNull(), F.struct(F.col("vp_width").alias("w"), F.col("vp_height").alias("h")))
     )
     agent = F.when(device, F.col("d_agent")).otherwise(
         F.nullif(F.coalesce("user_agent", "ua_text"), F.lit("")))
@@ -127,7 +127,7 @@ def effective_settings(changes: DataFrame) -> DataFrame:
 
     settings = per_profile.select(
         "profile", "restart_seq", "restarts", "k_locale",
-        F.coalesce(in_force("viewport"), F.struct(*[F.lit(v) for v in DEFAULT_VIEWPORT])).alias("vp"),
+        F.coalesce(in_force("viewport"), F.struct(F.lit(DEFAULT_VIEWPORT[0]).alias("w"), F.lit(DEFAULT_VIEWPORT[1]).alias("h"))).alias("vp"),
         F.col("k_scale").alias("scale"), F.col("k_mobile").alias("mobile"), F.col("k_touch").alias("touch"),
         in_force("agent").alias("user_agent"), in_force("locale").alias("locale"),
         in_force("scheme").alias("color_scheme"),

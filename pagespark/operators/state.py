@@ -6,12 +6,12 @@ whole profile, so one profile holding most of a log does not become one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import iso_text
 from ..functions.skew import HOUR_MS, Run, running
-from ..functions.urls import origin_verdict
+from ..functions.urls import origin as url_origin
 from .calls import PERMISSIONS, valid_cookie
 
 DAY = 24 * HOUR_MS
@@ -190,15 +190,13 @@ def permission_state(log: DataFrame) -> DataFrame:
     current_url. ``none`` clears the profile. A grant replaces what its origin had; without
     an origin the current tab's http(s) origin is used. Grants with a refused origin do not count.
     """
-    judged = origin_verdict(log.withColumnRenamed("origin", "given"), "given")
-    judged = judged.withColumnRenamed("origin", "_given_origin").withColumnRenamed("safe", "_given_ok").drop("reason")
-    here = origin_verdict(judged, "current_url", allow_private=True).withColumnRenamed("origin", "_here")
-    ok = F.col("given").isNull() | F.col("_given_ok")
-    target = F.when(F.col("given").isNotNull(), F.col("given")).otherwise(F.coalesce("_here", F.lit("*")))
+    judged = log.withColumn("_ok", F.col("origin").isNull() | url_origin(F.col("origin"))["reason"].isNull())
+    here = url_origin(F.col("current_url"), allow_private=True)["origin"]
+    target = F.coalesce("origin", here, F.lit("*"))
     names = F.when(F.col("grant") == "all", F.array(*[F.lit(p) for p in PERMISSIONS])).otherwise(F.col("permissions"))
     cleared = log.filter(F.col("grant") == "none").groupBy("profile").agg(F.max("seq").alias("cleared_seq"))
     latest = (
-        here.filter((F.col("grant") != "none") & ok)
+        judged.filter((F.col("grant") != "none") & F.col("_ok"))
         .select("profile", "seq", target.alias("origin"), names.alias("permissions"))
         .groupBy("profile", "origin")
         .agg(F.max_by("permissions", "seq").alias("permissions"), F.max("seq").alias("seq"))

@@ -98,7 +98,7 @@ def cookies_for_urls(spark, sf):
 @query("cookie_lines", f"""WITH {COOKIES}
 SELECT profile, seq, name, name || ' (' || domain || path || ') = ' || value || '  ['
   || concat_ws(' ', CASE WHEN secure THEN 'Secure' END, CASE WHEN httpOnly THEN 'HttpOnly' END, 'SameSite=' || sameSite)
-  || '] expires=' || CASE WHEN expires > 0 THEN strftime(make_timestamp(expires * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') ELSE 'session' END AS line
+  || '] expires=' || CASE WHEN expires > 0 THEN strftime(make_timestamp(CAST(expires AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') ELSE 'session' END AS line
 FROM jar""")
 def cookie_lines(spark, sf):
     jar = state.cookie_state(feeds.cookie_calls(spark, sf))
