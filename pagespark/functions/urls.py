@@ -10,17 +10,12 @@ the optimizer moves it around; the IPv4 and IPv6 branches only run for such host
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_NUMBER = "(?:0[xX][0-9a-fA-F]*|[0-9]+)"
-
+from .lets import let
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it many times in ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+_NUMBER = "(?:0[xX][0-9a-fA-F]*|[0-9]+)"
 
 
 def _ipv4_number(label: Column) -> Column:
