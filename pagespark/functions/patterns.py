@@ -18,7 +18,8 @@ def pattern_error(spark: SparkSession, pattern: str | None) -> str | None:
         return None
     except Exception as exc:  # Py4J wraps PatternSyntaxException
         cause = getattr(exc, "java_exception", None)
-        return str(cause.getDescription()) if cause is not None else str(exc)
+        text = cause.getMessage() if cause is not None else str(exc)
+        return str(text).splitlines()[0].split(" near index ")[0]
 
 
 def require_pattern(spark: SparkSession, pattern: str | None) -> None:

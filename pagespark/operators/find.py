@@ -90,7 +90,7 @@ TAG_ROLES = """
 a link / article article / aside complementary / blockquote blockquote / button button / caption caption /
 code code / dd definition / dialog dialog / dt term / em emphasis / fieldset group / figure figure / footer contentinfo /
 form form / h1 heading / h2 heading / h3 heading / h4 heading / h5 heading / h6 heading / header banner / hr separator /
-img img / li listitem / main main / menu list / meter meter / nav navigation / ol list / option option / p paragraph /
+img img / label LabelText / li listitem / main main / menu list / meter meter / nav navigation / ol list / option option / p paragraph /
 progress progressbar / search search / select combobox / strong strong / sub subscript / sup superscript / table table /
 tbody rowgroup / td cell / textarea textbox / tfoot rowgroup / th columnheader / thead rowgroup / time time / tr row / ul list
 """
