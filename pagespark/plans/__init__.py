@@ -6,7 +6,7 @@ import importlib
 
 from .registry import CATALOG, Entry
 
-MODULES = ("log_queries", "state_queries", "rule_queries", "page_queries", "tree_queries")
+MODULES = ("log_queries", "state_queries", "rule_queries", "page_queries", "tree_queries", "stream_queries")
 
 
 def load_catalog() -> dict[str, Entry]:
