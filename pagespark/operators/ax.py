@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.lets import let
 from ..functions.text import json_string
 from .dom import attr
-from .find import name_of, role_of, title_col_text
+from .find import label_of, may_be_named_by_content, name_from, role_of, text_of, title_col_text
 
 # Roles kept by the compact view.
 INTERACTIVE = """
@@ -65,39 +65,42 @@ def ax_from_dom(dom: DataFrame) -> DataFrame:
                       | F.coalesce(attr(n, "aria-hidden") == "true", F.lit(False)) | attr(n, "hidden").isNotNull())
     spans = F.transform(doomed, lambda n: F.struct(n["ord"].alias("a"), n["last"].alias("b")))
 
-    def one(n: Column) -> Column:
-        text = n["kind"] == "text"
-        root = n["ord"] == 0
-        role = F.when(text, "StaticText").when(root, "RootWebArea").otherwise(role_of(n))
-        name = F.when(text, F.trim(F.regexp_replace(n["text"], "\\s+", " "))).when(root, title_col_text(nodes)).otherwise(
-            name_of(nodes, n, role_of(n)))
-        checkable = role_of(n).isin("checkbox", "radio", "switch")
-        checked = F.when(~text & checkable, F.coalesce(
-            attr(n, "aria-checked"), F.when(attr(n, "checked").isNotNull(), "true").otherwise("false")))
-        level = F.when(n["tag"].rlike("^h[1-6]$"), F.substring(n["tag"], 2, 1))
-        valued = (n["tag"] == "input") & role_of(n).isin("textbox", "searchbox", "spinbutton", "slider")
-        props = _p(
-            value=F.when(valued & (F.length(attr(n, "value")) > 0), json_string(attr(n, "value"))),
-            disabled=F.when(attr(n, "disabled").isNotNull(), True),
-            required=F.when(attr(n, "required").isNotNull(), True),
-            readonly=F.when(attr(n, "readonly").isNotNull(), True),
-            expanded=F.when(attr(n, "aria-expanded").isin("true", "false"), attr(n, "aria-expanded") == "true"),
-            checked=checked,
-            pressed=attr(n, "aria-pressed"),
-            level=F.coalesce(attr(n, "aria-level"), level).try_cast("double"),
-        )
-        return F.struct(
-            n["ord"].alias("ord"), n["parent"].alias("parent_ord"), n["depth"].alias("depth"), n["last"].alias("last"),
-            n["anc"].alias("ancestors"), role.alias("role"), name.alias("name"), props.alias("p"),
-            role.isNull().alias("ignored"),
-            (~(n["kind"] == "element") & ~((n["kind"] == "text") & n["text"].rlike("\\S"))).alias("blank"))
-
     def marked(gone: Column) -> Column:
+        # Only what needs the whole page is taken inside the array; the rest runs on plain columns below.
         return F.transform(nodes, lambda n: F.struct(
-            one(n).alias("n"), F.exists(gone, lambda g: n["ord"].between(g["a"], g["b"])).alias("gone")))
-
-    rows = dom.select(F.col("page_id").alias("snapshot_id"), F.explode(let(spans, marked)).alias("m"))
-    return _keep(rows.select("snapshot_id", "m.n.*", "m.gone"), ~(F.col("gone") | F.col("blank"))).drop("gone", "blank")
+            n.alias("n"),
+            F.when(n["ord"] == 0, title_col_text(nodes)).when(may_be_named_by_content(n), text_of(nodes, n)).alias("said"),
+            label_of(nodes, n).alias("label"),
+            F.exists(gone, lambda g: n["ord"].between(g["a"], g["b"])).alias("gone")))
+
+    seen = dom.select(F.col("page_id").alias("snapshot_id"), F.explode(let(spans, marked)).alias("m")).select(
+        "snapshot_id", "m.*")
+    n = F.col("n")
+    blank = (n["kind"] == "comment") | ((n["kind"] == "text") & ~n["text"].rlike("\\S"))
+    roled = seen.withColumn("_role", F.when(n["kind"] == "element", role_of(n)))
+    role, text, root = F.col("_role"), n["kind"] == "text", n["ord"] == 0
+    name = F.when(text, F.trim(F.regexp_replace(n["text"], "\\s+", " "))).when(root, F.col("said")).otherwise(
+        name_from(n, role, F.col("label"), F.col("said")))
+    checked = F.when(role.isin("checkbox", "radio", "switch"), F.coalesce(
+        attr(n, "aria-checked"), F.when(attr(n, "checked").isNotNull(), "true").otherwise("false")))
+    level = F.when(n["tag"].rlike("^h[1-6]$"), F.substring(n["tag"], 2, 1))
+    valued = (n["tag"] == "input") & role.isin("textbox", "searchbox", "spinbutton", "slider")
+    props = _p(
+        value=F.when(valued & (F.length(attr(n, "value")) > 0), json_string(attr(n, "value"))),
+        disabled=F.when(attr(n, "disabled").isNotNull(), True),
+        required=F.when(attr(n, "required").isNotNull(), True),
+        readonly=F.when(attr(n, "readonly").isNotNull(), True),
+        expanded=F.when(attr(n, "aria-expanded").isin("true", "false"), attr(n, "aria-expanded") == "true"),
+        checked=checked,
+        pressed=attr(n, "aria-pressed"),
+        level=F.coalesce(attr(n, "aria-level"), level).try_cast("double"),
+    )
+    shown_role = F.when(text, "StaticText").when(root, "RootWebArea").otherwise(role)
+    rows = roled.select(
+        "snapshot_id", n["ord"].alias("ord"), n["parent"].alias("parent_ord"), n["depth"].alias("depth"),
+        n["last"].alias("last"), n["anc"].alias("ancestors"), shown_role.alias("role"), name.alias("name"),
+        props.alias("p"), shown_role.isNull().alias("ignored"), (F.col("gone") | blank).alias("_out"))
+    return _keep(rows, ~F.col("_out")).drop("_out")
 
 
 RAW = (

@@ -133,7 +133,7 @@ def label_of(nodes: Column, n: Column) -> Column:
     return F.when(n["tag"].isin(*LABELLED_TAGS), let(label, lambda x: F.when(x.isNotNull(), text_of(nodes, x))))
 
 
-def name_of(nodes: Column, n: Column, role: Column) -> Column:
+def name_from(n: Column, role: Column, label: Column, content: Column) -> Column:
     """Accessible name (our definition): aria-label, label, alt, value of buttons, text, title, placeholder."""
 
     def filled(c: Column) -> Column:
@@ -141,13 +141,22 @@ def name_of(nodes: Column, n: Column, role: Column) -> Column:
 
     button_value = F.when((n["tag"] == "input") & (role == "button"), F.coalesce(
         attr(n, "value"), F.when(attr(n, "type") == "submit", "Submit").when(attr(n, "type") == "reset", "Reset")))
-    content = F.when(role.isin(*NAMED_BY_CONTENT) & (n["tag"] != "input"), text_of(nodes, n))
+    own_text = F.when(role.isin(*NAMED_BY_CONTENT) & (n["tag"] != "input"), content)
     return F.coalesce(
-        filled(attr(n, "aria-label")), filled(label_of(nodes, n)), filled(attr(n, "alt")),
-        filled(button_value), filled(content), filled(attr(n, "title")), filled(attr(n, "placeholder")),
+        filled(attr(n, "aria-label")), filled(label), filled(attr(n, "alt")), filled(button_value),
+        filled(own_text), filled(attr(n, "title")), filled(attr(n, "placeholder")),
     )
 
 
+def name_of(nodes: Column, n: Column, role: Column) -> Column:
+    return name_from(n, role, label_of(nodes, n), text_of(nodes, n))
+
+
+def may_be_named_by_content(n: Column) -> Column:
+    """Cheap test for elements whose text can become their name."""
+    return n["tag"].isin("a", "button", "option", "th", "h1", "h2", "h3", "h4", "h5", "h6") | attr(n, "role").isNotNull()
+
+
 def _says(text: Column, target: str, exact: bool) -> Column:
     clean = " ".join(target.split())
     hit = (text == clean) if exact else F.lower(text).contains(clean.lower())

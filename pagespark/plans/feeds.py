@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clock import epoch_ms
-from ..sources.pages import read_pages_table
+from ..sources.pages import read_pages_table, spread
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -20,7 +20,10 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
 
 def base(spark: SparkSession, sf: str) -> DataFrame:
     """Events with typed helper columns; event ids rise with time, so they are the arrival order."""
-    return spark.read.parquet(f"{sf}/events.parquet").select(
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    if not events.isStreaming:
+        events = spread(events)
+    return events.select(
         F.col("event_id").alias("seq"),
         epoch_ms(F.col("ts")).alias("ts_ms"),
         "user_id", "event_type", "value",

@@ -13,10 +13,21 @@ PAGES = T.StructType([
 ])
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a scan with fewer splits than cores to all cores.
+
+    Work per row is heavy here (parsing, rules), and a small table may be one split. A table
+    with enough splits, as any large one has, is left alone and not shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_pages_table(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
     """``page_id, url, html`` of a parquet page table (declared schema, batch or stream)."""
-    reader = spark.readStream if streaming else spark.read
-    return reader.schema(PAGES).parquet(path)
+    if streaming:
+        return spark.readStream.schema(PAGES).parquet(path)
+    return spread(spark.read.schema(PAGES).parquet(path))
 
 
 def save_html(pages: DataFrame, out: str, buckets: int = 64) -> DataFrame:
