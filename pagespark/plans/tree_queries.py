@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..operators import ax, diff, dom, expect, find, tabs, user
 from . import feeds
 from .feeds_sql import BASE
 from .page_queries import PARAS, PARTS, _unescape
-from .registry import query
+from .registry import CATALOG, query
 
 
 def _dom(spark, sf):
@@ -231,7 +233,28 @@ def find_text(spark, sf):
     return find.find_text(_dom(spark, sf), "AN", 7).select("page_id", "hit", "snippet")
 
 
-@query("find_text_selectors")
+def _chain(*levels: str) -> str:
+    """SQL for the last five of a list of path levels."""
+    return f"array_to_string(list_slice(flatten([{', '.join(levels)}]), -5, -1), ' > ')"
+
+
+@query("find_text_selectors", f"""WITH {LINKS},
+np AS (SELECT page_id, count(*) AS n FROM paras GROUP BY 1),
+fb AS (SELECT p.page_id, (SELECT least(3, sum(m.own)) FROM marked m WHERE m.page_id = p.page_id) AS b FROM parts p),
+t AS (
+  SELECT page_id, 1 AS part, i, 'a' AS tag, text AS raw, {_chain("['html', 'body', 'nav', 'ul']", "['li' || CASE WHEN n > 1 THEN ':nth-of-type(' || i || ')' ELSE '' END, 'a']")} AS selector FROM links
+  UNION ALL SELECT page_id, 2, 1, 'div', ad, 'html > body > div' FROM parts
+  UNION ALL SELECT page_id, 3, 1, 'h1', h1, 'html > body > article > h1' FROM parts
+  UNION ALL SELECT p.page_id, 4, i, CASE WHEN bolds > 0 THEN 'b' ELSE 'p' END, words,
+    {_chain("['html', 'body', 'article']", "['p' || CASE WHEN n > 1 THEN ':nth-of-type(' || i || ')' ELSE '' END]", "list_transform(range(CAST(bolds AS BIGINT)), lambda x: 'b')")}
+    FROM paras p JOIN np ON np.page_id = p.page_id
+  UNION ALL SELECT p.page_id, 5, 1, CASE WHEN fb.b > 0 THEN 'b' ELSE 'footer' END, foot,
+    {_chain("['html', 'body', 'footer']", "list_transform(range(CAST(coalesce(fb.b, 0) AS BIGINT)), lambda x: 'b')")} FROM parts p JOIN fb ON fb.page_id = p.page_id),
+c AS (SELECT *, regexp_replace({_unescape('raw')}, '^\\s+|\\s+$', '', 'g') AS s FROM t),
+h AS (SELECT *, instr(lower(s), 'the') AS pos, row_number() OVER (PARTITION BY page_id ORDER BY part, i) AS hit FROM c
+      WHERE length(s) >= 2 AND contains(lower(s), 'the'))
+SELECT page_id, hit, tag, CASE WHEN pos > 41 THEN '...' ELSE '' END || substr(s, greatest(pos - 40, 1), least(pos - 1, 40) + 43)
+  || CASE WHEN pos + 42 < length(s) THEN '...' ELSE '' END AS snippet, selector FROM h WHERE hit <= 50""")
 def find_text_selectors(spark, sf):
     return find.find_text(_dom(spark, sf), "the", 50)
 
@@ -300,7 +323,18 @@ def page_assertions(spark, sf):
     return got.select("page_id", "rule_id", "ok", "actual", "detail")
 
 
-@query("assertion_reports")
+_REPORT_SQL = CATALOG["page_assertions"].sql.replace("WITH ", "WITH meta(rule_id, assertion, expected) AS (VALUES " + ", ".join(
+    "('{}', '{}', {})".format(r.rule_id, r.assertion, "NULL" if r.expected is None else "'" + json.dumps(r.expected) + "'")
+    for r in RULES) + "), ", 1).replace("SELECT page_id, 'heading shown'", "r AS (SELECT page_id, 'heading shown'", 1) + """)
+SELECT page_id, r.rule_id, CASE WHEN ok THEN 'PASS ' || assertion || coalesce(' — ' || detail, '')
+  ELSE 'FAIL ' || assertion || coalesce(' expected=' || expected, '')
+    || coalesce(' actual=' || CASE WHEN assertion = 'count' OR detail = 'not found' THEN actual ELSE CAST(to_json(actual) AS VARCHAR) END, '')
+    || coalesce(chr(10) || '  ' || detail, '') || chr(10) || '  (retried for 5000ms)' END AS report
+FROM r JOIN meta m ON m.rule_id = r.rule_id"""
+_REPORT_SQL = _REPORT_SQL.replace("FROM parts p)\nr AS", "FROM parts p),\nr AS")
+
+
+@query("assertion_reports", _REPORT_SQL)
 def assertion_reports(spark, sf):
     return expect.check_expectations(_dom(spark, sf), RULES).select("page_id", "rule_id", "report")
 
