@@ -189,10 +189,30 @@ def _reason(url: Column, u: Column, allow_file: bool, allow_private: bool) -> Co
     )
 
 
+# Plain http(s) URLs with an ASCII host name whose last label starts with a letter: nothing to fold.
+PLAIN_URL = "(?i)^https?://(?:[a-z0-9-]+\\.)*[a-z][a-z0-9-]*(?::[0-9]{1,4})?(?:[/?#].*)?$"
+
+
+def _plain_host(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, "^[^:]*://([^:/?#]+)", 1))
+
+
+def _local_reason(host: Column, allow_private: bool) -> Column:
+    blocked = F.lit("host 'localhost' is a private/loopback/link-local address.")
+    return F.when((host == "localhost") & F.lit(not allow_private), blocked)
+
+
 def verdict(url: Column, allow_file: bool = False, allow_private: bool = False) -> Column:
-    """Struct (host, reason); the reason is null for a URL that may be opened."""
-    return let(_parts(url), lambda u: F.struct(
+    """Struct (host, reason); the reason is null for a URL that may be opened.
+
+    Plain URLs, nearly all of a real table, are judged by one generated-code pattern; only
+    the others go through the full parser.
+    """
+    host = _plain_host(url)
+    plain = F.struct(host.alias("host"), _local_reason(host, allow_private).alias("reason"))
+    full = let(_parts(url), lambda u: F.struct(
         u["host"].alias("host"), _reason(url, u, allow_file, allow_private).alias("reason")))
+    return F.when(url.rlike(PLAIN_URL), plain).otherwise(full)
 
 
 def origin(url: Column, allow_private: bool = False) -> Column:
@@ -208,7 +228,14 @@ def origin(url: Column, allow_private: bool = False) -> Column:
         reason = F.coalesce(_reason(url, u, False, allow_private), F.when(~web, not_web))
         return F.struct(F.when(u["ok"] & web, text).alias("origin"), reason.alias("reason"))
 
-    return let(_parts(url), judge)
+    host = _plain_host(url)
+    scheme = F.lower(F.regexp_extract(url, "^([^:]*):", 1))
+    port = F.regexp_extract(url, "^[^:]*://[^:/?#]+:([0-9]+)", 1).try_cast("int")
+    usual = port.isNull() | (port == F.when(scheme == "http", 80).otherwise(443))
+    tail = F.when(usual, "").otherwise(F.concat(F.lit(":"), port.cast("string")))
+    plain = F.struct(
+        F.concat(scheme, F.lit("://"), host, tail).alias("origin"), _local_reason(host, allow_private).alias("reason"))
+    return F.when(url.rlike(PLAIN_URL), plain).otherwise(let(_parts(url), judge))
 
 
 def url_verdict(

@@ -44,24 +44,35 @@ def friendly(role: Column, name: Column) -> Column:
 
 
 def diff_snapshots(before: DataFrame, after: DataFrame, keys: Sequence[str] = ("snapshot_id",)) -> DataFrame:
-    """Added, removed and changed paths between two signature tables: one full outer join.
+    """Added, removed and changed paths between two signature tables.
 
-    Output: keys, kind, signature (display form of the after node, or of the removed one), was, now, pos.
+    Output: keys, kind, signature (display form of the after node, or of the removed one), was, now, pos, path.
+    """
+    cols = [*keys, "signature", "role", "name", "state", "pos"]
+    both = before.select(*cols, F.lit(False).alias("_after")).unionByName(after.select(*cols, F.lit(True).alias("_after")))
+    return diff_versions(both, F.col("_after"), keys)
+
+
+def diff_versions(signatures: DataFrame, is_after: Column, keys: Sequence[str] = ("snapshot_id",)) -> DataFrame:
+    """The same for both versions in one signature table; ``is_after`` marks the newer one.
+
+    A path occurs at most once per version, so the full outer match on (keys, path) is one
+    aggregate: the table is read once and combined before the shuffle.
     """
     keys = list(keys)
-    b = before.select(*keys, "signature", F.struct("role", "name", "state", "pos").alias("b"))
-    a = after.select(*keys, "signature", F.struct("role", "name", "state", "pos").alias("a"))
-    both = b.join(a, [*keys, "signature"], "full_outer")
+    node = F.struct("role", "name", "state", "pos")
+    both = signatures.withColumn("_is_after", is_after).groupBy(*keys, F.col("signature").alias("path")).agg(
+        F.max(F.when(~F.col("_is_after"), node)).alias("b"), F.max(F.when(F.col("_is_after"), node)).alias("a"))
     kind = (
         F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed")
         .when(F.col("a.state") != F.col("b.state"), "changed")
     )
-    node = F.coalesce("a", "b")
-    return both.withColumn("kind", kind).filter(F.col("kind").isNotNull()).withColumn("_n", node).select(
+    shown = both.withColumn("kind", kind).filter(F.col("kind").isNotNull()).withColumn("_n", F.coalesce("a", "b"))
+    return shown.select(
         *keys, "kind", friendly(F.col("_n.role"), F.col("_n.name")).alias("signature"),
         F.when(F.col("kind") == "changed", F.col("b.state")).alias("was"),
         F.when(F.col("kind") == "changed", F.col("a.state")).alias("now"),
-        F.col("_n.pos").alias("pos"), F.col("signature").alias("path"),
+        F.col("_n.pos").alias("pos"), "path",
     )
 
 

@@ -135,8 +135,7 @@ def _two_versions(spark, sf):
 
 
 def _diff(spark, sf):
-    sigs = _two_versions(spark, sf)
-    return diff.diff_snapshots(sigs.filter("v = 0"), sigs.filter("v = 1"))
+    return diff.diff_versions(_two_versions(spark, sf), F.col("v") == 1)
 
 
 _DIFF_ROWS = f"""first AS (SELECT a.page_id, a.text FROM links a WHERE a.i = 1
