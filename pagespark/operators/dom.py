@@ -36,22 +36,38 @@ def cap_html(pages: DataFrame, n: int = MAX_HTML_CHARS) -> DataFrame:
     )
 
 
+PIECE_CHARS = 4_000_000
+
+
+def _pieces(batch):
+    """Slices of a batch with a bounded amount of HTML, so node lists of many pages never pile up."""
+    start, chars = 0, 0
+    for i, html in enumerate(batch.column("html").to_pylist()):
+        chars += len(html or "")
+        if chars >= PIECE_CHARS:
+            yield batch.slice(start, i + 1 - start)
+            start, chars = i + 1, 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def _parse_batches(batches):
-    for batch in batches:
-        nodes, errors = [], []
-        for html in batch.column("html").to_pylist():
-            try:
-                nodes.append([dict(zip(_FIELDS, row)) for row in parse_nodes(html or "")])
-                errors.append(None)
-            except Exception as exc:  # a bad document must not fail the job
-                nodes.append(None)
-                errors.append(f"{type(exc).__name__}: {exc}")
-        keep = [c for c in batch.schema.names if c != "html"]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(c) for c in keep]
-            + [pa.array(nodes, pa.list_(_ARROW_NODE)), pa.array(errors, pa.string())],
-            names=[*keep, "nodes", "error"],
-        )
+    for whole in batches:
+        for batch in _pieces(whole):
+            nodes, errors = [], []
+            for html in batch.column("html").to_pylist():
+                try:
+                    nodes.append([dict(zip(_FIELDS, row)) for row in parse_nodes(html or "")])
+                    errors.append(None)
+                except Exception as exc:  # a bad document must not fail the job
+                    nodes.append(None)
+                    errors.append(f"{type(exc).__name__}: {exc}")
+            keep = [c for c in batch.schema.names if c != "html"]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in keep]
+                + [pa.array(nodes, pa.list_(_ARROW_NODE)), pa.array(errors, pa.string())],
+                names=[*keep, "nodes", "error"],
+            )
 
 
 def _parse(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,15 @@ from .registry import query
 
 
 def _unescape(x: str) -> str:
-    return (f"replace(replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')")
+    """The entities of the pages, with or without their semicolon."""
+    for entity, char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("amp", "&")):
+        x = f"regexp_replace({x}, '&{entity};?', '{char}', 'g')"
+    return x
+
+
+def _reescape(x: str) -> str:
+    """The same text as it is serialised again."""
+    return f"replace({_unescape(x)}, '&', '&amp;')"
 
 
 _SPACE = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
@@ -109,10 +117,10 @@ def stripped_nodes(spark, sf):
 
 
 @query("compact_html", f"""WITH {PARAS},
-ps AS (SELECT page_id, string_agg('<p>' || repeat('<b>', CAST(bolds AS INT)) || replace(words, '&quot;', '"') || CASE WHEN br THEN '<br>' ELSE '' END
+ps AS (SELECT page_id, string_agg('<p>' || repeat('<b>', CAST(bolds AS INT)) || {_reescape('words')} || CASE WHEN br THEN '<br>' ELSE '' END
          || repeat('</b>', CAST(bolds AS INT)) || '</p>', '' ORDER BY i) AS body FROM paras GROUP BY 1)
-SELECT t.page_id, t.url, '<!--' || note || '--><div class="ad">' || replace(ad, '&quot;', '"') || '</div><article><h1>'
-  || replace(h1, '&quot;', '"') || '</h1>' || coalesce(body, '') || '</article>' AS html
+SELECT t.page_id, t.url, '<!--' || note || '--><div class="ad">' || {_reescape('ad')} || '</div><article><h1>'
+  || {_reescape('h1')} || '</h1>' || coalesce(body, '') || '</article>' AS html
 FROM parts t LEFT JOIN ps ON ps.page_id = t.page_id""")
 def compact_html(spark, sf):
     return extract.compact_html(_dom(spark, sf))
