@@ -2,8 +2,9 @@
 
 Equal shingle sets are one class. Each class has minwise tokens (one per hash function). In each of several independent trees a
 class starts at the node of one selected token; a node with more than ``NODE_ROWS`` classes branches by another token, selected
-by a hash of the path, until nodes are small. Small nodes are compared exhaustively on packed sketches of the tokens. Nodes that do not become
-small (groups of near copies) are dealt into random blocks, other ones in each tree, that share a few leaders.
+by a hash of the path, until nodes are small. Small nodes are compared exhaustively on packed sketches of the tokens. Nodes whose members
+are similar on average (groups of near copies) do not branch; they are dealt into random blocks, other ones in each tree, that share
+a few leaders.
 
 First a node's best spanning links are confirmed on the full sets, which joins dense groups without looking at all of their
 pairs. Then whatever looks similar and is not yet in one component is confirmed too, and in nodes that stayed large every class
@@ -25,11 +26,13 @@ from pyspark.sql import types as T
 from .common import col, row_key, settle
 
 TREES = 12
-TOKENS = 128
+TOKENS = 512
+TOKEN_BITS = 4  # of a token, in a sketch
 NODE_ROWS = 96
 DEPTH = 10
+ROOT_TREES = 5  # trees whose dense roots are compared: a pair at 0.85 is in none of them with 0.15**5
 LEADERS = 6
-SLACK = 4.0  # standard errors below the threshold that still count as a candidate
+SLACK = 3.5  # standard errors below the threshold that still count as a candidate
 _RNG = np.random.Generator(np.random.PCG64(9))
 _A = _RNG.integers(1, 1 << 32, TOKENS, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, TOKENS, dtype=np.uint32)
@@ -61,8 +64,8 @@ def shingles(text: str | None, words: int) -> np.ndarray:
 def minwise(found: np.ndarray) -> np.ndarray:
     x = (found >> np.uint64(32)).astype(np.uint32)
     best = np.full(TOKENS, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(x), 2048):
-        part = x[i:i + 2048, None] * _A + _B
+    for i in range(0, len(x), 128):
+        part = x[i:i + 128, None] * _A + _B
         part ^= part >> np.uint32(15)
         part *= np.uint32(0x2C1B3C6D)
         np.minimum(best, part.min(0), out=best)
@@ -83,7 +86,8 @@ def _signatures(words: int):
                     continue
                 tokens = minwise(found)
                 cids.append(int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True))
-                sketches.append((tokens & np.uint32(255)).astype(np.uint8).tobytes())
+                low = (tokens & np.uint32(15)).astype(np.uint8)
+                sketches.append((low[::2] << 4 | low[1::2]).tobytes())
                 roots = tokens[:TREES].astype(np.uint64) + (np.arange(TREES, dtype=np.uint64) << np.uint64(40))
                 keys.append(_mix(roots * _ODD[0]).view(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -92,31 +96,54 @@ def _signatures(words: int):
     return run
 
 
+def dense(large: DataFrame, classes: DataFrame) -> DataFrame:
+    """``node`` of the nodes whose members agree with each other in half of their tokens, on average; from a few tokens' counts."""
+    letter = F.array(*[F.struct(F.lit(k).alias("k"), F.substring("letters", 61 * k + 1, 1).alias("v")) for k in range(8)])
+    counts = large.join(classes.select("cid", F.hex("sketch").alias("letters")), "cid").select("node", "count", F.inline(letter)).groupBy("node", "count", "k", "v").agg(
+        F.count("*").alias("c"))
+    agree = F.sum(F.col("c") * F.col("c")) / F.first("count") / F.first("count") / 8
+    return counts.groupBy("node").agg(agree.alias("agree")).filter((F.col("agree") * 16 - 1) / 15 >= 0.5).select("node")
+
+
 def nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, cid) of the small leaves, and (node, cid, size) of the nodes that stayed large down to DEPTH."""
-    level = classes.select("cid", "sketch", F.explode("roots").alias("node"))
-    small, depth = [], 0
+    """(node, cid) of the small leaves, and (node, cid, size) of the large nodes that are compared as they are.
+
+    Those are dense nodes, which would branch in vain, and what is still large at DEPTH. Two similar classes share a dense
+    root with a probability of their similarity, so a few trees' dense roots are enough.
+    """
+    level = classes.select("cid", F.posexplode("roots").alias("tree", "node"))
+    small, big, depth = [], [], 0
     while True:
         sizes = level.groupBy("node").count().filter("count > 1")
-        met = settle(level.select("node", "cid").join(sizes, "node"), f"near-level-{depth}")
+        met = settle(level.join(sizes, "node"), f"near-level-{depth}")
         small.append(met.filter(F.col("count") <= NODE_ROWS).select("node", "cid"))
         large = met.filter(F.col("count") > NODE_ROWS)
-        if depth == DEPTH or large.isEmpty():
+        if large.isEmpty():
+            break
+        if depth == DEPTH:
+            big.append(large.select("node", "cid", F.col("count").alias("size")))
             break
+        packed = settle(dense(large, classes), "near-dense")
+        as_is = large.join(packed, "node", "left_semi")
+        big.append((as_is if depth else as_is.filter(F.col("tree") < ROOT_TREES)).select("node", "cid", F.col("count").alias("size")))
         depth += 1
         at = F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(TOKENS)).cast("int")  # the token selected at this node
-        level = large.select("node", "cid").join(classes.select("cid", "sketch"), "cid").select(
-            "cid", "sketch", F.xxhash64("node", F.substr("sketch", at + 1, F.lit(1))).alias("node"))
-    out = small[0]
-    for s in small[1:]:
-        out = out.unionByName(s)
-    return out, large.select("node", "cid", F.col("count").alias("size"))
-
-
-def _pairs(units: np.ndarray, side: np.ndarray, n: np.ndarray, sketch: np.ndarray, comp: np.ndarray, least: float, floor: float):
+        level = large.join(packed, "node", "left_anti").join(classes.select("cid", "sketch"), "cid").select(
+            "cid", "tree", F.xxhash64("node", F.substr(F.hex("sketch"), at + 1, F.lit(1))).alias("node"))
+    empty = classes.select(F.col("cid").alias("node"), "cid").limit(0)
+    for s in small:
+        empty = empty.unionByName(s)
+    none = classes.select(F.col("cid").alias("node"), "cid", F.col("n").alias("size")).limit(0)
+    for s in big:
+        none = none.unionByName(s)
+    return empty, none
+
+
+def _pairs(units, side, cid, n, sketch, comp, least: float, floor: float):
     """Index pairs within equal units (rows sorted by unit) that may be similar, with their estimates.
 
-    Rows of ``side`` 2 are only compared with rows of side 1. Rows of one component are not compared at all (component -1: unknown).
+    Rows of side 0 are compared with each other; rows of side 1 with those of side 2, and, once for each pair, with those of side 3. Rows
+    of one component are not compared at all (component -1: unknown).
     """
     out = []
     at = np.arange(len(units))
@@ -127,11 +154,13 @@ def _pairs(units: np.ndarray, side: np.ndarray, n: np.ndarray, sketch: np.ndarra
         if not len(at):
             break
         b = at + step
-        ok = (np.minimum(n[at], n[b]) >= floor * np.maximum(n[at], n[b])) & ((comp[at] < 0) | (comp[at] != comp[b])) & ((side[at] != 2) | (side[b] != 2))
+        s, t = side[at], side[b]
+        meet = (s + t == 0) | (s * t == 2) | ((s == 1) & (t == 3) & (cid[at] < cid[b])) | ((s == 3) & (t == 1) & (cid[at] > cid[b]))
+        ok = meet & (np.minimum(n[at], n[b]) >= floor * np.maximum(n[at], n[b])) & ((comp[at] < 0) | (comp[at] != comp[b]))
         i, j = at[ok], b[ok]
-        for s in range(0, len(i), 1 << 15):
-            p, q = i[s:s + (1 << 15)], j[s:s + (1 << 15)]
-            share = (sketch[p] == sketch[q]).mean(1)
+        for k in range(0, len(i), 1 << 13):
+            p, q = i[k:k + (1 << 13)], j[k:k + (1 << 13)]
+            share = ((sketch[p] == sketch[q]).mean(1) * 16 - 1) / 15  # a sixteenth of unequal tokens agrees by chance
             like = share >= least
             out.append((p[like], q[like], share[like]))
         step += 1
@@ -141,16 +170,18 @@ def _pairs(units: np.ndarray, side: np.ndarray, n: np.ndarray, sketch: np.ndarra
 
 
 def _candidates(threshold: float, forest: bool):
-    least = threshold - SLACK * (threshold * (1 - threshold) / TOKENS) ** 0.5
+    chance = 2.0 ** -TOKEN_BITS
+    share = threshold + (1 - threshold) * chance
+    least = threshold - SLACK * (share * (1 - share) / TOKENS) ** 0.5 / (1 - chance)
 
     def solve(rows: pa.Table) -> pa.RecordBatch | None:
         _, units = np.unique(rows.column("unit").to_numpy(), return_inverse=True)
         order = np.argsort(units, kind="stable")
         units = units[order]
         take = lambda name: rows.column(name).to_numpy()[order]
-        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, TOKENS)[order]
-        comp = take("place")
-        i, j, share = _pairs(units, take("side"), take("n"), sketch, comp, least, threshold)
+        packed = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, TOKENS // 2)[order]
+        sketch = np.concatenate([packed >> 4, packed & 15], axis=1)
+        i, j, share = _pairs(units, take("side"), take("cid"), take("n"), sketch, take("place"), least, threshold)
         if forest and len(i):
             top = list(range(len(units)))
 
@@ -263,8 +294,14 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     signed = settle(base.select("id", "rk", "text").mapInArrow(_signatures(words), out), "near-signatures")
     classes = settle(signed.filter("n > 0").groupBy("cid").agg(
         F.min("id").alias("first_id"), F.min("rk").alias("rk"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("roots").alias("roots")), "near-classes")
-    reps = classes.select("cid", "rk")
-    texts = base.select("rk", "text").join(reps, "rk").select("cid", "text")
+
+    def texts_of(cids: DataFrame, purpose: str) -> DataFrame:
+        """(cid, text) of some classes: keys meet first, so that texts are shuffled once."""
+        keys = classes.select("cid", "rk").join(cids, "cid", "left_semi")
+        return settle(base.select("rk", "text").join(keys, "rk").dropDuplicates(["cid"]).select("cid", "text"), purpose)
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
 
     small, large = nodes(classes)
     blocks = F.expr(f"cast(ceil(size / {NODE_ROWS}) as long)")
@@ -273,15 +310,17 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     led = lead.select("node", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "leaders").select("node", "block", F.explode("leaders").alias("cid"))
     unknown = [F.lit(0).alias("side"), F.lit(-1).cast("long").alias("place")]
     in_blocks = dealt.select("node", "block", "cid").unionByName(led).distinct().select(F.xxhash64("node", "block").alias("unit"), "cid", *unknown)
-    units = settle(small.select(F.col("node").alias("unit"), "cid", *unknown).unionByName(in_blocks), "near-units")
+    small_units = small.select(F.col("node").alias("unit"), "cid", *unknown)
+    units = small_units.unionByName(in_blocks)
     tried = settle(candidates(units, classes, threshold, forest=True), "near-forest")
+    texts = texts_of(ends(tried), "near-texts")
     sure = settle(confirm(tried, texts, words, threshold), "near-sure")
 
     # What is still apart: a component's number is its label, a class alone is its own.
     label = components(sure)
     placed = settle(classes.select("cid").join(label, "cid", "left").select("cid", F.coalesce("label", "cid").alias("place")), "near-places")
     positive = F.col("place").bitwiseAND(F.lit((1 << 62) - 1)).alias("place")
-    again = units.select("unit", "cid", "side").join(placed, "cid").select("unit", "cid", "side", positive)
+    again = small_units.select("unit", "cid", "side").join(placed, "cid").select("unit", "cid", "side", positive)
     mixed = again.groupBy("unit").agg((F.min("place") < F.max("place")).alias("apart")).filter("apart").select("unit")
     again = again.join(mixed, "unit", "left_semi")
     at_large = large.join(placed, "cid").select("node", "cid", "size", positive)
@@ -291,10 +330,14 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     outs = out_in.filter("out").join(outside, "node").withColumn("chunk", F.pmod(F.xxhash64("cid", F.lit(3)), F.col("chunks"))).withColumn(
         "block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select("node", "chunk", "block", "cid", "place", F.lit(1).alias("side"))
     ins = out_in.join(outside, "node").withColumn("block", F.pmod(F.xxhash64("node", "cid"), blocks)).withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("node", "chunk", "block", "cid", "place", F.lit(2).alias("side"))
+        "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("node", "chunk", "block", "cid", "place", F.when(F.col("out"), 3).otherwise(2).alias("side"))
     crossing = outs.unionByName(ins).select(F.xxhash64("node", "chunk", "block", F.lit(1)).alias("unit"), "cid", "side", "place")
     more = candidates(again.unionByName(crossing), classes, threshold, forest=False).join(tried, ["a", "b"], "left_anti")
-    late = settle(confirm(settle(more, "near-more"), texts, words, threshold), "near-late")
+    more = settle(more, "near-more")
+    unread = ends(more).join(texts, "cid", "left_anti")
+    if not unread.isEmpty():  # met only in a large node
+        texts = texts.unionByName(texts_of(unread, "near-texts"))
+    late = settle(confirm(more, texts, words, threshold), "near-late")
 
     final = components(sure.unionByName(late))
     named = classes.select("cid", "first_id").join(final, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
