@@ -32,6 +32,7 @@ NODE_ROWS = 96
 DEPTH = 10
 ROOT_TREES = 5  # trees whose dense roots are compared: a pair at 0.85 is in none of them with 0.15**5
 LEADERS = 6
+SEATS = [f"seat{k}" for k in range(ROOT_TREES)]  # a class' dense root in each of those trees, or 0
 SLACK = 3.5  # standard errors below the threshold that still count as a candidate
 _RNG = np.random.Generator(np.random.PCG64(9))
 _A = _RNG.integers(1, 1 << 32, TOKENS, dtype=np.uint32) | np.uint32(1)
@@ -106,7 +107,8 @@ def dense(large: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, cid) of the small leaves, and (node, cid, size) of the large nodes that are compared as they are.
+    """(node, cid) of the small leaves, and (node, cid, size, tree) of the large nodes that are compared as they are; below the
+    roots ``tree`` is ROOT_TREES.
 
     Those are dense nodes, which would branch in vain, and what is still large at DEPTH. Two similar classes share a dense
     root with a probability of their similarity, so a few trees' dense roots are enough.
@@ -121,11 +123,12 @@ def nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         if large.isEmpty():
             break
         if depth == DEPTH:
-            big.append(large.select("node", "cid", F.col("count").alias("size")))
+            big.append(large.select("node", "cid", F.col("count").alias("size"), F.lit(ROOT_TREES).alias("tree")))
             break
         packed = settle(dense(large, classes), "near-dense")
         as_is = large.join(packed, "node", "left_semi")
-        big.append((as_is if depth else as_is.filter(F.col("tree") < ROOT_TREES)).select("node", "cid", F.col("count").alias("size")))
+        at_root = as_is.filter(F.col("tree") < ROOT_TREES)
+        big.append((as_is.withColumn("tree", F.lit(ROOT_TREES)) if depth else at_root).select("node", "cid", F.col("count").alias("size"), "tree"))
         depth += 1
         at = F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(TOKENS)).cast("int")  # the token selected at this node
         level = large.join(packed, "node", "left_anti").join(classes.select("cid", "sketch"), "cid").select(
@@ -133,17 +136,18 @@ def nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     empty = classes.select(F.col("cid").alias("node"), "cid").limit(0)
     for s in small:
         empty = empty.unionByName(s)
-    none = classes.select(F.col("cid").alias("node"), "cid", F.col("n").alias("size")).limit(0)
+    none = classes.select(F.col("cid").alias("node"), "cid", F.col("n").alias("size"), F.lit(0).alias("tree")).limit(0)
     for s in big:
         none = none.unionByName(s)
     return empty, none
 
 
-def _pairs(units, side, cid, n, sketch, comp, least: float, floor: float):
+def _pairs(units, side, cid, n, sketch, comp, tree, seats, least: float, floor: float):
     """Index pairs within equal units (rows sorted by unit) that may be similar, with their estimates.
 
     Rows of side 0 are compared with each other; rows of side 1 with those of side 2, and, once for each pair, with those of side 3. Rows
-    of one component are not compared at all (component -1: unknown).
+    of one component are not compared at all (component -1: unknown). Two rows that also sit in one dense root of an earlier tree than their
+    unit's are compared there.
     """
     out = []
     at = np.arange(len(units))
@@ -157,6 +161,8 @@ def _pairs(units, side, cid, n, sketch, comp, least: float, floor: float):
         s, t = side[at], side[b]
         meet = (s + t == 0) | (s * t == 2) | ((s == 1) & (t == 3) & (cid[at] < cid[b])) | ((s == 3) & (t == 1) & (cid[at] > cid[b]))
         ok = meet & (np.minimum(n[at], n[b]) >= floor * np.maximum(n[at], n[b])) & ((comp[at] < 0) | (comp[at] != comp[b]))
+        for k, seat in enumerate(seats):
+            ok &= ~((tree[at] > k) & (seat[at] == seat[b]) & (seat[at] != 0))
         i, j = at[ok], b[ok]
         for k in range(0, len(i), 1 << 13):
             p, q = i[k:k + (1 << 13)], j[k:k + (1 << 13)]
@@ -181,7 +187,7 @@ def _candidates(threshold: float, forest: bool):
         take = lambda name: rows.column(name).to_numpy()[order]
         packed = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, TOKENS // 2)[order]
         sketch = np.concatenate([packed >> 4, packed & 15], axis=1)
-        i, j, share = _pairs(units, take("side"), take("cid"), take("n"), sketch, take("place"), least, threshold)
+        i, j, share = _pairs(units, take("side"), take("cid"), take("n"), sketch, take("place"), take("tree"), [take(x) for x in SEATS], least, threshold)
         if forest and len(i):
             top = list(range(len(units)))
 
@@ -223,9 +229,9 @@ def _candidates(threshold: float, forest: bool):
 
 
 def candidates(units: DataFrame, classes: DataFrame, threshold: float, forest: bool) -> DataFrame:
-    """(a, b) of unit members whose sketches agree enough; units are (unit, cid, side, place)."""
+    """(a, b) of unit members whose sketches agree enough; units are (unit, cid, side, place, tree, *SEATS)."""
     rows = units.join(classes.select("cid", "n", "sketch"), "cid").repartition("unit").sortWithinPartitions("unit").select(
-        "unit", "cid", "side", "place", "n", "sketch")
+        "unit", "cid", "side", "place", "tree", *SEATS, "n", "sketch")
     return rows.mapInArrow(_candidates(threshold, forest), "a long, b long").distinct()
 
 
@@ -308,7 +314,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     dealt = large.select("node", "cid", F.pmod(F.xxhash64("node", "cid"), blocks).alias("block"), blocks.alias("blocks"))
     lead = large.groupBy("node", "size").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("cid", "node"), F.greatest(F.lit(1), (F.col("size") / (4 * LEADERS)).cast("long"))) == 0, F.col("cid")))), 1, LEADERS).alias("leaders"))
     led = lead.select("node", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "leaders").select("node", "block", F.explode("leaders").alias("cid"))
-    unknown = [F.lit(0).alias("side"), F.lit(-1).cast("long").alias("place")]
+    unknown = [F.lit(0).alias("side"), F.lit(-1).cast("long").alias("place"), F.lit(0).alias("tree"), *[F.lit(0).cast("long").alias(x) for x in SEATS]]
     in_blocks = dealt.select("node", "block", "cid").unionByName(led).distinct().select(F.xxhash64("node", "block").alias("unit"), "cid", *unknown)
     small_units = small.select(F.col("node").alias("unit"), "cid", *unknown)
     units = small_units.unionByName(in_blocks)
@@ -320,19 +326,21 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     label = components(sure)
     placed = settle(classes.select("cid").join(label, "cid", "left").select("cid", F.coalesce("label", "cid").alias("place")), "near-places")
     positive = F.col("place").bitwiseAND(F.lit((1 << 62) - 1)).alias("place")
-    again = small_units.select("unit", "cid", "side").join(placed, "cid").select("unit", "cid", "side", positive)
+    again = small_units.select("unit", "cid", "side").join(placed, "cid").select("unit", "cid", "side", positive, F.lit(ROOT_TREES).alias("tree"))
     mixed = again.groupBy("unit").agg((F.min("place") < F.max("place")).alias("apart")).filter("apart").select("unit")
     again = again.join(mixed, "unit", "left_semi")
-    at_large = large.join(placed, "cid").select("node", "cid", "size", positive)
+    at_large = large.join(placed, "cid").select("node", "cid", "size", "tree", positive)
     biggest = at_large.groupBy("node", "place").count().groupBy("node").agg(F.max_by("place", F.struct("count", "place")).alias("main"))
     out_in = settle(at_large.join(biggest, "node").withColumn("out", F.col("place") != F.col("main")), "near-outside")
     outside = out_in.filter("out").groupBy("node").agg(F.expr(f"cast(ceil(count(*) / {NODE_ROWS}) as long)").alias("chunks"))
     outs = out_in.filter("out").join(outside, "node").withColumn("chunk", F.pmod(F.xxhash64("cid", F.lit(3)), F.col("chunks"))).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select("node", "chunk", "block", "cid", "place", F.lit(1).alias("side"))
+        "block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select("node", "chunk", "block", "cid", "place", "tree", F.lit(1).alias("side"))
     ins = out_in.join(outside, "node").withColumn("block", F.pmod(F.xxhash64("node", "cid"), blocks)).withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("node", "chunk", "block", "cid", "place", F.when(F.col("out"), 3).otherwise(2).alias("side"))
-    crossing = outs.unionByName(ins).select(F.xxhash64("node", "chunk", "block", F.lit(1)).alias("unit"), "cid", "side", "place")
-    more = candidates(again.unionByName(crossing), classes, threshold, forest=False).join(tried, ["a", "b"], "left_anti")
+        "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("node", "chunk", "block", "cid", "place", "tree", F.when(F.col("out"), 3).otherwise(2).alias("side"))
+    crossing = outs.unionByName(ins).select(F.xxhash64("node", "chunk", "block", F.lit(1)).alias("unit"), "cid", "side", "place", "tree")
+    seats = large.filter(F.col("tree") < ROOT_TREES).groupBy("cid").agg(*[F.max(F.when(F.col("tree") == k, F.col("node"))).alias(x) for k, x in enumerate(SEATS)])
+    seated = again.unionByName(crossing).join(seats, "cid", "left").select("unit", "cid", "side", "place", "tree", *[F.coalesce(x, F.lit(0).cast("long")).alias(x) for x in SEATS])
+    more = candidates(seated, classes, threshold, forest=False).join(tried, ["a", "b"], "left_anti")
     more = settle(more, "near-more")
     unread = ends(more).join(texts, "cid", "left_anti")
     if not unread.isEmpty():  # met only in a large node
