@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 
 from .common import col, packed, unpacked
 
-MAX_ARCS = 400_000
-MAX_PIECES = 600_000
+MAX_ARCS = 200_000
+MAX_PIECES = 200_000
 NEVER = 1 << 60
 LOOKBACK = 1 << 14  # bytes between emissions inside one match; far above the longest token
 ROWS_OUT_BYTES = 8 << 20
@@ -341,14 +341,14 @@ def _slices(batch: pa.RecordBatch, name: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, step)
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """All columns of ``docs`` and ``ids_col``: array<int> of each whole text (null and empty: no ids).
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
+    """All columns of ``docs`` (or those to ``keep``) and ``ids_col``: array<int> of each whole text (null and empty: no ids).
 
     No special tokens. Rows are independent: repeated rows and ties need no rule, an empty table gives no rows, and a
     column named like ``ids_col`` is replaced.
     """
     shared = Shared(docs.sparkSession, ranks)
-    df = packed(docs, text=F.coalesce(col(text_col), F.lit("")))
+    df = packed(docs, keep, text=F.coalesce(col(text_col), F.lit("")))
 
     def run(batches):
         encoder = _once(Encoder, shared, pattern)
@@ -364,7 +364,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
                 yield pa.RecordBatch.from_arrays([batch.column("row"), ids], names=["row", "ids"])
 
     out = T.StructType([df.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return unpacked(df.mapInArrow(run, out).withColumnRenamed("ids", ids_col), docs.columns, [ids_col])
+    return unpacked(df.mapInArrow(run, out).withColumnRenamed("ids", ids_col), docs.columns if keep is None else keep, [ids_col])
 
 
 def decode(coded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

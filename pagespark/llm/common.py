@@ -45,9 +45,9 @@ def row_key(*cols: Column) -> Column:
     return F.xxhash64(*cols)
 
 
-def packed(df: DataFrame, **inputs: Column) -> DataFrame:
-    """One struct ``row`` of all columns, whatever their names, and the operator's inputs beside it."""
-    return df.select(F.struct(*[col(c) for c in df.columns]).alias("row"), *[c.alias(n) for n, c in inputs.items()])
+def packed(df: DataFrame, keep: Sequence[str] | None = None, **inputs: Column) -> DataFrame:
+    """One struct ``row`` of all columns (or those to ``keep``), whatever their names, and the operator's inputs beside it."""
+    return df.select(F.struct(*[col(c) for c in (df.columns if keep is None else keep)]).alias("row"), *[c.alias(n) for n, c in inputs.items()])
 
 
 def unpacked(df: DataFrame, columns: Sequence[str], results: Sequence[str]) -> DataFrame:
