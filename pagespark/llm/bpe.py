@@ -341,6 +341,20 @@ def _slices(batch: pa.RecordBatch, name: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, step)
 
 
+def _packed_ids(coded: list[bytes]) -> pa.ListArray:
+    """array<int> column of each text's packed ids."""
+    offsets = [0]
+    for ids in coded:
+        offsets.append(offsets[-1] + len(ids) // 4)
+    values = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(coded))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def _texts(decoder: Decoder, ids: pa.ListArray) -> list[str]:
+    values, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_pylist()
+    return [decoder.decode(values[a:b].tolist()) for a, b in zip(ends, ends[1:])]
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """All columns of ``docs`` (or those to ``keep``) and ``ids_col``: array<int> of each whole text (null and empty: no ids).
 
@@ -354,19 +368,34 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
         encoder = _once(Encoder, shared, pattern)
         for whole in batches:
             for batch in _slices(whole, "text"):
-                done = [encoder.encode(t) for t in batch.column("text").to_pylist()]
-                offsets, at = [0], 0
-                for d in done:
-                    at += len(d) // 4
-                    offsets.append(at)
-                values = pa.Array.from_buffers(pa.int32(), at, [None, pa.py_buffer(b"".join(done))])
-                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+                ids = _packed_ids([encoder.encode(t.as_py()) for t in batch.column("text")])
                 yield pa.RecordBatch.from_arrays([batch.column("row"), ids], names=["row", "ids"])
 
     out = T.StructType([df.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return unpacked(df.mapInArrow(run, out).withColumnRenamed("ids", ids_col), docs.columns if keep is None else keep, [ids_col])
 
 
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded",
+               keep: list[str] | None = None) -> DataFrame:
+    """``encode`` and then ``decode`` of its ids, in one Python worker a task instead of two, each with a vocabulary of its own.
+
+    Columns are those of ``encode`` and ``decoded_col``; the rules are those of the two.
+    """
+    shared = Shared(docs.sparkSession, ranks)
+    df = packed(docs, keep, text=F.coalesce(col(text_col), F.lit("")))
+
+    def run(batches):
+        encoder, decoder = _once(Encoder, shared, pattern), _once(Decoder, shared)
+        for whole in batches:
+            for batch in _slices(whole, "text"):
+                ids = _packed_ids([encoder.encode(t.as_py()) for t in batch.column("text")])
+                yield pa.RecordBatch.from_arrays([batch.column("row"), ids, pa.array(_texts(decoder, ids), pa.string())], names=["row", "ids", "decoded"])
+
+    out = T.StructType([df.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    named = df.mapInArrow(run, out).withColumnsRenamed({"ids": ids_col, "decoded": decoded_col})
+    return unpacked(named, docs.columns if keep is None else keep, [ids_col, decoded_col])
+
+
 def decode(coded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """All columns and ``text_col``: the text of ``ids_col``, with U+FFFD for bytes that are not UTF-8; null ids give the empty text."""
     shared = Shared(coded.sparkSession, ranks)
@@ -376,9 +405,7 @@ def decode(coded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", text
         decoder = _once(Decoder, shared)
         for whole in batches:
             for batch in _slices(whole, "ids"):
-                ids = batch.column("ids")
-                values, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_pylist()
-                texts = [decoder.decode(values[a:b].tolist()) for a, b in zip(ends, ends[1:])]
+                texts = _texts(decoder, batch.column("ids"))
                 yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
     out = T.StructType([df.schema["row"], T.StructField("text", T.StringType())])

@@ -71,10 +71,13 @@ def test_utf8_machine_is_split_invariant():
 
 
 def test_bpe_rows(documents, nothing):
-    out = bpe.decode(bpe.encode(documents, RANKS, public_tokenizers.PATTERN), RANKS).collect()
-    assert len(out) == 9
-    for r in out:
-        assert r["ids"] == REAL.encode_ordinary(r["text"] or "") and r["decoded"] == (r["text"] or "") and r["row"] == "x"
+    apart = bpe.decode(bpe.encode(documents, RANKS, public_tokenizers.PATTERN), RANKS)
+    together = bpe.round_trip(documents, RANKS, public_tokenizers.PATTERN)
+    assert together.columns == apart.columns
+    for out in (apart.collect(), together.collect()):
+        assert len(out) == 9
+        for r in out:
+            assert r["ids"] == REAL.encode_ordinary(r["text"] or "") and r["decoded"] == (r["text"] or "") and r["row"] == "x"
     assert bpe.encode(nothing, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
