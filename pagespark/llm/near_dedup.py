@@ -27,7 +27,10 @@ from .common import col, row_key, settle
 
 TREES = 12
 TOKENS = 512
-TOKEN_BITS = 4  # of a token, in a sketch
+TOKEN_BITS = 2  # of a token, in a sketch
+LETTERS = 64  # tokens that nodes branch by, four bits each; the first PROBES only tell dense nodes
+PROBES = 8
+FILTER_WORDS = 1 << 18  # 64-bit words of the filter in front of texts: 2 MB however many keys
 NODE_ROWS = 96
 DEPTH = 10
 ROOT_TREES = 5  # trees whose dense roots are compared: a pair at 0.85 is in none of them with 0.15**5
@@ -76,33 +79,36 @@ def minwise(found: np.ndarray) -> np.ndarray:
 def _signatures(words: int):
     def run(batches):
         for batch in batches:
-            n, cids, sketches, keys = [], [], [], []
+            n, cids, sketches, letters, keys = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingles(text, words)
                 n.append(len(found))
                 if not len(found):
                     cids.append(None)
                     sketches.append(None)
+                    letters.append(None)
                     keys.append(None)
                     continue
                 tokens = minwise(found)
                 cids.append(int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True))
-                low = (tokens & np.uint32(15)).astype(np.uint8)
-                sketches.append((low[::2] << 4 | low[1::2]).tobytes())
+                low = (tokens & np.uint32(3)).astype(np.uint8)
+                sketches.append((low[::4] << 6 | low[1::4] << 4 | low[2::4] << 2 | low[3::4]).tobytes())
+                letters.append("".join(f"{t & 15:x}" for t in tokens[TREES:TREES + LETTERS].tolist()))
                 roots = tokens[:TREES].astype(np.uint64) + (np.arange(TREES, dtype=np.uint64) << np.uint64(40))
                 keys.append(_mix(roots * _ODD[0]).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("rk"), pa.array(n, pa.int64()), pa.array(cids, pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["id", "rk", "n", "cid", "sketch", "roots"])
+                [batch.column("id"), batch.column("rk"), pa.array(n, pa.int64()), pa.array(cids, pa.int64()), pa.array(sketches, pa.binary()), pa.array(letters, pa.string()),
+                 pa.array(keys, pa.list_(pa.int64()))],
+                names=["id", "rk", "n", "cid", "sketch", "letters", "roots"])
     return run
 
 
 def dense(large: DataFrame, classes: DataFrame) -> DataFrame:
     """``node`` of the nodes whose members agree with each other in half of their tokens, on average; from a few tokens' counts."""
-    letter = F.array(*[F.struct(F.lit(k).alias("k"), F.substring("letters", 61 * k + 1, 1).alias("v")) for k in range(8)])
-    counts = large.join(classes.select("cid", F.hex("sketch").alias("letters")), "cid").select("node", "count", F.inline(letter)).groupBy("node", "count", "k", "v").agg(
+    letter = F.array(*[F.struct(F.lit(k).alias("k"), F.substring("letters", k + 1, 1).alias("v")) for k in range(PROBES)])
+    counts = large.join(classes.select("cid", F.substring("letters", 1, PROBES).alias("letters")), "cid").select("node", "count", F.inline(letter)).groupBy("node", "count", "k", "v").agg(
         F.count("*").alias("c"))
-    agree = F.sum(F.col("c") * F.col("c")) / F.first("count") / F.first("count") / 8
+    agree = F.sum(F.col("c") * F.col("c")) / F.first("count") / F.first("count") / PROBES
     return counts.groupBy("node").agg(agree.alias("agree")).filter((F.col("agree") * 16 - 1) / 15 >= 0.5).select("node")
 
 
@@ -130,9 +136,9 @@ def nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         at_root = as_is.filter(F.col("tree") < ROOT_TREES)
         big.append((as_is.withColumn("tree", F.lit(ROOT_TREES)) if depth else at_root).select("node", "cid", F.col("count").alias("size"), "tree"))
         depth += 1
-        at = F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(TOKENS)).cast("int")  # the token selected at this node
-        level = large.join(packed, "node", "left_anti").join(classes.select("cid", "sketch"), "cid").select(
-            "cid", "tree", F.xxhash64("node", F.substr(F.hex("sketch"), at + 1, F.lit(1))).alias("node"))
+        at = (F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(LETTERS - PROBES)) + PROBES).cast("int")  # the token selected at this node
+        level = large.join(packed, "node", "left_anti").join(classes.select("cid", "letters"), "cid").select(
+            "cid", "tree", F.xxhash64("node", F.substr("letters", at + 1, F.lit(1))).alias("node"))
     empty = classes.select(F.col("cid").alias("node"), "cid").limit(0)
     for s in small:
         empty = empty.unionByName(s)
@@ -166,7 +172,7 @@ def _pairs(units, side, cid, n, sketch, comp, tree, seats, least: float, floor:
         i, j = at[ok], b[ok]
         for k in range(0, len(i), 1 << 13):
             p, q = i[k:k + (1 << 13)], j[k:k + (1 << 13)]
-            share = ((sketch[p] == sketch[q]).mean(1) * 16 - 1) / 15  # a sixteenth of unequal tokens agrees by chance
+            share = (np.count_nonzero(sketch[p] == sketch[q], axis=1) * (4 / TOKENS) - 1) / 3  # a quarter of unequal tokens agrees by chance
             like = share >= least
             out.append((p[like], q[like], share[like]))
         step += 1
@@ -185,8 +191,8 @@ def _candidates(threshold: float, forest: bool):
         order = np.argsort(units, kind="stable")
         units = units[order]
         take = lambda name: rows.column(name).to_numpy()[order]
-        packed = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, TOKENS // 2)[order]
-        sketch = np.concatenate([packed >> 4, packed & 15], axis=1)
+        packed = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, TOKENS // 4)[order]
+        sketch = np.concatenate([packed >> 6, packed >> 4 & 3, packed >> 2 & 3, packed & 3], axis=1)
         i, j, share = _pairs(units, take("side"), take("cid"), take("n"), sketch, take("place"), take("tree"), [take(x) for x in SEATS], least, threshold)
         if forest and len(i):
             top = list(range(len(units)))
@@ -274,6 +280,19 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) ->
     return rows.mapInArrow(run, "a long, b long")
 
 
+def likely(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``rk`` is not among the keys; none that is among them goes.
+
+    A Bloom filter of one bit a key, as a table of at most FILTER_WORDS rows (so its broadcast is bounded); where keys are
+    many it passes more rows, and the exact join that follows drops them.
+    """
+    word, bit = F.pmod("rk", F.lit(FILTER_WORDS)), F.pmod(F.shiftrightunsigned("rk", 40), F.lit(64)).cast("int")
+    one = F.lit(1).cast("long")
+    words = keys.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", one, bit)).alias("bits"))
+    hit = F.call_function("shiftrightunsigned", F.col("bits"), bit).bitwiseAND(one) == 1
+    return rows.join(F.broadcast(words), word == F.col("word")).filter(hit).select(rows.columns)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(cid, label) of every linked class: smallest label of the neighbours, with pointer jumping, until nothing changes."""
     both = settle(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-links")
@@ -296,15 +315,15 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     share its fate; a null id is never smallest unless the component has no other. An empty table gives no rows; other columns are ignored.
     """
     base = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).withColumn("rk", row_key(F.col("id"), F.col("text")))
-    out = T.StructType([base.schema["id"], *T.StructType.fromDDL("rk long, n long, cid long, sketch binary, roots array<long>").fields])
+    out = T.StructType([base.schema["id"], *T.StructType.fromDDL("rk long, n long, cid long, sketch binary, letters string, roots array<long>").fields])
     signed = settle(base.select("id", "rk", "text").mapInArrow(_signatures(words), out), "near-signatures")
     classes = settle(signed.filter("n > 0").groupBy("cid").agg(
-        F.min("id").alias("first_id"), F.min("rk").alias("rk"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("roots").alias("roots")), "near-classes")
+        F.min("id").alias("first_id"), F.min("rk").alias("rk"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("letters").alias("letters"), F.first("roots").alias("roots")), "near-classes")
 
     def texts_of(cids: DataFrame, purpose: str) -> DataFrame:
-        """(cid, text) of some classes: keys meet first, so that texts are shuffled once."""
-        keys = classes.select("cid", "rk").join(cids, "cid", "left_semi")
-        return settle(base.select("rk", "text").join(keys, "rk").dropDuplicates(["cid"]).select("cid", "text"), purpose)
+        """(cid, text) of some classes: their keys meet first, and few texts of other keys are shuffled."""
+        keys = settle(classes.select("cid", "rk").join(cids, "cid", "left_semi"), "near-keys")
+        return settle(likely(base.select("rk", "text"), keys).join(keys, "rk").dropDuplicates(["cid"]).select("cid", "text"), purpose)
 
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
