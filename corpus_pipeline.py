@@ -37,8 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row, decoded again to prove the round trip."""
     ranks = bpe.read_ranks(spark, public_tokenizers.path(RANKS))
-    coded = bpe.encode(docs.select("doc_id", "source", "text"), ranks, public_tokenizers.PATTERN)
-    return bpe.decode(coded, ranks).select(
+    return bpe.round_trip(docs.select("doc_id", "source", "text"), ranks, public_tokenizers.PATTERN).select(
         "doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
         (F.coalesce(F.col("text"), F.lit("")) == F.col("decoded")).alias("round_trip"))
 
