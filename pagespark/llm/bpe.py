@@ -59,6 +59,7 @@ class Transducer:
                     node = self.child[key] = len(self.token_at)
                     self.token_at.append(-1)
             self.token_at[node] = rank
+        self.inner = {key >> 8 for key in self.child}  # nodes from which some token goes on
         self.longest = max(map(len, ranks), default=1)
         self._edges: dict[int, tuple | None] = {}
         self._pairs: dict[tuple[int, int], bool] = {}
@@ -140,14 +141,19 @@ class Transducer:
     def _arc(self, state: int, byte: int) -> tuple[int, int]:
         live = []
         fresh = -1
+        child, inner, token_at, pairs = self.child, self.inner, self.token_at, self._pairs
         for node, last in self.states[state]:
-            to = self.child.get(node << 8 | byte)
+            to = child.get(node << 8 | byte)
             if to is None:
                 continue
-            live.append((to, last))
-            token = self.token_at[to]
-            if token >= 0 and fresh < 0 and self.follows(last, token):
-                fresh = token
+            if to in inner:
+                live.append((to, last))
+            if fresh < 0:
+                token = token_at[to]
+                if token >= 0:
+                    fits = pairs.get(last << 32 | token)
+                    if self.follows(last, token) if fits is None else fits:
+                        fresh = token
         if fresh < 0:
             raise ValueError("the vocabulary lacks a byte")
         live.append((0, fresh))
