@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-MAX_DEPTH = 256
+MAX_ANCESTORS = 16_000_000  # entries of all ancestor lists of a page: what a page of any depth may take of a task's memory
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,6 +48,7 @@ class _Builder(HTMLParser):
         self.head = self.body = None
         self.stack = [self.root]
         self.active: list[tuple[str, tuple] | None] = []
+        self.ancestors = 0
 
     # --- tree edits ---
 
@@ -55,9 +56,10 @@ class _Builder(HTMLParser):
         parent = self.stack[-1]
         node = _Node(parent, kind, tag, attrs, text)
         parent.kids.append(node)
+        self.ancestors += len(self.stack)
+        if self.ancestors > MAX_ANCESTORS:
+            raise DocumentError(f"more than {MAX_ANCESTORS} ancestors of all nodes")
         if kind == "element" and tag not in VOID:
-            if len(self.stack) >= MAX_DEPTH:
-                raise DocumentError(f"nested deeper than {MAX_DEPTH}")
             self.stack.append(node)
         return node
 

@@ -21,7 +21,7 @@ _NUMBER = "(?:0[xX][0-9a-fA-F]*|[0-9]+)"
 def _ipv4_number(label: Column) -> Column:
     """A label as an IPv4 number (hex, octal or decimal), null when it is not one."""
     digits = (
-        F.when(label.rlike("^0[xX][0-9a-fA-F]*$"), F.conv(F.concat(F.lit("0"), F.substring(label, 3, 40)), 16, 10))
+        F.when(label.rlike("^0[xX][0-9a-fA-F]*$"), F.conv(F.regexp_replace(label, "^0[xX]0*", "0"), 16, 10))
         .when(label.rlike("^0[0-7]+$"), F.conv(label, 8, 10))
         .when(label.rlike("^(0|[1-9][0-9]*)$"), label)
     )

@@ -77,8 +77,8 @@ def _blank_values(list_json: Column, add_missing: bool) -> Column:
 def redact(tool: Column, args: Column) -> Column:
     """Arguments with secrets blanked and everything else kept, key order included.
 
-    Only calls of tools that carry secrets are parsed at all. Text that is not a JSON object
-    passes unchanged, as do calls of other tools.
+    Only calls of tools that carry secrets are parsed at all; of those, text that is no JSON becomes
+    the marker. JSON that is not an object passes unchanged, as do calls of other tools.
     """
     fields = F.from_json(args, "map<string,variant>")
     gone = F.lit(f'"{GONE}"')
@@ -110,12 +110,19 @@ def redact(tool: Column, args: Column) -> Column:
                 F.map_entries(heads), lambda h: F.struct(h["key"].alias("key"), gone.alias("json"))
             )),
         )
+        new = new.when(  # a list counts as an object whose keys are its positions
+            (tool == "browser_configure") & (key == "extra_headers") & _kind(v).startswith("ARRAY"),
+            _object_text(F.transform(
+                F.filter(F.sequence(F.lit(0), F.json_array_length(raw)), lambda i: i < F.json_array_length(raw)),
+                lambda i: F.struct(i.cast("string").alias("key"), gone.alias("json"))
+            )),
+        )
         return F.struct(key.alias("key"), new.otherwise(raw).alias("json"))
 
     careful = tool.isin(
         *SECRET_ARGS, *SECRET_LISTS, "browser_evaluate", "browser_upload", "browser_configure"
     )
-    return F.when(
+    return F.when(careful & args.isNotNull() & F.try_parse_json(args).isNull(), gone).when(
         careful & F.ltrim(args).startswith("{") & fields.isNotNull(),
         _object_text(F.transform(F.map_entries(fields), rewrite)),
     ).otherwise(args)

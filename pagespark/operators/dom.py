@@ -121,11 +121,26 @@ def attr(n: Column, name: str) -> Column:
 
 
 def drop_subtrees(nodes: Column, doomed) -> Column:
-    """Nodes outside every sub-tree whose root satisfies ``doomed``."""
-    hit = F.filter(nodes, lambda n: (n["kind"] == "element") & doomed(n))
-    spans = F.transform(hit, lambda n: F.struct(n["ord"].alias("a"), n["last"].alias("b")))
-    return let(spans, lambda gone: F.filter(
-        nodes, lambda n: ~F.exists(gone, lambda s: n["ord"].between(s["a"], s["b"]))))
+    """Nodes outside every sub-tree whose root satisfies ``doomed``.
+
+    In a page or sub-tree without gaps a node's flag is found by its position, so the work is that of the ancestor
+    lists. After an earlier cut positions no longer tell, and each node is held against the spans.
+    """
+    def by_flags(flags, first):
+        gone = lambda i: F.coalesce(F.get(flags, i - first), F.lit(False))
+        return F.filter(nodes, lambda n: ~gone(n["ord"]) & ~F.exists(n["anc"], lambda a: (a >= first) & gone(a)))
+
+    def by_spans():
+        hit = F.filter(nodes, lambda n: (n["kind"] == "element") & doomed(n))
+        spans = F.transform(hit, lambda n: F.struct(n["ord"].alias("a"), n["last"].alias("b")))
+        return let(spans, lambda gone: F.filter(
+            nodes, lambda n: ~F.exists(gone, lambda s: n["ord"].between(s["a"], s["b"]))))
+
+    first = F.get(nodes, F.lit(0))["ord"]
+    whole = F.size(nodes) == F.element_at(nodes, -1)["ord"] - first + 1
+    flags = F.transform(nodes, lambda n: F.coalesce((n["kind"] == "element") & doomed(n), F.lit(False)))
+    return F.when(F.size(nodes) == 0, nodes).when(
+        whole, let(flags, lambda f: let(first, lambda at: by_flags(f, at)))).otherwise(by_spans())
 
 
 def inside(nodes: Column, root: Column) -> Column:

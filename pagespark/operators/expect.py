@@ -134,7 +134,7 @@ def check_expectations(dom: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One row per page and rule: ok, actual, detail and the PASS / FAIL line.
 
     Rules come as a short list, so each becomes an expression of the page row; bad patterns
-    and incomplete rules are failing rows, never failing jobs.
+    and incomplete rules are failing rows, never failing jobs, and so are pages that cannot be parsed.
     """
     spark, nodes = dom.sparkSession, F.col("nodes")
     known = {*ELEMENT_STATES, *TEXT_CHECKS, *PAGE_CHECKS, "value_equals", "count"}
@@ -145,9 +145,10 @@ def check_expectations(dom: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         F.struct(
             F.lit(r.rule_id).alias("rule_id"), F.lit(r.assertion).alias("assertion"),
             F.lit(None if r.expected is None else json.dumps(r.expected, ensure_ascii=False)).cast("string").alias("expected"),
-            F.lit(r.timeout_ms).alias("timeout_ms"), _outcome(spark, nodes, r).alias("r"))
+            F.lit(r.timeout_ms).alias("timeout_ms"),
+            F.when(F.col("error").isNotNull(), _result(F.lit(False), detail=F.col("error"))).otherwise(_outcome(spark, nodes, r)).alias("r"))
         for r in rules])
-    rows = dom.filter(F.col("error").isNull()).select("page_id", F.explode(checks).alias("c")).select(
+    rows = dom.select("page_id", F.explode(checks).alias("c")).select(
         "page_id", "c.rule_id", "c.assertion", "c.expected", "c.timeout_ms", "c.r.*")
     return rows.withColumn("report", report_line()).drop("timeout_ms")
 

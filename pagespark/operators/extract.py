@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -236,12 +238,12 @@ def title_col(nodes: Column) -> Column:
     return squash(F.coalesce(text, F.lit("")))
 
 
-def to_markdown(dom: DataFrame, fallback: str | None = "plain", max_chars: int = MAX_CHARS) -> DataFrame:
+def to_markdown(dom: DataFrame, fallback: str | None = "plain", max_chars: int = MAX_CHARS, carry: Sequence[str] = ()) -> DataFrame:
     """Markdown of the main article under the page title.
 
     When the trimmed result has fewer than 100 characters, the plain text (``fallback``:
     'plain', a column name, or None) takes over if it is longer; only without any fallback
-    the whole body is converted instead.
+    the whole body is converted instead. Columns to ``carry`` follow.
     """
     n = F.col("nodes")
     staged = dom.withColumn("_title", title_col(n)).withColumn("_md", markdown_of(inside(n, article_root(n))))
@@ -260,7 +262,7 @@ def to_markdown(dom: DataFrame, fallback: str | None = "plain", max_chars: int =
     text = truncate_col(F.col("_text"), max_chars)
     return staged.withColumn("_text", trim_all(chosen)).select(
         "page_id", "url",
-        F.when(F.col("cut"), F.concat(text, F.lit(HTML_CUT_WARNING))).otherwise(text).alias("text"),
+        F.when(F.col("cut"), F.concat(text, F.lit(HTML_CUT_WARNING))).otherwise(text).alias("text"), *carry,
     )
 
 
@@ -281,7 +283,7 @@ def read_content(
     pages: DataFrame, mode: str = "markdown", selector: str | None = None,
     max_chars: int = MAX_CHARS, compact: bool | None = None,
 ) -> DataFrame:
-    """url, mode, content of each page; ``error`` instead of content where a selector finds nothing.
+    """url, mode, content of each page; ``error`` instead of content where a page cannot be parsed or a selector finds nothing.
 
     Compact defaults to off for Markdown and on for text and HTML.
     """
@@ -298,29 +300,28 @@ def read_content(
     n = F.col("nodes")
     if mode == "markdown":
         shown = dom.withColumn("_plain_text", plain_text_col(n))
-        out = to_markdown(strip_compact(shown) if strip else shown, "_plain_text", max_chars)
+        out = to_markdown(strip_compact(shown) if strip else shown, "_plain_text", max_chars, carry=["error"])
     elif mode == "text":
         out = dom.select("page_id", "url", truncate_col(
-            compact_text_col(n) if strip else plain_text_col(n), max_chars).alias("text"))
+            compact_text_col(n) if strip else plain_text_col(n), max_chars).alias("text"), "error")
     else:
         kept = compact_body(n) if strip else n
         out = dom.withColumn("_n", kept).select(
-            "page_id", "url", truncate_col(html_of(F.col("_n")), max_chars).alias("text"))
-    if selector is None:
-        return out.select("page_id", "url", F.lit(mode).alias("mode"), F.col("text").alias("content"),
-                          F.lit(None).cast("string").alias("error"))
-    # The text columns are null exactly for pages without nodes.
-    not_found = F.when(F.col("text").isNull(), F.lit(f"Selector not found: {selector}"))
-    return out.select("page_id", "url", F.lit(mode).alias("mode"), F.col("text").alias("content"), not_found.alias("error"))
+            "page_id", "url", truncate_col(html_of(F.col("_n")), max_chars).alias("text"), "error")
+    return out.select(
+        "page_id", "url", F.lit(mode).alias("mode"), F.when(F.col("error").isNull(), F.col("text")).alias("content"), "error")
 
 
 def page_info(dom: DataFrame, net: DataFrame | None = None) -> DataFrame:
-    """Title, url and status line of each page; ``net`` (url, status) is optional."""
+    """Title, url and latest status line of each page; ``net`` (url, status, seq) is optional.
+
+    The entry with the largest ``seq`` counts, of equal ones the larger status; entries without a status do not.
+    """
     info = dom.select("page_id", "url", title_col(F.col("nodes")).alias("title"))
     if net is None:
         info = info.withColumn("status", F.lit(None).cast("int"))
     else:
-        info = info.join(net.groupBy("url").agg(F.max("status").alias("status")), "url", "left")
+        info = info.join(net.filter("status IS NOT NULL").groupBy("url").agg(F.max_by("status", F.struct("seq", "status")).alias("status")), "url", "left")
     line = F.when(F.col("status").isNull() | (F.col("status") == 0), "HTTP status unknown").otherwise(
         F.concat(F.lit("HTTP "), F.col("status").cast("string"), F.when(F.col("status") >= 400, " (error)").otherwise(""))
     )

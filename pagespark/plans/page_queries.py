@@ -203,9 +203,11 @@ def page_info(spark, sf):
     return extract.page_info(_dom(spark, sf))
 
 
-@query("page_status", f"""WITH {PARTS}, s AS (SELECT url, 200 + max(page_id) % 4 * 101 AS status FROM pages GROUP BY 1)
+@query("page_status", f"""WITH {PARTS}, s AS (SELECT url, arg_max(200 + page_id % 4 * 101, page_id * 7919 % 1009 * 1000000000 + page_id) AS status FROM pages GROUP BY 1)
 SELECT page_id, p.url, trim(regexp_replace({_unescape('title')}, '\\s+', ' ', 'g')) AS title, status,
   'HTTP ' || status || CASE WHEN status >= 400 THEN ' (error)' ELSE '' END AS status_line FROM parts p JOIN s ON s.url = p.url""")
 def page_status(spark, sf):
-    net = feeds.pages(spark, sf).select("url", (200 + F.col("page_id") % 4 * 101).cast("int").alias("status"))
+    net = feeds.pages(spark, sf).select(
+        "url", (200 + F.col("page_id") % 4 * 101).cast("int").alias("status"),
+        (F.col("page_id") * 7919 % 1009 * 1000000000 + F.col("page_id")).alias("seq"))
     return extract.page_info(_dom(spark, sf), net)

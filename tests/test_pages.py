@@ -53,15 +53,43 @@ def test_tree_rules():
         (2, "p"), (3, "b"), (4, "1"), (4, "br"), (2, "p"), (3, "b"), (4, "2"), (2, "b"), (3, "3")]
     assert shape("<ul><li>a<li>b</ul>c</p>") == [(2, "ul"), (3, "li"), (4, "a"), (3, "li"), (4, "b"), (2, "c"), (2, "p")]
     assert shape("<table><tr><td>x</table>y") == [(2, "table"), (3, "tbody"), (4, "tr"), (5, "td"), (6, "x"), (2, "y")]
-    deep = "<div>" * 300
-    with pytest.raises(ValueError):
-        parse_nodes(deep)
+    assert max(r[2] for r in parse_nodes("<div>" * 3000)) == 3001
+
+
+def test_deep_pages_are_read(spark):
+    for depth in (50, 300, 2000):
+        html = "<div>" * depth + "<script>no()</script>deep text"
+        got = extract.read_content(pages(spark, html), mode="text").first()
+        assert got["content"].strip() == "deep text" and got["error"] is None
+
+
+def test_many_dropped_subtrees(spark):
+    html = "".join(f"<p>text {i}</p><script>no({i})</script><nav><p>menu</p></nav>" for i in range(8000))
+    text = extract.read_content(pages(spark, html), mode="text", max_chars=10**7).first()["content"]
+    assert text.count("text ") == 8000 and "no(" not in text and "menu" not in text
+    kept = extract.strip_compact(extract.strip_compact(dom.build_dom(pages(spark, html[:50000])))).first()["nodes"]
+    assert {n["tag"] for n in kept} == {"html", "head", "body", "p", None}
 
 
 def test_bad_pages_are_quarantined(spark):
-    d = dom.build_dom(pages(spark, "<p>ok</p>", "<div>" * 300)).cache()
+    too_deep = "<div>" * 5800
+    with pytest.raises(ValueError):
+        parse_nodes(too_deep)
+    d = dom.build_dom(pages(spark, "<p>ok</p>", too_deep)).cache()
     assert [r["page_id"] for r in dom.bad_pages(d).collect()] == [1]
     assert {r["page_id"] for r in dom.dom_nodes(d).collect()} == {0}
+    for mode in ("text", "markdown", "html"):
+        ok, bad = extract.read_content(pages(spark, "<p>ok</p>", too_deep), mode=mode, compact=True).orderBy("page_id").collect()
+        assert "ok" in ok["content"] and ok["error"] is None and bad["content"] is None and "ancestors" in bad["error"]
+    found = expect.check_expectations(d, [expect.Rule("r", "count", target="p", target_type="css", expected=1)]).orderBy("page_id").collect()
+    assert [r["ok"] for r in found] == [True, False] and "ancestors" in found[1]["detail"]
+
+
+def test_latest_status(spark):
+    net = spark.createDataFrame([("u0", 500, 1), ("u0", 200, 2), ("u0", None, 3)], "url string, status int, seq long")
+    d = dom.build_dom(pages(spark, "<p>x</p>"))
+    d = d.withColumn("url", F.lit("u0"))
+    assert extract.page_info(d, net).first()["status_line"] == "HTTP 200"
 
 
 def test_markdown(spark):

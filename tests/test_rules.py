@@ -66,6 +66,21 @@ def test_redaction_keeps_shape_and_order(spark):
     assert [r["redacted"] for r in calls.redact_args(odd).collect()] == ["42", None, "[1]"]
 
 
+def test_redaction_never_leaks(spark):
+    rows = [("browser_configure", '{"extra_headers":["Authorization: Bearer abc"]}', '{"extra_headers":{"0":"«redacted»"}}'),
+            ("browser_configure", '{"extra_headers":[]}', '{"extra_headers":{}}'),
+            ("browser_type", '{"text":"secret", bad', '"«redacted»"'), ("browser_cookies", "", '"«redacted»"'),
+            ("browser_open", "{bad", "{bad")]
+    got = calls.redact_args(spark.createDataFrame(rows, "name string, args string, want string")).collect()
+    assert [r["redacted"] for r in got] == [r["want"] for r in got]
+
+
+def test_long_hex_host(spark):
+    urls = [f"http://0x{'0' * pad}{end}/" for end in ("08080808", "7f000001") for pad in (0, 40, 400)]
+    got = url_verdict(spark.createDataFrame([(u,) for u in urls], "url string")).collect()
+    assert [(r["host"], r["safe"]) for r in got] == [("8.8.8.8", True)] * 3 + [("127.0.0.1", False)] * 3
+
+
 ARGS = [
     ("browser_find", {"query": "x"}, []), ("browser_find", {}, ["query:invalid_type"]), ("browser_find", {"query": "x", "limit": 51}, ["limit:too_big"]),
     ("browser_find", {"query": "x", "limit": 0}, ["limit:too_small"]), ("browser_network_log", {"limit": 1.5}, ["limit:invalid_type"]),
