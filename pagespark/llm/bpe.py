@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from .common import col, packed, unpacked
 
-MAX_ARCS = 200_000
+MAX_ARCS = 400_000
 MAX_PIECES = 200_000
 NEVER = 1 << 60
 LOOKBACK = 1 << 14  # bytes between emissions inside one match; far above the longest token
@@ -227,9 +227,12 @@ class Encoder:
         self.known: dict[str, bytes] = {}  # cut without its space -> ids
         self.pieces: dict[str, bytes] = {}  # match -> ids
 
-    def _piece(self, piece: str) -> bytes:
+    def _packed(self, piece: str) -> bytes:
         got = self.transducer.encode(piece.encode("utf-8"))
-        ids = struct.pack(f"<{len(got)}i", *got)
+        return struct.pack(f"<{len(got)}i", *got)
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self._packed(piece)
         if len(piece) <= 64:
             if len(self.pieces) >= self.max_pieces // 2:
                 self.pieces.clear()
@@ -249,7 +252,11 @@ class Encoder:
         return bytes(out) + b"".join(part)
 
     def _cut(self, cut: str) -> bytes:
-        ids = self._matches(" " + cut)
+        found = self.pattern.findall(" " + cut)
+        if len(found) == 1:  # the match is the cut, which is remembered below
+            ids = self.pieces.get(found[0]) or self._packed(found[0])
+        else:
+            ids = b"".join([self.pieces.get(p) or self._piece(p) for p in found])
         if len(cut) <= 64:
             if len(self.known) >= self.max_pieces:
                 self.known.clear()
