@@ -116,8 +116,9 @@ def cookies_for(cookies: DataFrame, urls: DataFrame, url: str = "url") -> DataFr
 
     The host equals the cookie's domain or lies below it, the path starts with the cookie's
     path, and secure cookies need https (or localhost). Each url is expanded to the few
-    suffixes of its host, so the match is an equi-join on the domain rather than a test of
-    all pairs.
+    suffixes of its host and to the beginnings of its path that are as long as a cookie path
+    of that domain, so the match is an equi-join on domain and path rather than a test of
+    all pairs, also inside one busy domain.
     """
     host = F.lower(F.regexp_extract(F.col(url), "^[a-zA-Z]+://(?:[^/@]*@)?([^/:?#]+)", 1))
     path = F.regexp_extract(F.col(url), "^[a-zA-Z]+://[^/?#]*([^?#]*)", 1)
@@ -126,15 +127,21 @@ def cookies_for(cookies: DataFrame, urls: DataFrame, url: str = "url") -> DataFr
         F.sequence(F.lit(1), F.size(labels)),
         lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
     )
+    domain = F.regexp_replace(F.lower("domain"), "^\\.", "")
+    lengths = cookies.groupBy(domain.alias("_domain")).agg(F.collect_set(F.length("path")).alias("_lengths"))
     wanted = urls.select(
         host.alias("_host"), F.when(path == "", "/").otherwise(path).alias("_path"),
         (F.lower(F.col(url)).startswith("https:")).alias("_https"),
-    ).select("*", F.explode(suffixes).alias("_domain")).distinct()
+    ).withColumn("_safe", F.col("_https") | (F.col("_host") == "localhost")).select(
+        "_path", "_safe", F.explode(suffixes).alias("_domain")).distinct()
+    fitting = F.filter("_lengths", lambda n: n <= F.length("_path"))
+    begun = wanted.join(lengths, "_domain").select(
+        "_domain", "_safe", F.explode(F.transform(fitting, lambda n: F.substr("_path", F.lit(1), n))).alias("_begin"),
+    ).groupBy("_domain", "_begin").agg(F.max("_safe").alias("_safe"))
     return cookies.join(
-        wanted,
-        (F.regexp_replace(F.lower("domain"), "^\\.", "") == F.col("_domain"))
-        & F.col("_path").startswith(F.col("path"))
-        & (~F.coalesce("secure", F.lit(False)) | F.col("_https") | (F.col("_host") == "localhost")),
+        begun,
+        (domain == F.col("_domain")) & (F.col("path") == F.col("_begin"))
+        & (~F.coalesce("secure", F.lit(False)) | F.col("_safe")),
         "left_semi",
     )
 
