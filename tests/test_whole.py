@@ -1,5 +1,7 @@
 """Queries work on their whole tables: rows that were once left out."""
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -30,3 +32,25 @@ def test_cookies_for_paths_and_secure(spark):
     assert {r["name"] for r in state.cookies_for(cookies, urls).collect()} == {"a", "b", "c", "e", "h"}
     plain = urls.filter(~F.col("url").startswith("https"))
     assert {r["name"] for r in state.cookies_for(cookies, plain).collect()} == {"a", "h"}
+
+
+def _batch_twin(sf, name):
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    cur = con.execute(entry.oracle_sql()[name])
+    return [d[0] for d in cur.description], cur.fetchall()
+
+
+@pytest.mark.parametrize("stream, batch, keep", [
+    ("stream_paired_requests", "paired_requests", ["req_id", "profile", "tab_id", "ts_ms", "duration_ms"]),
+    ("stream_sessions", "sessions_six_hours", ["user_id", "start_ms", "last_ms", "n_events"]),
+    ("stream_settle_times", "settle_times", ["load_id", "settled_ms"]),
+])
+def test_streams_give_all_rows(spark, sf, stream, batch, keep):
+    """A finished stream has every row of the batch operator, unmatched ends and the newest rows too."""
+    cols, want = _batch_twin(sf, batch)
+    at = [cols.index(c) for c in keep]
+    got = entry.queries()[stream](spark, sf)
+    assert sorted(got.columns) == sorted(keep)
+    assert sorted((tuple(r) for r in got.select(*keep).collect()), key=repr) == sorted((tuple(r[i] for i in at) for r in want), key=repr)
