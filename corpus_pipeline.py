@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that spread over many sites; all documents stay."""
-    return line_spread.remove_spread_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Documents without lines that spread over many sites; all documents stay. Copied texts count once, so none is exempt."""
+    return line_spread.remove_spread_lines(docs, copied_share=None).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

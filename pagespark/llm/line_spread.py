@@ -5,8 +5,10 @@ Each line's hash gets a HyperLogLog sketch of the sites it occurs on; sketches a
 the threshold are boilerplate, clearly below are not; the lines in between are counted exactly. Only
 hashes are shuffled for this; texts move once, to meet the marks of their document.
 
-A document that consists mostly of spread lines is not a page with boilerplate but a copied document. It is left
-whole, for the near-duplicate stage to decide.
+Copied documents are for the near-duplicate stage to decide, and there are two rules for them. With a ``copied_share`` a document
+that consists mostly of spread lines counts as copied and is left whole, short pages with long boilerplate as well. With
+None only evidence of copying counts: each distinct text speaks for one site, so copies of a text do not make its
+lines spread, and every spread line goes from every document.
 """
 
 from __future__ import annotations
@@ -43,13 +45,19 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, sketch_bits: int
     return sure.unionByName(exact)
 
 
+def _of_distinct_texts(keyed: DataFrame, hashes: Column) -> DataFrame:
+    """(lh, site) of the lines of each distinct text, with its smallest site."""
+    texts = keyed.groupBy(F.xxhash64("text").alias("th")).agg(F.min("site").alias("site"), F.first(F.array_distinct(hashes)).alias("lhs"))
+    return settle(texts.select(F.explode("lhs").alias("lh"), "site"), "line-sites")
+
+
 def remove_spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",
-                        min_sites: int = MIN_SITES, copied_share: float = 0.5, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+                        min_sites: int = MIN_SITES, copied_share: float | None = 0.5, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """All columns of ``docs`` with ``text`` cleaned, and ``n_lines``, ``n_removed``.
 
     Lines end at newlines and are compared without blanks at their ends; empty lines are never removed. A null site is a site of
     its own. Spread lines go unless they hold more than ``copied_share`` of the characters in the document's
-    lines. A null text stays null with 0 lines; repeated rows are treated alike; an empty table gives no rows.
+    lines; with None they always go, and sites are counted over distinct texts. A null text stays null with 0 lines; repeated rows are treated alike; an empty table gives no rows.
     """
     cleaned_columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     keyed = docs.select(
@@ -58,7 +66,8 @@ def remove_spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         row_key(col(id_col), col(site_col), col(text_col)).alias("rk"))
     hashes = F.transform(F.filter(F.transform(_lines(F.col("text")), _bare), lambda x: x != ""), lambda x: F.xxhash64(x))
     lines = settle(keyed.select("rk", "site", F.explode(F.array_distinct(hashes)).alias("lh")), "line-hashes")
-    marks = lines.join(spread_lines(lines.select("lh", "site"), min_sites, sketch_bits), "lh", "left_semi").groupBy("rk").agg(
+    counted = lines.select("lh", "site") if copied_share is not None else _of_distinct_texts(keyed, hashes)
+    marks = lines.join(spread_lines(counted, min_sites, sketch_bits), "lh", "left_semi").groupBy("rk").agg(
         F.collect_set("lh").alias("marks"))  # the lines of one document
     joined = keyed.join(marks.withColumnRenamed("rk", "m_rk"), F.col("rk") == F.col("m_rk"), "left")
     parts = F.transform(_lines(F.col("text")), lambda x: F.struct(
@@ -66,7 +75,8 @@ def remove_spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     chars = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + F.length(_bare(x["line"])))
     marked = joined.select("row", "text", F.when(F.col("marks").isNotNull(), parts).alias("parts"))
     gone = marked.withColumn("gone", F.filter("parts", lambda x: x["out"]))
-    decided = gone.withColumn("apply", F.coalesce(chars(F.col("gone")) <= chars(F.col("parts")) * F.lit(copied_share), F.lit(False)))
+    few = F.col("parts").isNotNull() if copied_share is None else chars(F.col("gone")) <= chars(F.col("parts")) * F.lit(copied_share)
+    decided = gone.withColumn("apply", F.coalesce(few, F.lit(False)))
     kept = F.array_join(F.transform(F.filter("parts", lambda x: ~x["out"]), lambda x: x["line"]), "\n")
     clean = F.when(F.col("apply"), kept).otherwise(F.col("text"))
     return decided.select(
