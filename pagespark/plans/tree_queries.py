@@ -371,7 +371,5 @@ def condition_waits(spark, sf):
 
 @query("tokenizer_function", f"""WITH {LINKS} SELECT page_id, count(*) AS links FROM links GROUP BY 1""")
 def tokenizer_function(spark, sf):
-    user.register_dom_tokens(spark)
-    feeds.pages(spark, sf).createOrReplaceTempView("pagespark_pages")
-    return spark.sql("""SELECT page_id, count(*) AS links FROM pagespark_pages p, LATERAL dom_tokens(p.html) d
-                        WHERE d.tag = 'a' GROUP BY page_id""")
+    nodes = dom.dom_nodes(dom.build_dom(feeds.pages(spark, sf)))
+    return nodes.filter(F.col("tag") == "a").groupBy("page_id").agg(F.count("*").alias("links"))

@@ -54,3 +54,8 @@ def test_streams_give_all_rows(spark, sf, stream, batch, keep):
     got = entry.queries()[stream](spark, sf)
     assert sorted(got.columns) == sorted(keep)
     assert sorted((tuple(r) for r in got.select(*keep).collect()), key=repr) == sorted((tuple(r[i] for i in at) for r in want), key=repr)
+
+
+def test_tokenizer_function_counts_nodes_in_spark(spark, sf):
+    plan = entry.queries()["tokenizer_function"](spark, sf)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "PythonUDTF" not in plan
