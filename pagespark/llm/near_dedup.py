@@ -33,7 +33,7 @@ PROBES = 8
 FILTER_WORDS = 1 << 18  # 64-bit words of the filter in front of texts: 2 MB however many keys
 NODE_ROWS = 96
 DEPTH = 10
-ROOT_TREES = 5  # trees whose dense roots are compared: a pair at 0.85 is in none of them with 0.15**5
+ROOT_TREES = TREES  # trees whose dense roots are compared: a pair at 0.8 is in none of them with 0.2**12
 LEADERS = 6
 SEATS = [f"seat{k}" for k in range(ROOT_TREES)]  # a class' dense root in each of those trees, or 0
 SLACK = 3.5  # standard errors below the threshold that still count as a candidate
@@ -116,8 +116,8 @@ def nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, cid) of the small leaves, and (node, cid, size, tree) of the large nodes that are compared as they are; below the
     roots ``tree`` is ROOT_TREES.
 
-    Those are dense nodes, which would branch in vain, and what is still large at DEPTH. Two similar classes share a dense
-    root with a probability of their similarity, so a few trees' dense roots are enough.
+    Those are dense nodes, which would branch in vain, and what is still large at DEPTH. Two similar classes share a
+    root with a probability of their similarity, so the dense roots of all trees count.
     """
     level = classes.select("cid", F.posexplode("roots").alias("tree", "node"))
     small, big, depth = [], [], 0
