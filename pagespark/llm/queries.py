@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, language, line_spread, merkle, mixing, near_dedup, toxicity, url_filter, windows
+from . import ann, bpe, exact_dedup, language, licenses, line_spread, merkle, mixing, near_dedup, toxicity, url_filter, windows
 from .common import table
 from .sql_twins import SQL
 
@@ -78,9 +78,18 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    base = F.filter("matches", lambda m: m["base"])
+    starts = F.transform(base, lambda m: m["first_word"])
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        licenses.labels(base).alias("base_labels"), licenses.labels(F.col("matches")).alias("labels"), licenses.score(F.col("matches")).alias("score"))
+
+
 JOBS = {f.__name__: f for f in (
     op1_byte_bpe, op2_exact_dedup, op3_language, op4_nearest_vectors, op5_url_filter, op6_repeated_windows, op7_line_spread, op8_toxicity,
-    op9_near_dedup, op10_mixing, op11_merkle_manifest)}
+    op9_near_dedup, op10_mixing, op11_merkle_manifest, op12_license_scan)}
 
 
 def queries() -> dict:

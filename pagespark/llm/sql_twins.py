@@ -1,5 +1,7 @@
 """SQL that gives the rows of the registered queries on the same tables."""
 
+from .licenses import BASE, TEMPLATES, as_regex, words_of
+
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
@@ -99,6 +101,22 @@ SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root,
 FROM l JOIN s USING (k) JOIN last ON last.k = l.k AND last.r = l.r, top
 """
 
+PLACES = " || ".join(
+    "[{'label': '%s', 'at': i - 1} FOR i IN range(1, len(w) + 1) IF w[i:i + %d] = %s]" % (t.label, len(ws) - 1, [x.decode() for x in ws])
+    for t in BASE for ws in [words_of(t.markup)])
+EXTRA = " || ".join(f"CASE WHEN regexp_matches(t, '{as_regex(t.markup)}') THEN [{{'label': '{t.label}', 'weight': {t.weight}::DOUBLE}}] ELSE [] END" for t in TEMPLATES)
+
+OP12 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n_words, {PLACES} AS base, ' ' || array_to_string(w, ' ') || ' ' AS t FROM d),
+e AS (SELECT *, {EXTRA} AS extra FROM p)
+SELECT doc_id, n_words, len(base) AS n_base, list_min([b.at FOR b IN base]) AS first_word, list_max([b.at FOR b IN base]) AS last_word,
+    coalesce(array_to_string(list_sort(list_distinct([b.label FOR b IN base])), ','), '') AS base_labels,
+    coalesce(array_to_string(list_sort(list_distinct([b.label FOR b IN base] || [x.label FOR x IN extra])), ','), '') AS labels,
+    greatest(CASE WHEN len(base) > 0 THEN 0.5::DOUBLE ELSE 0 END, coalesce(list_max([x.weight FOR x IN extra]), 0)) AS score
+FROM e
+"""
+
 SQL = {
     "op2_exact_dedup": OP2,
     "op5_url_filter": OP5,
@@ -106,4 +124,5 @@ SQL = {
     "op9_near_dedup": OP9,
     "op10_mixing": OP10,
     "op11_merkle_manifest": OP11,
+    "op12_license_scan": OP12,
 }
