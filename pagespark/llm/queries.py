@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, language, licenses, line_spread, merkle, mixing, near_dedup, toxicity, url_filter, windows
+from . import ann, bpe, exact_dedup, language, licenses, line_spread, merkle, mixing, near_dedup, repair, toxicity, url_filter, windows
 from .common import table
 from .sql_twins import SQL
 
@@ -87,9 +87,16 @@ def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         licenses.labels(base).alias("base_labels"), licenses.labels(F.col("matches")).alias("labels"), licenses.score(F.col("matches")).alias("score"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    done = repair.repair(repair.damaged(talks), everyone=talks)
+    return done.keys.join(done.conversations, "k").join(repair.transcript_digests(done), "k", "left").select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 JOBS = {f.__name__: f for f in (
     op1_byte_bpe, op2_exact_dedup, op3_language, op4_nearest_vectors, op5_url_filter, op6_repeated_windows, op7_line_spread, op8_toxicity,
-    op9_near_dedup, op10_mixing, op11_merkle_manifest, op12_license_scan)}
+    op9_near_dedup, op10_mixing, op11_merkle_manifest, op12_license_scan, op13_conversation_repair)}
 
 
 def queries() -> dict:

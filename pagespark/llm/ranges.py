@@ -16,9 +16,12 @@ def placed(df: DataFrame, order: Sequence[Column], purpose: str) -> DataFrame:
     """``df`` sorted by ``order`` over range partitions and written down with a long ``at`` that ascends in that order.
 
     The high bits of ``at`` are the partition, the low ones the row's position in it, so neighbours in the order are neighbours
-    in ``at`` and a key of any size is spread over as many partitions as it needs.
+    in ``at`` and a key of any size is spread over as many partitions as it needs. Rows that tie are told apart by their place in the
+    input, so no number of equal rows makes a partition large.
     """
-    return settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), purpose)
+    told = df.withColumn("told", F.monotonically_increasing_id())
+    order = [*order, F.col("told")]
+    return settle(told.repartitionByRange(*order).sortWithinPartitions(*order).drop("told").withColumn("at", F.monotonically_increasing_id()), purpose)
 
 
 def ranked(df: DataFrame, key: str, order: Sequence[Column], purpose: str) -> DataFrame:

@@ -117,6 +117,40 @@ SELECT doc_id, n_words, len(base) AS n_base, list_min([b.at FOR b IN base]) AS f
 FROM e
 """
 
+OP13 = r"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS seed, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations),
+crc(seed, i, c) AS (SELECT DISTINCT seed, 0, 4294967295::BIGINT FROM raw UNION ALL
+    SELECT seed, i + 1, list_reduce([xor(c, ascii(seed[i + 1])::BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)
+    FROM crc WHERE i < length(seed)),
+hits AS (SELECT seed, xor(c, 4294967295) % 20 AS hit FROM crc WHERE i = length(seed)),
+damaged AS (SELECT coalesce('=' || conv_id, '') AS k, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+    CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN hit = 3 THEN [0, 1] ELSE [0] END) AS copy
+    FROM raw JOIN hits USING (seed) WHERE hit <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM damaged),
+faults AS (SELECT *, CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'o' END AS c,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 THEN 'duplicate'
+        WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM placed),
+pairs AS (SELECT *, lag(c) OVER (PARTITION BY k ORDER BY i) || c AS pair FROM faults),
+counts AS (SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM pairs GROUP BY k),
+-- places 0 start, 1 system, 2 user, 3 assistant
+ins(q, p, price, letters, extra) AS (VALUES (0, 0, 0, '', []::VARCHAR[]), (0, 2, 3, 'I', ['user:']), (0, 3, 6, 'II', ['user:', 'assistant:']), (1, 1, 0, '', []), (1, 2, 3, 'I', ['user:']),
+    (1, 3, 6, 'II', ['user:', 'assistant:']), (2, 2, 0, '', []), (2, 3, 3, 'I', ['assistant:']), (2, 2, 6, 'II', ['assistant:', 'user:']), (3, 3, 0, '', []),
+    (3, 2, 3, 'I', ['user:']), (3, 3, 6, 'II', ['user:', 'assistant:'])),
+moves(p, edit, c, t, price) AS (SELECT p, 'D', NULL::VARCHAR, p, 4 FROM (VALUES (0), (1), (2), (3)) v(p) UNION ALL VALUES (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0), (1, 'K', 'u', 2, 0),
+    (3, 'K', 'u', 2, 0), (2, 'K', 'a', 3, 0), (0, 'R', NULL, 2, 3), (1, 'R', NULL, 2, 3), (2, 'R', NULL, 3, 3), (3, 'R', NULL, 2, 3)),
+dp(k, i, q, best) AS (SELECT k, 0::BIGINT, 0, {'cost': 0, 'audit': '', 'said': []::VARCHAR[]} FROM counts UNION ALL
+    SELECT f.k, f.i, m.t, min({'cost': best.cost + ins.price + m.price + CASE WHEN fault = 'truncated' AND edit <> 'D' THEN 3 ELSE 0 END, 'audit': best.audit || letters || edit,
+        'said': best.said || extra || CASE edit WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text] ELSE [CASE m.t WHEN 2 THEN 'user:' ELSE 'assistant:' END || text] END})
+    FROM dp JOIN faults f ON f.k = dp.k AND f.i = dp.i + 1 JOIN ins ON ins.q = dp.q JOIN moves m ON m.p = ins.p AND (m.c IS NULL OR m.c = f.c) AND (edit = 'D' OR fault NOT IN ('blank', 'duplicate'))
+    GROUP BY f.k, f.i, m.t),
+done AS (SELECT k, min({'cost': best.cost + price, 'audit': best.audit || letters, 'said': best.said || extra}) AS best
+    FROM dp JOIN counts USING (k) JOIN ins USING (q) WHERE i = n AND p IN (0, 3) GROUP BY k)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+    coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce('=' || conv_id, '') AS k FROM conversations) LEFT JOIN counts USING (k) LEFT JOIN done USING (k)
+"""
+
 SQL = {
     "op2_exact_dedup": OP2,
     "op5_url_filter": OP5,
@@ -125,4 +159,5 @@ SQL = {
     "op10_mixing": OP10,
     "op11_merkle_manifest": OP11,
     "op12_license_scan": OP12,
+    "op13_conversation_repair": OP13,
 }
