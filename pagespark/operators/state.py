@@ -79,36 +79,43 @@ def kv_reads(log: DataFrame, chunk_ms: int = DAY) -> DataFrame:
 MAX_COOKIES_PER_CALL = 64
 
 
-def cookie_state(calls: DataFrame, now_s: int | None = None) -> DataFrame:
-    """Cookies in the jar after set / clear calls.
+COOKIE = ["name", "domain", "path"]
+COOKIE_REST = ["value", "expires", "httpOnly", "secure", "sameSite"]
+
+
+def cookie_changes(calls: DataFrame) -> DataFrame:
+    """One row per accepted cookie of a set call, and one per clear call (``clears``); no shuffle, so streams can use it.
 
-    ``calls``: profile, seq, action, cookies (array of structs). Calls with more than 64
-    cookies or an incomplete cookie were rejected as a whole. A cookie given by url takes
-    the url's host and folder. ``now_s`` also drops cookies that have expired by then.
+    ``calls``: profile, seq, action, cookies (array of structs). Calls with more than 64 cookies or an incomplete cookie are
+    rejected as a whole. A cookie given by url takes the url's host and folder.
     """
-    cleared = calls.filter(F.col("action") == "clear").groupBy("profile").agg(F.max("seq").alias("cleared_seq"))
-    accepted = calls.filter(
-        (F.col("action") == "set")
-        & F.size("cookies").between(1, MAX_COOKIES_PER_CALL)
-        & F.forall("cookies", valid_cookie)
-    )
-    rows = accepted.select("profile", "seq", F.posexplode("cookies").alias("pos", "c"))
+    clears = F.col("action") == "clear"
+    accepted = (F.col("action") == "set") & F.size("cookies").between(1, MAX_COOKIES_PER_CALL) & F.forall("cookies", valid_cookie)
+    none = F.array(F.lit(None).cast(calls.schema["cookies"].dataType.elementType))
+    rows = calls.filter(clears | accepted).select("profile", "seq", clears.alias("clears"), F.posexplode(F.when(clears, none).otherwise(F.col("cookies"))).alias("pos", "c"))
     host = F.lower(F.regexp_extract("c.url", "^[a-zA-Z]+://(?:[^/@]*@)?([^/:?#]+)", 1))
     folder = F.regexp_extract("c.url", "^[a-zA-Z]+://[^/?#]*(/(?:[^?#]*/)?)", 1)
-    jar = rows.select(
-        "profile", "seq", "pos", F.col("c.name").alias("name"),
+    return rows.select(
+        "profile", "seq", "pos", "clears", (~F.col("clears")).alias("live"), F.col("c.name").alias("name"),
         F.coalesce("c.domain", host).alias("domain"),
         F.coalesce("c.path", F.when(folder == "", "/").otherwise(folder)).alias("path"),
-        F.struct("c.value", "c.expires", "c.httpOnly", "c.secure", "c.sameSite").alias("rest"),
-    )
-    latest = jar.groupBy("profile", "name", "domain", "path").agg(
-        F.max_by("rest", F.struct("seq", "pos")).alias("rest"), F.max("seq").alias("seq"))
+        *[F.col(f"c.{c}").alias(c) for c in COOKIE_REST])
+
+
+def cookie_state(calls: DataFrame, now_s: int | None = None) -> DataFrame:
+    """Cookies in the jar after set / clear calls (see ``cookie_changes``). ``now_s`` also drops cookies that have expired by then."""
+    changes = cookie_changes(calls)
+    cleared = changes.filter("clears").groupBy("profile").agg(F.max("seq").alias("cleared_seq"))
+    latest = changes.filter("live").groupBy("profile", *COOKIE).agg(
+        F.max_by(F.struct(*COOKIE_REST), F.struct("seq", "pos")).alias("rest"), F.max("seq").alias("seq"))
     live = latest.join(cleared, "profile", "left").filter(
         F.col("cleared_seq").isNull() | (F.col("seq") > F.col("cleared_seq")))
-    out = live.select("profile", "name", "domain", "path", "rest.*", "seq")
-    if now_s is not None:
-        out = out.filter(F.col("expires").isNull() | (F.col("expires") <= 0) | (F.col("expires") > now_s))
-    return out
+    out = live.select("profile", *COOKIE, "rest.*", "seq")
+    return out if now_s is None else out.filter(unexpired(now_s))
+
+
+def unexpired(now_s: int) -> Column:
+    return F.col("expires").isNull() | (F.col("expires") <= 0) | (F.col("expires") > now_s)
 
 
 def cookies_for(cookies: DataFrame, urls: DataFrame, url: str = "url") -> DataFrame:

@@ -89,7 +89,7 @@ def cookie_jar(spark, sf):
 @query("cookies_for_urls", f"""WITH {COOKIES}
 SELECT {_JAR} FROM jar WHERE EXISTS (SELECT 1 FROM based u
   WHERE ('.' || split_part(u.url, '/', 3)) LIKE ('%' || CASE WHEN domain[1] = '.' THEN domain ELSE '.' || domain END)
-    AND starts_with(substr(u.url, length('https://' || split_part(u.url, '/', 3)) + 1), path) AND u.k >= 90)""")
+    AND starts_with(substr(u.url, length('https://' || split_part(u.url, '/', 3)) + 1), path))""")
 def cookies_for_urls(spark, sf):
     urls = feeds.raw_requests(spark, sf).select("url")
     return state.cookies_for(state.cookie_state(feeds.cookie_calls(spark, sf)), urls)

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.urls import url_verdict
-from ..operators import state
+from ..operators import tabs
 from ..session import shared_dir
 from ..sources.logs import capture_bodies, console_log, net_log
 from ..streaming import logs
-from ..streaming.runs import run_to_table
+from ..streaming.keyed import entries_of
+from ..streaming.runs import run, run_to_table
 from . import feeds
 from .feeds_sql import BASE, BODIES, CONSOLE, NET
 from .log_queries import _RING
 from .registry import CATALOG, query
 from .rule_queries import CALLS, URLS
-from .state_queries import KV, _LIVE
+from .state_queries import COOKIES, KV, _JAR, _LIVE
 
 
 CLOSING_DAYS = 30
@@ -67,11 +68,12 @@ def stream_network_ring(spark, sf):
     return logs.stream_ring(log, 40).select("seq", "profile", "url", "total")
 
 
-# This twin and the next two leave out rows that the queries give: ends without a start, and the newest sessions and loads.
-# The SQL of paired_requests, sessions_six_hours and settle_times has them all (tests/test_whole.py).
-@query("stream_paired_requests", f"""WITH {BASE}
-SELECT seq AS req_id, profile, tab_id, ts_ms, CASE WHEN k % 5 = 0 THEN CAST(floor(value) AS BIGINT)
-  ELSE CAST(floor(value + 0.5) AS BIGINT) END AS duration_ms FROM base WHERE value >= 5 AND value < 200""")
+def _columns(batch, columns):
+    """The SQL of a batch query, cut to the columns that its stream gives."""
+    return f"SELECT {columns} FROM ({CATALOG[batch].sql})"
+
+
+@query("stream_paired_requests", _columns("paired_requests", "req_id, profile, tab_id, ts_ms, duration_ms"))
 def stream_paired_requests(spark, sf):
     def timed(df):
         return df.withColumn("at", F.timestamp_millis("ts_ms"))
@@ -81,27 +83,19 @@ def stream_paired_requests(spark, sf):
     return _real(run_to_table(pairs, "pairs"), "ts_ms", _end(spark, sf))
 
 
-@query("stream_sessions", f"""WITH {BASE},
-m AS (SELECT user_id, ts_ms, seq, CASE WHEN ts_ms - lag(ts_ms) OVER w <= 21600000 THEN 0 ELSE 1 END AS fresh
-      FROM base WINDOW w AS (PARTITION BY user_id ORDER BY ts_ms, seq)),
-g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts_ms, seq) AS g FROM m),
-s AS (SELECT user_id, min(ts_ms) AS start_ms, max(ts_ms) AS last_ms, count(*) AS n_events FROM g GROUP BY user_id, g)
-SELECT * FROM s WHERE last_ms + 21600000 + 3600000 < (SELECT max(ts_ms) FROM base) - 1000""")
+@query("stream_sessions", _columns("sessions_six_hours", "user_id, start_ms, last_ms, n_events"))
 def stream_sessions(spark, sf):
     activity = feeds.base(_Replay(spark, closing=True), sf).withColumn("at", F.timestamp_millis("ts_ms"))
     closed = run_to_table(logs.stream_sessions(activity, ttl="6 hours"), "sessions")
     return _real(closed, "last_ms", _end(spark, sf))
 
 
-@query("stream_settle_times", CATALOG["settle_times"].sql.replace(
-    "SELECT l.load_id, CAST(0 AS BIGINT) AS t0_ms", "SELECT l.load_id").replace(
-    "FROM (SELECT DISTINCT load_id FROM ev) l", "FROM (SELECT DISTINCT load_id FROM ev WHERE ts_ms // 432000000 < (SELECT max(ts_ms) // 432000000 FROM ev)) l"))
+@query("stream_settle_times", _columns("settle_times", "load_id, settled_ms"))
 def stream_settle_times(spark, sf):
-    day5 = 5 * 86_400_000
     ev = feeds.base(_Replay(spark, closing=True), sf)
     begin = F.col("k") * 25
     end = begin + F.floor("value") * 4
-    t0 = F.floor(F.col("ts_ms") / day5) * day5
+    t0 = F.floor(F.col("ts_ms") / SPELL_MS) * SPELL_MS
 
     def entry(keep, delta, off, seq):
         return F.when(keep, F.struct(F.lit(delta).cast("int").alias("delta"), off.cast("long").alias("off"), seq.cast("long").alias("seq")))
@@ -109,17 +103,54 @@ def stream_settle_times(spark, sf):
     steps = F.array(
         entry(F.col("event_type") != "click", 1, begin, F.col("seq") * 2),
         entry(F.col("event_type") != "error", -1, end, F.col("seq") * 2 + 1))
-    rows = ev.select(
-        F.concat_ws("-", "tab_id", F.floor(F.col("ts_ms") / day5).cast("string")).alias("load_id"),
-        t0.cast("long").alias("t0_ms"), F.timestamp_millis("ts_ms").alias("at"), F.explode(F.array_compact(steps)).alias("s"))
-    timed = rows.select("load_id", "at", "t0_ms", (F.col("t0_ms") + F.col("s.off")).alias("ts_ms"), "s.delta", "s.seq")
+    rows = ev.select(_spell_key().alias("load_id"), t0.cast("long").alias("t0_ms"), F.explode(F.array_compact(steps)).alias("s"))
+    timed = rows.select("load_id", "t0_ms", (F.col("t0_ms") + F.col("s.off")).alias("ts_ms"), "s.delta", "s.seq").withColumn("at", F.timestamp_millis("ts_ms"))
     settled = run_to_table(logs.stream_settle(timed), "settle")
     return _real(settled, "t0_ms", _end(spark, sf)).select("load_id", (F.col("settled_ms") - F.col("t0_ms")).alias("settled_ms"))
 
 
+SPELL_MS = 5 * 86_400_000
+WAIT_MS = 2 * 86_400_000
+
+
+def _spell_key():
+    return F.concat_ws("-", "tab_id", F.floor(F.col("ts_ms") / SPELL_MS).cast("string"))
+
+
+def _waits(spark, sf):
+    """Each tab waits, from the start of a five-day spell, for a value above 100."""
+    return feeds.base(spark, sf).select(
+        _spell_key().alias("key"), (F.floor(F.col("ts_ms") / SPELL_MS) * SPELL_MS).cast("long").alias("t0_ms"), "ts_ms", "value")
+
+
+WAITS = f"""WITH {BASE}, m AS (SELECT tab_id || '-' || CAST(ts_ms // {SPELL_MS} AS VARCHAR) AS key,
+    min(ts_ms) FILTER (WHERE value > 100 AND ts_ms % {SPELL_MS} <= {WAIT_MS}) AS met_ms FROM base GROUP BY 1)
+SELECT key, met_ms, met_ms IS NOT NULL AS met FROM m"""
+
+
+@query("waits_in_time", WAITS)
+def waits_in_time(spark, sf):
+    return tabs.first_satisfied(_waits(spark, sf), F.expr("value > 100"), WAIT_MS)
+
+
+@query("stream_waits", WAITS)
+def stream_waits(spark, sf):
+    versions = _waits(_Replay(spark, closing=True), sf).withColumn("at", F.timestamp_millis("ts_ms"))
+    met = run_to_table(logs.stream_wait(versions, F.expr("value > 100"), WAIT_MS), "waits")
+    spells = F.broadcast(_end(spark, sf).select(F.floor(F.col("end_ms") / SPELL_MS).alias("after")))
+    return met.join(spells, F.element_at(F.split("key", "-"), -1).cast("long") < F.col("after")).drop("after")
+
+
 @query("stream_storage_state", f"WITH {KV}, {_LIVE.format(upto=10**15)} SELECT * FROM live")
 def stream_storage_state(spark, sf):
-    return state.kv_state(logs.stream_kv(feeds.kv_log(_Replay(spark), sf)))
+    done = run(logs.stream_kv(feeds.kv_log(_Replay(spark), sf)), "kv")
+    return entries_of(spark, done.checkpoint).drop("pos")
+
+
+@query("stream_cookie_jar", f"WITH {COOKIES} SELECT {_JAR} FROM jar")
+def stream_cookie_jar(spark, sf):
+    done = run(logs.stream_cookies(feeds.cookie_calls(_Replay(spark), sf)), "cookies")
+    return entries_of(spark, done.checkpoint).drop("pos")
 
 
 @query("stream_console_log", f"WITH {CONSOLE} SELECT seq, ts_ms, profile, tab_id, level, text, location FROM console")

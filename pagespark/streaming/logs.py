@@ -2,31 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.skew import topk_per_key
 from ..operators.calls import redact_args
-from ..operators.state import STORE
+from ..operators.state import COOKIE, COOKIE_REST, STORE, cookie_changes
+from .keyed import OncePerKey, latest_entries, use_state_store
 from .runs import fold_batches
 
 
-def stream_ring(log: DataFrame, n: int, key: str = "profile", name: str = "ring") -> DataFrame:
+def stream_ring(log: DataFrame, n: int, key: str = "profile", name: str = "ring", home: str | None = None) -> DataFrame:
     """Last ``n`` rows per key of a stream.
 
     Each micro-batch is cut to ``n`` rows per key with the salted top-k and merged with the
-    rows kept so far, so the state holds ``n`` rows per key and a busy key is split up.
+    rows kept so far, so the state holds ``n`` rows per key and a busy key is split up. With a ``home`` it goes on from there.
     """
 
     def merge(old: DataFrame | None, batch: DataFrame) -> DataFrame:
         rows = batch if old is None else old.unionByName(batch)
         return topk_per_key(rows, [key], [F.col("seq").desc()], n, salt_on=["seq"])
 
-    kept = fold_batches(log, name, merge)
+    kept = fold_batches(log, name, merge, home)
     return kept.withColumn("total", F.count("*").over(Window.partitionBy(key)))
 
 
@@ -64,37 +63,53 @@ def stream_sessions(activity: DataFrame, keys: Sequence[str] = ("user_id",), ttl
     )
 
 
-SETTLE_STATE = "t0 long, at array<long>, delta array<int>, seq array<long>"
+KEEP_MS = 3_600_000
 
 
-def stream_settle(events: DataFrame, idle_ms: int = 500, cap_ms: int = 3000, delay: str = "10 seconds") -> DataFrame:
-    """Settle time per page load (load_id, at, t0_ms, ts_ms, delta, seq).
+def stream_settle(events: DataFrame, idle_ms: int = 500, cap_ms: int = 3000, delay: str = "10 seconds", keep_ms: int = KEEP_MS) -> DataFrame:
+    """Settle time per page load (load_id, at, t0_ms, ts_ms, delta, seq; ``at`` is the event's time as a timestamp).
 
-    The state holds the events of one load's first seconds; the result comes out when the
-    watermark passes the cap.
+    A load's first seconds are kept until the watermark passes its cap; then its result comes out, once. Events that follow change
+    nothing, as long as the load is not silent for ``keep_ms``.
     """
 
-    def settle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            t0, at, delta, seq = state.get
-            state.remove()
-            yield pd.DataFrame([(key[0], t0, _settled(t0, zip(at, seq, delta), idle_ms, cap_ms))],
-                               columns=["load_id", "t0_ms", "settled_ms"])
-            return
-        t0, at, delta, seq = state.get if state.exists else (None, [], [], [])
-        at, delta, seq = list(at), list(delta), list(seq)
-        for pdf in batches:
-            t0 = int(pdf["t0_ms"].iloc[0])
-            near = pdf[(pdf["ts_ms"] <= t0 + cap_ms) & pdf["delta"].notna()]
-            at += [int(x) for x in near["ts_ms"]]
-            delta += [int(x) for x in near["delta"]]
-            seq += [int(x) for x in near["seq"]]
-        state.update((t0, at, delta, seq))
-        state.setTimeoutTimestamp(max(t0 + cap_ms + 1, state.getCurrentWatermarkMs() + 1))
-
-    return events.withWatermark("at", delay).groupBy("load_id").applyInPandasWithState(
-        settle, "load_id string, t0_ms long, settled_ms long", SETTLE_STATE, "append",
-        GroupStateTimeout.EventTimeTimeout)
+    def take(state, row):
+        t0, at, delta, seq = state or (row["t0_ms"], [], [], [])
+        if row["delta"] is not None and row["ts_ms"] <= t0 + cap_ms:
+            at, delta, seq = [*at, row["ts_ms"]], [*delta, row["delta"]], [*seq, row["seq"]]
+        return (t0, at, delta, seq), t0 + cap_ms + 1
+
+    def result(key, state):
+        t0, at, delta, seq = state
+        return Row(load_id=key[0], t0_ms=t0, settled_ms=_settled(t0, zip(at, seq, delta), idle_ms, cap_ms))
+
+    use_state_store(events.sparkSession)
+    worker = OncePerKey("t0 long, at array<long>, delta array<int>, seq array<long>", take, result, lambda row: row["ts_ms"], keep_ms)
+    return events.withWatermark("at", delay).groupBy("load_id").transformWithState(
+        worker, "load_id string, t0_ms long, settled_ms long", "append", "eventTime")
+
+
+def stream_wait(versions: DataFrame, predicate: Column, timeout_ms: int = 10_000, delay: str = "10 seconds", keep_ms: int = KEEP_MS) -> DataFrame:
+    """First time the predicate held after ``t0_ms`` and within the timeout, per ``key`` (key, at, t0_ms, ts_ms and the predicate's columns).
+
+    A key that met it comes out as soon as the watermark passes that moment (nothing earlier can follow), others when it passes
+    the timeout, with a null ``met_ms``; each once.
+    """
+
+    def take(state, row):
+        t0, met = state or (row["t0_ms"], None)
+        if row["_hit"] and t0 <= row["ts_ms"] <= t0 + timeout_ms:
+            met = row["ts_ms"] if met is None else min(met, row["ts_ms"])
+        return (t0, met), (t0 + timeout_ms if met is None else met) + 1
+
+    def result(key, state):
+        return Row(key=key[0], met_ms=state[1], met=state[1] is not None)
+
+    use_state_store(versions.sparkSession)
+    kind = versions.schema["key"].dataType.simpleString()
+    rows = versions.select("key", "at", "t0_ms", "ts_ms", F.coalesce(predicate, F.lit(False)).alias("_hit"))
+    worker = OncePerKey("t0 long, met long", take, result, lambda row: row["ts_ms"], keep_ms)
+    return rows.withWatermark("at", delay).groupBy("key").transformWithState(worker, f"key {kind}, met_ms long, met boolean", "append", "eventTime")
 
 
 def _settled(t0: int, events, idle_ms: int, cap_ms: int) -> int:
@@ -107,25 +122,23 @@ def _settled(t0: int, events, idle_ms: int, cap_ms: int) -> int:
     return min(due, t0 + cap_ms) if due is not None else t0 + cap_ms
 
 
-def compact_kv(log: DataFrame) -> DataFrame:
-    """The rows of a storage log that still matter: last change per key and last clear per store.
-
-    Compaction can be repeated and merged in any order, so late rows are placed right.
-    """
-    keyed = F.when(F.col("action") == "clear", F.lit(None)).otherwise(F.col("key"))
-    latest = log.filter(F.col("action").isin("set", "remove", "clear")).withColumn("key", keyed).groupBy(*STORE, "key").agg(
-        F.max_by(F.struct("action", "value", "ts_ms"), "seq").alias("r"), F.max("seq").alias("seq"))
-    return latest.select(*STORE, "key", "r.action", "r.value", "r.ts_ms", "seq")
+def kv_changes(log: DataFrame) -> DataFrame:
+    """A storage log as changes of entries; reads are left out. A set without a value stores an empty text."""
+    action = F.col("action")
+    return log.filter(action.isin("set", "remove", "clear")).select(
+        *STORE, "key", F.coalesce("value", F.lit("")).alias("value"), "seq", F.lit(0).cast("long").alias("pos"),
+        (action == "clear").alias("clears"), (action == "set").alias("live"))
 
 
-def stream_kv(log: DataFrame, name: str = "kv") -> DataFrame:
-    """Compacted storage log of a stream; feed it to ``kv_state`` for the live entries."""
+def stream_kv(log: DataFrame) -> DataFrame:
+    """Changes of storage entries; the live ones are the stream's state (``keyed.entries_of``)."""
+    return latest_entries(kv_changes(log), STORE, ["key"], ["value"])
 
-    def merge(old: DataFrame | None, batch: DataFrame) -> DataFrame:
-        rows = compact_kv(batch)
-        return rows if old is None else compact_kv(old.unionByName(rows))
 
-    return fold_batches(log, name, merge)
+def stream_cookies(calls: DataFrame) -> DataFrame:
+    """Changes of the profiles' cookie jars; the jars are the stream's state (``keyed.entries_of``)."""
+    changes = cookie_changes(calls).withColumn("pos", F.col("pos").cast("long"))
+    return latest_entries(changes, ["profile"], list(COOKIE), COOKIE_REST)
 
 
 def stream_redacted(calls: DataFrame) -> DataFrame:
