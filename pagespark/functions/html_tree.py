@@ -11,8 +11,6 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-MAX_ANCESTORS = 16_000_000  # entries of all ancestor lists of a page: what a page of any depth may take of a task's memory
-
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEAD_ONLY = frozenset("base link meta title style script noscript template".split())
@@ -29,16 +27,12 @@ CELLS = frozenset("td th caption".split())
 SPECIAL_BLOCK = CLOSES_P | frozenset("body html table tbody thead tfoot tr td th caption".split())
 
 
-class DocumentError(ValueError):
-    """The document cannot be turned into nodes."""
-
-
 class _Node:
-    __slots__ = ("ord", "parent", "depth", "kind", "tag", "attrs", "text", "last", "nth", "nth_n", "counts", "kids")
+    __slots__ = ("ord", "parent", "depth", "kind", "tag", "attrs", "text", "last", "nth", "nth_n", "pos", "pos_n", "prev", "kids", "open")
 
     def __init__(self, parent, kind, tag=None, attrs=None, text=None):
         self.parent, self.kind, self.tag, self.attrs, self.text = parent, kind, tag, attrs, text
-        self.kids = []
+        self.kids, self.open = [], False
 
 
 class _Builder(HTMLParser):
@@ -46,36 +40,51 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = _Node(None, "element", "html", {})
         self.head = self.body = None
-        self.stack = [self.root]
+        self.stack: list[_Node] = []
+        self.opened: dict[str, int] = {}  # open elements by tag, so that a search for none of them ends at once
         self.active: list[tuple[str, tuple] | None] = []
-        self.ancestors = 0
+        self._push(self.root)
 
     # --- tree edits ---
 
+    def _push(self, node):
+        self.stack.append(node)
+        node.open = True
+        self.opened[node.tag] = self.opened.get(node.tag, 0) + 1
+
+    def _pop(self):
+        node = self.stack.pop()
+        node.open = False
+        self.opened[node.tag] -= 1
+        return node
+
     def _add(self, kind, tag=None, attrs=None, text=None):
         parent = self.stack[-1]
         node = _Node(parent, kind, tag, attrs, text)
         parent.kids.append(node)
-        self.ancestors += len(self.stack)
-        if self.ancestors > MAX_ANCESTORS:
-            raise DocumentError(f"more than {MAX_ANCESTORS} ancestors of all nodes")
         if kind == "element" and tag not in VOID:
-            self.stack.append(node)
+            self._push(node)
         return node
 
+    def _to_root(self):
+        while len(self.stack) > 1:
+            self._pop()
+
     def _ensure_body(self):
         if self.body is None:
             if self.head is None:
                 self._open_head()
-            del self.stack[1:]
+            self._to_root()
             self.body = self._add("element", "body", {})
 
     def _open_head(self, attrs=None):
         if self.head is None and self.body is None:
-            del self.stack[1:]
+            self._to_root()
             self.head = self._add("element", "head", attrs or {})
 
     def _in_scope(self, tags, stop=SCOPE):
+        if not any(self.opened.get(t) for t in tags):
+            return False
         for node in reversed(self.stack):
             if node.tag in tags:
                 return True
@@ -85,10 +94,9 @@ class _Builder(HTMLParser):
 
     def _pop_to(self, tags):
         while len(self.stack) > 1:
-            node = self.stack.pop()
-            if node is self.body:
-                self.stack.append(node)
+            if self.stack[-1] is self.body:
                 return
+            node = self._pop()
             if node.tag in CELLS:
                 self._clear_marker()
             if node.tag in tags:
@@ -99,7 +107,7 @@ class _Builder(HTMLParser):
         if not self.active or self.active[-1] is None:
             return
         start = len(self.active)
-        while start > 0 and self.active[start - 1] is not None and self.active[start - 1][2] not in self.stack:
+        while start > 0 and self.active[start - 1] is not None and not self.active[start - 1][2].open:
             start -= 1
         for i in range(start, len(self.active)):
             tag, attrs, _ = self.active[i]
@@ -144,20 +152,20 @@ class _Builder(HTMLParser):
             if tag in HEAD_ONLY:
                 self._open_head()
                 if self.stack[-1] is self.root:
-                    self.stack.append(self.head)
+                    self._push(self.head)
                 self._add("element", tag, pairs)
                 return
             self._ensure_body()
         if tag in CLOSES_P and self._in_scope(("p",)):
             self._pop_to(("p",))
         if tag in HEADINGS and self.stack[-1].tag in HEADINGS:
-            self.stack.pop()
+            self._pop()
         if tag == "li" and self._in_scope(("li",), SCOPE | {"ul", "ol"}):
             self._pop_to(("li",))
         elif tag in ("dt", "dd") and self._in_scope(("dt", "dd"), SCOPE | {"dl"}):
             self._pop_to(("dt", "dd"))
         elif tag in ("option", "optgroup") and self.stack[-1].tag == "option":
-            self.stack.pop()
+            self._pop()
         elif tag in ("td", "th"):
             if self._in_scope(("td", "th"), TABLE_BREAK):
                 self._pop_to(("td", "th"))
@@ -174,7 +182,7 @@ class _Builder(HTMLParser):
             self._pop_to(("tbody", "thead", "tfoot"))
         if tag == "a":
             old = self._forget("a")
-            if old in self.stack:
+            if old is not None and old.open:
                 self._pop_to(("a",))
         if tag not in SPECIAL_BLOCK:
             self._reopen()
@@ -191,12 +199,12 @@ class _Builder(HTMLParser):
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if self.stack[-1].tag == tag and tag in ("path", "circle", "rect", "line", "use", "polygon"):
-            self.stack.pop()
+            self._pop()
 
     def handle_endtag(self, tag):
         if tag == "head":
             if self.body is None:
-                del self.stack[1:]
+                self._to_root()
             return
         if tag in ("html", "body"):
             return
@@ -206,18 +214,20 @@ class _Builder(HTMLParser):
         if tag == "p" and not self._in_scope(("p",)):
             self._ensure_body()
             self._add("element", "p", {})
-            self.stack.pop()
+            self._pop()
             return
         if tag == "br":
             self.handle_starttag("br", [])
             return
         if tag in FORMATTING:
             node = self._forget(tag)
-            if node is None or node not in self.stack:
-                return
-            above = self.stack[self.stack.index(node) + 1:]
-            if any(n.tag in SPECIAL_BLOCK for n in above):
+            if node is None or not node.open:
                 return
+            for above in reversed(self.stack):
+                if above is node:
+                    break
+                if above.tag in SPECIAL_BLOCK:
+                    return
             self._pop_to((tag,))
             return
         stop = TABLE_BREAK if tag in TABLE_PARTS else SCOPE
@@ -256,39 +266,38 @@ class _Builder(HTMLParser):
 
 
 def parse_nodes(html: str) -> list[tuple]:
-    """Preorder rows: ord, parent, depth, last (end of the sub-tree), kind, tag, attrs, text, anc, nth, nth_n."""
+    """Preorder rows: ord, parent, depth, last (end of the sub-tree), kind, tag, attrs, text, and of elements: nth and nth_n (place among and
+    number of siblings of its tag), pos and pos_n (the same among all sibling elements), prev (ord of the sibling element before it)."""
     builder = _Builder()
     builder.feed(html)
     root = builder.finish()
     order: list[_Node] = []
     todo = [root]
-    root.depth, root.nth, root.nth_n = 0, 1, 1
+    root.depth, root.nth, root.nth_n, root.pos, root.pos_n, root.prev = 0, 1, 1, 1, 1, None
     while todo:
         node = todo.pop()
         node.ord = len(order)
         order.append(node)
         counts: dict[str, int] = {}
+        before = None
+        elements = 0
         for kid in node.kids:
             kid.depth = node.depth + 1
             if kid.kind == "element":
                 counts[kid.tag] = counts.get(kid.tag, 0) + 1
-                kid.nth = counts[kid.tag]
+                elements += 1
+                kid.nth, kid.pos, kid.prev, before = counts[kid.tag], elements, before, kid
         for kid in node.kids:
-            kid.nth_n = counts.get(kid.tag, 0) if kid.kind == "element" else None
+            if kid.kind == "element":
+                kid.nth_n, kid.pos_n = counts[kid.tag], elements
         todo.extend(reversed(node.kids))
     for node in reversed(order):
         node.last = node.kids[-1].last if node.kids else node.ord
-    rows, anc = [], {root: []}
+    rows = []
     for node in order:
-        path = anc[node]
-        if node.kids:
-            below = path + [node.ord]
-            for kid in node.kids:
-                anc[kid] = below
-        element = node.kind == "element"
-        rows.append((
-            node.ord, node.parent.ord if node.parent else None, node.depth, node.last, node.kind, node.tag,
-            list(node.attrs.items()) if element else None, node.text, path,
-            node.nth if element else None, node.nth_n,
-        ))
+        head = (node.ord, node.parent.ord if node.parent else None, node.depth, node.last, node.kind, node.tag)
+        if node.kind == "element":
+            rows.append((*head, list(node.attrs.items()), node.text, node.nth, node.nth_n, node.pos, node.pos_n, node.prev.ord if node.prev else None))
+        else:
+            rows.append((*head, None, node.text, None, None, None, None, None))
     return rows

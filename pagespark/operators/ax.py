@@ -1,13 +1,11 @@
-"""Semantic-tree jobs as windows and aggregates over node rows.
+"""Semantic-tree jobs over node rows.
 
-A tree is a set of rows (snapshot_id, ord, parent_ord, depth, last, ancestors, role, name,
-p): ``ord`` is the preorder position (gaps are fine), ``last`` the highest position in the
-sub-tree (always a row of the tree), ``p`` the decoded properties. "Inside a sub-tree" is
-then a range test that a window answers, and no rule needs recursion.
+A tree is a set of rows (snapshot_id, ord, parent_ord, depth, last, role, name, p): ``ord`` is the preorder position (gaps are fine), ``last``
+the highest position in the sub-tree (always a row of the tree), ``p`` the decoded properties.
 
-Every job reads its input once: parents and children meet in groups of one exploded row
-set instead of self-joins, and all groups contain ``snapshot_id``, so a chain of jobs costs
-one shuffle by snapshot. A snapshot is one page, hence bounded.
+What depends on a node's children (pruning, text collapse, compaction, depth limits, sub-trees) is a rule given to ``tree_fold``, which
+passes over a snapshot once, deepest nodes first, for a whole chain of rules. Trees made from pages need no shuffle for it: a page's
+rows leave it in order. A snapshot is one page, hence bounded.
 """
 
 from __future__ import annotations
@@ -17,9 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lets import let
+from ..functions.prefix import covers
 from ..functions.text import json_string
 from .dom import attr
-from .find import label_of, may_be_named_by_content, name_from, role_of, text_of, title_col_text
+from .tree_fold import PLACED, Node, bottom_up, fold_trees, hoisted
+from .find import label_in, labels_of, may_be_named_by_content, name_from, role_of, text_of, title_col_text
 
 # Roles kept by the compact view.
 INTERACTIVE = """
@@ -39,7 +39,7 @@ P_TYPE = (
     "multiselectable:boolean,autocomplete:string,modal:boolean,keyshortcuts:string>"
 )
 P_FIELDS = [f.split(":")[0] for f in P_TYPE[7:-1].split(",")]
-TREE = ["snapshot_id", "ord", "parent_ord", "depth", "last", "ancestors", "role", "name", "p"]
+TREE = PLACED
 
 
 def _p(**given: Column) -> Column:
@@ -57,23 +57,23 @@ def ax_from_dom(dom: DataFrame) -> DataFrame:
     """Raw semantic nodes of parsed pages (our definition of roles and names).
 
     The document is ``RootWebArea``; elements without a role are ``ignored``; text becomes
-    ``StaticText``; hidden parts, scripts and void decoration are left out.
+    ``StaticText``; hidden parts, scripts and void decoration are left out, ``last`` still counts them. A page's rows follow each other in preorder.
     """
     nodes = F.col("nodes")
     hidden_tags = ("head", "script", "style", "noscript", "template", "br", "wbr", "meta", "link")
-    doomed = F.filter(nodes, lambda n: n["tag"].isin(*hidden_tags)
-                      | F.coalesce(attr(n, "aria-hidden") == "true", F.lit(False)) | attr(n, "hidden").isNotNull())
-    spans = F.transform(doomed, lambda n: F.struct(n["ord"].alias("a"), n["last"].alias("b")))
+    hidden = covers(nodes, lambda n: n["tag"].isin(*hidden_tags)
+                    | F.coalesce(attr(n, "aria-hidden") == "true", F.lit(False)) | attr(n, "hidden").isNotNull())
 
-    def marked(gone: Column) -> Column:
+    def marked(x: Column) -> Column:
         # Only what needs the whole page is taken inside the array; the rest runs on plain columns below.
-        return F.transform(nodes, lambda n: F.struct(
+        return F.transform(nodes, lambda n, i: F.struct(
             n.alias("n"),
             F.when(n["ord"] == 0, title_col_text(nodes)).when(may_be_named_by_content(n), text_of(nodes, n)).alias("said"),
-            label_of(nodes, n).alias("label"),
-            F.exists(gone, lambda g: n["ord"].between(g["a"], g["b"])).alias("gone")))
+            label_in(nodes, x["labels"], n).alias("label"),
+            F.get(x["gone"], i).alias("gone")))
 
-    seen = dom.select(F.col("page_id").alias("snapshot_id"), F.explode(let(spans, marked)).alias("m")).select(
+    known = F.struct(hidden.alias("gone"), labels_of(nodes).alias("labels"))
+    seen = dom.select(F.col("page_id").alias("snapshot_id"), F.explode(let(known, marked)).alias("m")).select(
         "snapshot_id", "m.*")
     n = F.col("n")
     blank = (n["kind"] == "comment") | ((n["kind"] == "text") & ~n["text"].rlike("\\S"))
@@ -98,9 +98,9 @@ def ax_from_dom(dom: DataFrame) -> DataFrame:
     shown_role = F.when(text, "StaticText").when(root, "RootWebArea").otherwise(role)
     rows = roled.select(
         "snapshot_id", n["ord"].alias("ord"), n["parent"].alias("parent_ord"), n["depth"].alias("depth"),
-        n["last"].alias("last"), n["anc"].alias("ancestors"), shown_role.alias("role"), name.alias("name"),
+        n["last"].alias("last"), shown_role.alias("role"), name.alias("name"),
         props.alias("p"), shown_role.isNull().alias("ignored"), (F.col("gone") | blank).alias("_out"))
-    return _keep(rows, ~F.col("_out")).drop("_out")
+    return rows.filter(~F.col("_out")).drop("_out")
 
 
 RAW = (
@@ -110,10 +110,10 @@ RAW = (
 )
 
 
-PLACE = "array<struct<nodeId:string,ord:int,parent_ord:int,depth:int,last:int,ancestors:array<int>>>"
+PLACE = "array<struct<nodeId:string,ord:int,parent_ord:int,depth:int,last:int>>"
 _ARROW_PLACE = pa.list_(pa.struct([
     ("nodeId", pa.string()), ("ord", pa.int32()), ("parent_ord", pa.int32()), ("depth", pa.int32()),
-    ("last", pa.int32()), ("ancestors", pa.list_(pa.int32())),
+    ("last", pa.int32()),
 ]))
 
 
@@ -121,18 +121,17 @@ def _place(links: list[dict]) -> list[dict]:
     """Preorder positions of one snapshot's nodes, from their ids alone."""
     by_id = {n["nodeId"]: n for n in links}
     root = next((n for n in links if not n["parentId"] or n["parentId"] not in by_id), None)
-    out, todo = [], [(root, [])] if root else []
+    out, todo = [], [(root, None, 0)] if root else []
     seen = set()
     while todo:
-        node, path = todo.pop()
+        node, parent, depth = todo.pop()
         if node["nodeId"] in seen:
             continue
         seen.add(node["nodeId"])
         me = len(out)
-        out.append({"nodeId": node["nodeId"], "ord": me, "parent_ord": path[-1] if path else None,
-                    "depth": len(path), "last": me, "ancestors": path})
+        out.append({"nodeId": node["nodeId"], "ord": me, "parent_ord": parent, "depth": depth, "last": me})
         kids = [by_id[c] for c in node["childIds"] or [] if c in by_id]
-        todo.extend((k, path + [me]) for k in reversed(kids))
+        todo.extend((k, me, depth + 1) for k in reversed(kids))
     for row in reversed(out):
         if row["parent_ord"] is not None:
             up = out[row["parent_ord"]]
@@ -212,146 +211,61 @@ def decode_props(wired: DataFrame) -> DataFrame:
         props.alias("p"), F.coalesce("ignored", F.lit(False)).alias("ignored"))
 
 
-# --- hoisting: the shared closed form of pruning and compaction ---
-
-def _keep(ax: DataFrame, keep: Column) -> DataFrame:
-    """Filter rows and pull ``last`` back to the last row that stays in the sub-tree."""
-    upto = _page().rowsBetween(Window.unboundedPreceding, 0)
-    tail = Window.partitionBy("snapshot_id", "last")
-    return (
-        ax.withColumn("_k", keep)
-        .withColumn("_m", F.max(F.when(F.col("_k"), F.col("ord"))).over(upto))
-        .withColumn("_l", F.max("_m").over(tail))
-        .filter(F.col("_k")).withColumn("last", F.col("_l")).drop("_k", "_m", "_l")
-    )
+# --- rules given to the fold ---
 
+def _prune(root: Node, rows: dict) -> Node | None:
+    ignored = rows["ignored"]
 
-def _drop_under(ax: DataFrame, doomed: Column) -> DataFrame:
-    """Drop nodes that satisfy ``doomed`` with everything below them."""
-    reach = F.max(F.when(doomed, F.col("last"))).over(_page().rowsBetween(Window.unboundedPreceding, 0))
-    marked = ax.withColumn("_reach", reach)
-    return _keep(marked, F.col("_reach").isNull() | (F.col("_reach") < F.col("ord"))).drop("_reach")
+    def rule(n: Node) -> Node | None:
+        if n.role == "InlineTextBox":
+            return None
+        return hoisted(n) if ignored[n.row] else n
+    return bottom_up(root, rule)
 
 
-def _hoist(ax: DataFrame, kept: Column) -> DataFrame:
-    """Keep nodes that satisfy ``kept``; the others vanish, hoist their only child, or become a ``group``.
+def _collapse(root: Node, rows: dict) -> Node | None:
+    def rule(n: Node) -> Node:
+        if any(k.role == "StaticText" for k in n.kids):
+            if not n.name:
+                said = [k.name for k in n.kids if k.role == "StaticText" and k.name and not k.kids]
+                if said:
+                    n.name = " ".join(said)
+                    known = set(said)
+                    n.kids = [k for k in n.kids if k.role != "StaticText" or (k.name or "") not in known]
+            n.kids = [k for k in n.kids if k.role != "StaticText" or not k.name or k.name != n.name or k.kids]
+        return n
+    return bottom_up(root, rule)
 
-    With ``_upto`` the kept nodes so far and ``_within`` the kept nodes up to the end of a
-    sub-tree, a node survives when ``_within`` grows past what came before it. The next
-    survivor in preorder is its first surviving child; there is a second one exactly when
-    the sub-tree holds kept nodes behind the first child's.
-    """
-    upto = _page().rowsBetween(Window.unboundedPreceding, 0)
-    one = F.col("_kept").cast("int")
-    counted = (
-        ax.withColumn("_kept", kept).withColumn("_upto", F.sum(one).over(upto))
-        .withColumn("_within", F.max("_upto").over(Window.partitionBy("snapshot_id", "last")))
-    )
-    alive = _keep(counted, F.col("_within") > F.col("_upto") - one)
-    several = F.col("_within") > F.lead("_within").over(_page())
-    final = _keep(alive.withColumn("_several", several), F.col("_kept") | F.col("_several"))
-    return _relink(
-        final.withColumn("role", F.when(F.col("_kept"), F.col("role")).otherwise("group"))
-        .withColumn("name", F.when(F.col("_kept"), F.col("name")))
-        .withColumn("p", F.when(F.col("_kept"), F.col("p")).otherwise(_p())))
-
-
-def _relink(final: DataFrame) -> DataFrame:
-    """Recompute ancestors, parent and depth after nodes in between have gone."""
-    node = F.struct("depth", "last", "role", "name", "p")
-    meets = F.concat(
-        F.transform("ancestors", lambda a: F.struct(a.alias("on"), F.lit(None).cast(final.select(node).schema[0].dataType).alias("n"))),
-        F.array(F.struct(F.col("ord").alias("on"), node.alias("n"))),
-    )
-    rows = final.select("snapshot_id", "ord", F.explode(meets).alias("m")).select("snapshot_id", "ord", "m.*")
-    there = F.count("n").over(Window.partitionBy("snapshot_id", "on"))
-    paths = rows.withColumn("_there", there).filter(F.col("_there") > 0).groupBy("snapshot_id", "ord").agg(
-        F.array_sort(F.collect_list(F.when(F.col("n").isNull(), F.col("on")))).alias("ancestors"),
-        F.first("n", ignorenulls=True).alias("n"))
-    return paths.select(
-        "snapshot_id", "ord", F.try_element_at("ancestors", F.lit(-1)).alias("parent_ord"),
-        F.size("ancestors").alias("depth"), F.col("n.last").alias("last"), "ancestors", "n.role", "n.name", "n.p")
 
+SHOWN = frozenset(INTERACTIVE) | frozenset(STRUCTURAL)
 
-def prune_tree(ax: DataFrame, interesting_only: bool = True) -> DataFrame:
-    """Drop inline text boxes with their sub-trees and dissolve ignored nodes."""
-    if not interesting_only:
-        return ax.select(*TREE)
-    return _hoist(_drop_under(ax, F.col("role") == "InlineTextBox"), ~F.col("ignored"))
 
+def _compact(root: Node, rows: dict) -> Node | None:
+    some = False
 
-def filter_compact(ax: DataFrame) -> DataFrame:
-    """Only interactive and structural roles; a tree with none of them stays as it is."""
-    shown = F.col("role").isin(*INTERACTIVE, *STRUCTURAL)
-    some = F.max(shown).over(Window.partitionBy("snapshot_id"))
-    return _hoist(ax.withColumn("_some", some), shown | ~F.col("_some"))
+    def look(n: Node) -> Node:
+        nonlocal some
+        some = some or n.role in SHOWN
+        return n
+    bottom_up(root, look)
+    return bottom_up(root, lambda n: n if n.role in SHOWN else hoisted(n)) if some else root
 
 
-# --- text collapse ---
+def prune_tree(ax: DataFrame, interesting_only: bool = True) -> DataFrame:
+    """Drop inline text boxes with their sub-trees and dissolve ignored nodes: those vanish, give way to their only child, or become a ``group``."""
+    return fold_trees(ax, [_prune] if interesting_only else [], extra=["ignored"] if interesting_only else [])
 
-def _collapse_at(ax: DataFrame, foldable: Column) -> DataFrame:
-    """One collapse pass below parents for whose children ``foldable`` holds.
-
-    Each node meets its children in the group of its position. A nameless parent takes the
-    names of its childless texts; those go, and so does any text (even with children) that
-    repeats one of them. A named parent only sheds childless texts that repeat its name.
-    """
-    follows = F.lead("ord").over(_page())
-    rows = ax.withColumn("_leaf", follows.isNull() | (follows > F.col("last"))).withColumn("_fold", foldable)
-    both = F.array(F.struct(F.col("ord").alias("on"), F.lit(True).alias("self")),
-                   F.struct(F.col("parent_ord").alias("on"), F.lit(False).alias("self")))
-    met = rows.select("*", F.explode(both).alias("m")).select("*", "m.*").drop("m").filter(F.col("on").isNotNull())
-    group = Window.partitionBy("snapshot_id", "on")
-    static = (F.col("role") == "StaticText") & ~F.col("self") & F.col("_fold")
-    named = F.length(F.coalesce("name", F.lit(""))) > 0
-    source = static & F.col("_leaf") & named
-    odd = static & ~(F.col("_leaf") & named)
-    seen = (
-        met.withColumn("_pname", F.max(F.when(F.col("self") & named, F.col("name"))).over(group))
-        .withColumn("_odd", F.max(odd).over(group))
-        # Sibling texts are only gathered where a text with children (or without a name) must be compared.
-        .withColumn("_texts", F.collect_set(F.when(F.col("_odd") & source, F.col("name"))).over(group))
-    )
-    gone = F.when(F.col("_pname").isNull(), source | (odd & F.array_contains("_texts", F.coalesce("name", F.lit("")))))
-    gone = gone.otherwise(source & (F.col("name") == F.col("_pname")))
-    payload = F.struct(*[c for c in TREE if c not in ("snapshot_id", "ord")])
-    kept_type = ax.select(payload).schema[0].dataType
-
-    def note(at: Column, n: Column, dead: Column, text: Column) -> Column:
-        return F.struct(at.alias("at"), n.alias("n"), dead.alias("dead"), text.alias("text"))
-
-    no_node, no_text = F.lit(None).cast(kept_type), F.lit(None).cast("struct<ord:int,name:string>")
-    notes = F.when(F.col("self"), F.array(note(F.col("ord"), payload, F.lit(False), no_text))).otherwise(F.array(
-        note(F.col("ord"), no_node, gone, no_text),
-        note(F.col("on"), no_node, F.lit(False), F.when(source & F.col("_pname").isNull(), F.struct("ord", "name")))))
-    merged = (
-        seen.select("snapshot_id", F.explode(notes).alias("t")).select("snapshot_id", "t.*")
-        .groupBy("snapshot_id", F.col("at").alias("ord"))
-        .agg(F.first("n", ignorenulls=True).alias("n"), F.max("dead").alias("_gone"),
-             F.array_sort(F.collect_list("text")).alias("_t"))
-        .select("snapshot_id", "ord", "n.*", "_gone", "_t")
-    )
-    promoted = F.when(F.size("_t") > 0, F.array_join(F.transform("_t", lambda t: t["name"]), " ")).otherwise(F.col("name"))
-    return _drop_under(merged.withColumn("name", promoted), F.col("_gone")).select(*TREE)
 
+def filter_compact(ax: DataFrame) -> DataFrame:
+    """Only interactive and structural roles; a tree with none of them stays as it is."""
+    return fold_trees(ax, [_compact])
 
-def collapse_text(ax: DataFrame, text_levels: int = 0) -> DataFrame:
-    """Nameless parents take the joined names of their plain texts; texts that repeat the parent go.
 
-    One pass does when no StaticText has children (as in trees from pages). Otherwise set
-    ``text_levels`` to at least the depth of the deepest such node: levels are then folded
-    one by one, deepest first.
+def collapse_text(ax: DataFrame) -> DataFrame:
+    """Nameless parents take the joined names of their childless texts, deepest parents first; those texts go, and so does any text (even with
+    children) that repeats one of them. A named parent only sheds childless texts that repeat its name.
     """
-    for depth in range(text_levels, 0, -1):
-        ax = _collapse_at(ax, F.col("depth") == depth + 1)
-    return _collapse_at(ax, F.lit(True))
-
-
-def deepest_text_parent(ax: DataFrame) -> DataFrame:
-    """One row: the depth of the deepest StaticText with children (for ``text_levels``), or null."""
-    follows = F.lead("ord").over(_page())
-    odd = (F.col("role") == "StaticText") & (F.col("_f") <= F.col("last"))
-    return ax.withColumn("_f", follows).agg(F.max(F.when(odd, F.col("depth"))).alias("depth"))
+    return fold_trees(ax, [_collapse])
 
 
 # --- depth, sub-trees, rendering ---
@@ -360,29 +274,33 @@ def limit_depth(ax: DataFrame, max_depth: int) -> DataFrame:
     """Replace the children of nodes at ``max_depth`` by one node that counts them."""
     if not 0 <= max_depth <= 50:
         raise ValueError("max_depth must be between 0 and 50")
-    near = _keep(ax, F.col("depth") <= max_depth + 1)
-    siblings = Window.partitionBy("snapshot_id", "parent_ord")
-    edge = F.col("depth") == max_depth + 1
-    counted = near.withColumn("_n", F.count("*").over(siblings)).withColumn(
-        "_i", F.row_number().over(siblings.orderBy("ord")))
-    label = F.concat(F.col("_n").cast("string"), F.lit(" hidden child"), F.when(F.col("_n") == 1, "").otherwise("ren"))
-    cut = _keep(counted, ~edge | (F.col("_i") == 1))
-    return cut.withColumn("name", F.when(edge, label).otherwise(F.col("name"))).withColumn(
-        "role", F.when(edge, "…").otherwise(F.col("role"))
-    ).withColumn("p", F.when(edge, _p()).otherwise(F.col("p"))).select(*TREE)
+
+    def cut(root: Node, rows: dict) -> Node:
+        level = [root]
+        for _ in range(max_depth):
+            level = [k for n in level for k in n.kids]
+        for n in level:
+            if n.kids:
+                many = len(n.kids)
+                n.kids = [Node(n.kids[0].row, "…", f"{many} hidden child{'' if many == 1 else 'ren'}", False)]
+        return root
+    return fold_trees(ax, [cut])
 
 
 def subtree(ax: DataFrame, targets: DataFrame) -> DataFrame:
     """Target nodes (snapshot_id, ord) with their descendants and ancestors."""
     wanted = targets.select("snapshot_id", "ord").distinct().withColumn("_t", F.lit(True))
-    marked = ax.join(wanted, ["snapshot_id", "ord"], "left")
-    hit = F.when(F.col("_t"), F.col("ord"))
-    near = marked.withColumn(
-        "_reach", F.max(F.when(F.col("_t"), F.col("last"))).over(_page().rowsBetween(Window.unboundedPreceding, 0))
-    ).withColumn(
-        "_next", F.first(hit, ignorenulls=True).over(_page().rowsBetween(0, Window.unboundedFollowing)))
-    keep = F.coalesce(F.col("_reach") >= F.col("ord"), F.lit(False)) | F.coalesce(F.col("_next") <= F.col("last"), F.lit(False))
-    return _keep(near, keep).select(*TREE)
+
+    def near(root: Node, rows: dict) -> Node | None:
+        hit, held, todo = rows["_t"], set(), [(root, False)]
+        while todo:
+            n, below = todo.pop()
+            below = below or bool(hit[n.row])
+            if below:
+                held.add(n.row)
+            todo.extend((k, below) for k in n.kids)
+        return bottom_up(root, lambda n: n if n.kids or n.row in held else None)
+    return fold_trees(ax.join(wanted, ["snapshot_id", "ord"], "left"), [near], extra=["_t"])
 
 
 def number_text(c: Column) -> Column:
@@ -459,8 +377,13 @@ def snapshot_format(ax: DataFrame, kind: str = "yaml") -> DataFrame:
 
 
 def semantic_tree(dom: DataFrame, interesting_only: bool = True) -> DataFrame:
-    """Pages to pruned and collapsed trees."""
+    """Pages to pruned and collapsed trees, without a shuffle."""
     raw = ax_from_dom(dom)
     if not interesting_only:
-        return raw.withColumn("role", F.coalesce("role", F.lit("generic"))).select(*TREE)
-    return collapse_text(prune_tree(raw))
+        return fold_trees(raw.withColumn("role", F.coalesce("role", F.lit("generic"))), [], ordered=True)
+    return fold_trees(raw, [_prune, _collapse], extra=["ignored"], ordered=True)
+
+
+def compact_tree(dom: DataFrame) -> DataFrame:
+    """Pages to compact trees in the same pass."""
+    return fold_trees(ax_from_dom(dom), [_prune, _collapse, _compact], extra=["ignored"], ordered=True)

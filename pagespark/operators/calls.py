@@ -26,6 +26,11 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
+def is_object(args: Column) -> Column:
+    """Whether a text is a JSON object, whatever white space stands around it; false for other JSON, broken text and null."""
+    return F.coalesce(_kind(F.try_parse_json(args)).startswith("OBJECT"), F.lit(False))
+
+
 def _json_at(text: Column, path: Column) -> Column:
     return F.call_function("get_json_object", text, path)
 
@@ -60,7 +65,7 @@ def _blank_values(list_json: Column, add_missing: bool) -> Column:
         if add_missing:
             hidden = F.when(has, hidden).otherwise(
                 F.map_concat(fields, F.create_map(F.lit("value"), blank)))
-        return F.when(F.ltrim(item).startswith("{"), _map_text(hidden)).otherwise(item)
+        return F.when(fields.isNotNull(), _map_text(hidden)).otherwise(F.lit(f'"{GONE}"'))
 
     # Items as raw JSON text, in order: one get_json_object per index keeps each item's own key order.
     n = F.json_array_length(list_json)
@@ -123,8 +128,7 @@ def redact(tool: Column, args: Column) -> Column:
         *SECRET_ARGS, *SECRET_LISTS, "browser_evaluate", "browser_upload", "browser_configure"
     )
     return F.when(careful & args.isNotNull() & F.try_parse_json(args).isNull(), gone).when(
-        careful & F.ltrim(args).startswith("{") & fields.isNotNull(),
-        _object_text(F.transform(F.map_entries(fields), rewrite)),
+        careful & is_object(args), F.coalesce(_object_text(F.transform(F.map_entries(fields), rewrite)), gone),
     ).otherwise(args)
 
 
@@ -283,8 +287,8 @@ def validate_args(call_log: DataFrame) -> DataFrame:
     """
     ruled = call_log.join(F.broadcast(rules_table(call_log.sparkSession)), "name", "left")
     fields = F.when(
-        F.trim(F.coalesce(F.col("args"), F.lit(""))).isin("", "null"), F.from_json(F.lit("{}"), "map<string,variant>")
-    ).when(F.ltrim("args").startswith("{"), F.from_json("args", "map<string,variant>"))
+        F.regexp_replace(F.coalesce(F.col("args"), F.lit("")), "^[ \\t\\n\\r]+|[ \\t\\n\\r]+$", "").isin("", "null"), F.from_json(F.lit("{}"), "map<string,variant>")
+    ).when(is_object(F.col("args")), F.from_json("args", "map<string,variant>"))
     parsed = ruled.withColumn("_fields", fields)
     m = F.col("_fields")
     found = F.filter(
@@ -312,16 +316,19 @@ def classify_calls(call_log: DataFrame) -> DataFrame:
     """HTTP status and outcome of each call.
 
     ``call_log``: name, args, is_error, content (JSON list of result blocks). Unknown tool
-    404, bad arguments 400 with issues, otherwise 200 and the tool's own outcome.
+    404, bad arguments 400 with issues, otherwise 200 and the tool's own outcome, or the error that its handler gives for
+    arguments that do not go together (``problem``).
     """
     checked = validate_args(call_log)
     blocks = F.from_json("content", "array<struct<type:string,text:string>>")
     first = F.get(F.filter(blocks, lambda b: b["type"] == "text"), F.lit(0))["text"]
     status = F.when(~F.col("known"), 404).when(F.size("issues") > 0, 400).otherwise(200)
-    ok = (status == 200) & ~F.coalesce(F.col("is_error"), F.lit(False))
+    refused = (status == 200) & F.col("problem").isNotNull()
+    ok = (status == 200) & ~refused & ~F.coalesce(F.col("is_error"), F.lit(False))
     message = (
         F.when(status == 404, F.concat(F.lit("unknown tool: "), F.col("name")))
         .when(status == 400, "invalid arguments")
+        .when(refused, F.concat(F.lit("Error in "), F.col("name"), F.lit(": "), F.col("problem")))
         .when(~ok, F.coalesce(first, F.lit("tool error")))
     )
     return checked.select("*", status.alias("status"), ok.alias("ok"), message.alias("error_message"))

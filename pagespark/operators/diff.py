@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.skew import topk_per_key
 from .ax import state_summary
+from .tree_fold import path_rows
 
 MAX_LINES = 100
 
@@ -19,23 +20,7 @@ def path_signature(ax: DataFrame) -> DataFrame:
     The value is not part of the signature, so an edited field shows up as changed.
     """
     part = F.concat(F.col("role"), F.lit("|"), F.coalesce("name", F.lit("")))
-    node = F.struct("role", "name", state_summary().alias("state"), part.alias("part"))
-    kind = ax.select(node.alias("n")).schema["n"].dataType
-    meets = F.concat(
-        F.transform("ancestors", lambda a: F.struct(a.alias("on"), F.lit(None).cast(kind).alias("n"))),
-        F.array(F.struct(F.col("ord").alias("on"), node.alias("n"))),
-    )
-    rows = ax.select("snapshot_id", "ord", F.explode(meets).alias("m")).select("snapshot_id", "ord", "m.*")
-    text = F.max("n.part").over(Window.partitionBy("snapshot_id", "on"))
-    paths = rows.withColumn("_text", text).groupBy("snapshot_id", "ord").agg(
-        F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("on", "_text"))), lambda r: F.concat(F.lit("/"), r["_text"])), "").alias("signature"),
-        F.first("n", ignorenulls=True).alias("n"))
-    return (
-        paths.groupBy("snapshot_id", "signature")
-        .agg(F.max_by("n", "ord").alias("n"), F.min("ord").alias("pos"))
-        .select("snapshot_id", "signature", "n.role", "n.name", "n.state", "pos")
-    )
+    return path_rows(ax.withColumn("part", part).withColumn("state", state_summary()))
 
 
 def friendly(role: Column, name: Column) -> Column:

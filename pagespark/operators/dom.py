@@ -14,16 +14,17 @@ from pyspark.sql import functions as F
 
 from ..functions.html_tree import parse_nodes
 from ..functions.lets import let
+from ..functions.prefix import covers
 from ..functions.text import MAX_HTML_CHARS
 
 NODE = (
     "struct<ord:int,parent:int,depth:int,last:int,kind:string,tag:string,attrs:map<string,string>,"
-    "text:string,anc:array<int>,nth:int,nth_n:int>"
+    "text:string,nth:int,nth_n:int,pos:int,pos_n:int,prev:int>"
 )
 _ARROW_NODE = pa.struct([
     ("ord", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("last", pa.int32()),
     ("kind", pa.string()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())),
-    ("text", pa.string()), ("anc", pa.list_(pa.int32())), ("nth", pa.int32()), ("nth_n", pa.int32()),
+    ("text", pa.string()), ("nth", pa.int32()), ("nth_n", pa.int32()), ("pos", pa.int32()), ("pos_n", pa.int32()), ("prev", pa.int32()),
 ])
 _FIELDS = [f.name for f in _ARROW_NODE]
 
@@ -103,7 +104,7 @@ def dom_nodes(dom: DataFrame) -> DataFrame:
     """One row per node of the pages that parsed."""
     return dom.select("page_id", F.explode("nodes").alias("n")).select(
         "page_id", F.col("n.ord").alias("node_ord"), F.col("n.parent").alias("parent_ord"),
-        "n.depth", "n.kind", "n.tag", "n.attrs", "n.text", F.col("n.anc").alias("ancestors"),
+        "n.depth", "n.kind", "n.tag", "n.attrs", "n.text",
         F.col("n.last").alias("last_ord"), F.col("n.nth").alias("sib_same_tag"),
         F.col("n.nth_n").alias("sib_same_tag_n"),
     )
@@ -121,26 +122,9 @@ def attr(n: Column, name: str) -> Column:
 
 
 def drop_subtrees(nodes: Column, doomed) -> Column:
-    """Nodes outside every sub-tree whose root satisfies ``doomed``.
-
-    In a page or sub-tree without gaps a node's flag is found by its position, so the work is that of the ancestor
-    lists. After an earlier cut positions no longer tell, and each node is held against the spans.
-    """
-    def by_flags(flags, first):
-        gone = lambda i: F.coalesce(F.get(flags, i - first), F.lit(False))
-        return F.filter(nodes, lambda n: ~gone(n["ord"]) & ~F.exists(n["anc"], lambda a: (a >= first) & gone(a)))
-
-    def by_spans():
-        hit = F.filter(nodes, lambda n: (n["kind"] == "element") & doomed(n))
-        spans = F.transform(hit, lambda n: F.struct(n["ord"].alias("a"), n["last"].alias("b")))
-        return let(spans, lambda gone: F.filter(
-            nodes, lambda n: ~F.exists(gone, lambda s: n["ord"].between(s["a"], s["b"]))))
-
-    first = F.get(nodes, F.lit(0))["ord"]
-    whole = F.size(nodes) == F.element_at(nodes, -1)["ord"] - first + 1
-    flags = F.transform(nodes, lambda n: F.coalesce((n["kind"] == "element") & doomed(n), F.lit(False)))
-    return F.when(F.size(nodes) == 0, nodes).when(
-        whole, let(flags, lambda f: let(first, lambda at: by_flags(f, at)))).otherwise(by_spans())
+    """Nodes outside every sub-tree whose root satisfies ``doomed``; earlier cuts do not matter."""
+    gone = covers(nodes, lambda n: (n["kind"] == "element") & doomed(n))
+    return let(gone, lambda g: F.filter(nodes, lambda n, i: ~F.get(g, i)))
 
 
 def inside(nodes: Column, root: Column) -> Column:

@@ -38,6 +38,11 @@ class Rule:
         return str(int(self.expected)) if whole else str(self.expected)
 
 
+def _around(nodes: Column, n: Column) -> Column:
+    """The node and what it lies in (looked for once a rule, for its first match)."""
+    return F.filter(F.slice(nodes, 1, n["ord"] + 1), lambda x: x["last"] >= n["ord"])
+
+
 def visible(nodes: Column, n: Column) -> Column:
     """Static visibility: nothing on the way up is hidden by attribute or inline style."""
     def hides(x: Column) -> Column:
@@ -48,13 +53,13 @@ def visible(nodes: Column, n: Column) -> Column:
             | ((x["tag"] == "input") & F.coalesce(F.lower(attr(x, "type")) == "hidden", F.lit(False)))
         )
 
-    return ~hides(n) & ~F.exists(n["anc"], lambda a: hides(F.get(nodes, a)))
+    return ~F.exists(_around(nodes, n), hides)
 
 
 def enabled(nodes: Column, n: Column) -> Column:
     controls = ("button", "input", "select", "textarea", "option", "optgroup", "fieldset")
     own = n["tag"].isin(*controls) & attr(n, "disabled").isNotNull()
-    outer = F.exists(n["anc"], lambda a: let(F.get(nodes, a), lambda x: (x["tag"] == "fieldset") & attr(x, "disabled").isNotNull()))
+    outer = F.exists(_around(nodes, n), lambda x: (x["ord"] < n["ord"]) & (x["tag"] == "fieldset") & attr(x, "disabled").isNotNull())
     aria = F.coalesce(attr(n, "aria-disabled") == "true", F.lit(False))
     return ~(own | aria | (n["tag"].isin(*controls) & outer))
 

@@ -1,14 +1,18 @@
-"""Page text, HTML and Markdown, all as array expressions over a page's nodes."""
+"""Page text, HTML and Markdown: array expressions over a page's nodes, and a fold for Markdown."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.css import match_css
+from ..functions.css import css_flags
 from ..functions.lets import let
+from ..functions.markdown import fold
+from ..functions.prefix import covers, running_sum
 from ..functions.text import HTML_CUT_WARNING, MAX_CHARS, squash, trim_all, truncate_col
 from .dom import attr, build_dom, drop_subtrees, inside
 
@@ -88,7 +92,7 @@ def _start_tag(n: Column) -> Column:
 
 
 def _assemble(nodes: Column, before, after) -> Column:
-    """Join opening and closing texts of a preorder node list in document order.
+    """Join opening and closing texts of a preorder list of structs with a node ``n`` in document order.
 
     A closing text goes behind the last node of its sub-tree, inner elements first.
     """
@@ -96,34 +100,33 @@ def _assemble(nodes: Column, before, after) -> Column:
     def at(pos: Column, late: int, inner: Column, text: Column) -> Column:
         return F.struct(pos.alias("pos"), F.lit(late).alias("late"), inner.alias("inner"), text.alias("text"))
 
-    opened = F.transform(nodes, lambda n: at(n["ord"], 0, n["ord"], before(n)))
-    elements = F.filter(nodes, lambda n: n["kind"] == "element")
-    closed = F.transform(elements, lambda n: at(n["last"], 1, -n["ord"], after(n)))
+    opened = F.transform(nodes, lambda m: at(m["n"]["ord"], 0, m["n"]["ord"], before(m)))
+    elements = F.filter(nodes, lambda m: m["n"]["kind"] == "element")
+    closed = F.transform(elements, lambda m: at(m["n"]["last"], 1, -m["n"]["ord"], after(m)))
     return F.array_join(F.transform(F.array_sort(F.concat(opened, closed)), lambda p: p["text"]), "")
 
 
-def _ords(nodes: Column, *tags: str) -> Column:
-    return F.transform(F.filter(nodes, lambda n: n["tag"].isin(*tags)), lambda n: n["ord"])
-
-
 def html_of(nodes: Column) -> Column:
     """Serialised HTML of a node list."""
-    return let(_ords(nodes, *RAW_TEXT_TAGS), lambda raw: _html_of(nodes, raw))
+    raw = covers(nodes, lambda n: n["tag"].isin(*RAW_TEXT_TAGS))  # such elements hold nothing but text
+    return let(F.zip_with(nodes, raw, lambda n, r: F.struct(n.alias("n"), r.alias("raw"))), _html_of)
 
 
-def _html_of(nodes: Column, raw_parents: Column) -> Column:
-    def before(n: Column) -> Column:
+def _html_of(marked: Column) -> Column:
+    def before(m: Column) -> Column:
+        n = m["n"]
         return (
             F.when(n["kind"] == "element", _start_tag(n))
             .when(n["kind"] == "comment", F.concat(F.lit("<!--"), n["text"], F.lit("-->")))
-            .when(F.array_contains(raw_parents, F.coalesce(n["parent"], F.lit(-1))), n["text"])
+            .when(m["raw"], n["text"])
             .otherwise(_escape(n["text"]))
         )
 
-    def after(n: Column) -> Column:
-        return F.when(n["tag"].isin(*VOID_TAGS), "").otherwise(F.concat(F.lit("</"), n["tag"], F.lit(">")))
+    def after(m: Column) -> Column:
+        tag = m["n"]["tag"]
+        return F.when(tag.isin(*VOID_TAGS), "").otherwise(F.concat(F.lit("</"), tag, F.lit(">")))
 
-    return _assemble(nodes, before, after)
+    return _assemble(marked, before, after)
 
 
 def compact_html(dom: DataFrame) -> DataFrame:
@@ -142,93 +145,74 @@ def plain_text(dom: DataFrame) -> DataFrame:
 
 # --- main article and Markdown ---
 
-def article_root(nodes: Column) -> Column:
-    """The first article, else the first main element, else the body.
+def with_content_root(dom: DataFrame, to: str = "_content") -> DataFrame:
+    """Column ``to``: the element with the most text outside links, weighed by the share of its text that is outside links.
 
-    (The element with the most text outside links is always an outermost one: the body.)
+    With T the characters (blanks aside) of an element's text and L those inside links, the largest (T - L) * (1 - L / T) wins; of
+    equals the innermost, then the last. Chrome and what is never shown do not count. Sub-tree sums are differences of running sums over
+    the preorder; null where nothing has text.
     """
+    nodes, none = F.col("nodes"), F.lit(0).cast("bigint")
+    unseen = lambda n: is_chrome(n) | n["tag"].isin("head", *UNSEEN_TAGS)
+    own = F.transform(nodes, lambda n: F.when(n["kind"] == "text", F.length(F.regexp_replace(n["text"], "\\s", ""))).otherwise(0).cast("bigint"))
+    first = F.get(nodes, F.lit(0))["ord"]
+    # Position of the last node at or before each ord: sub-trees that were cut leave gaps.
+    at = F.flatten(F.transform(nodes, lambda n, i: F.array_repeat(
+        i, F.coalesce(F.get(nodes, i + 1)["ord"], F.get(nodes, F.lit(0))["last"] + 1) - n["ord"])))
+    kept = lambda texts, flags, keep: F.zip_with(texts, flags, lambda c, f: F.when(f == keep, c).otherwise(none))
+    # One column after the other: each is a short expression of the one before.
+    staged = dom.withColumn("_text", kept(own, covers(nodes, unseen), False))
+    staged = staged.withColumn("_sums", let(F.col("_text"), lambda t: F.struct(
+        t.alias("t"), kept(t, covers(nodes, lambda n: n["tag"] == "a"), True).alias("l"))))
+    staged = staged.withColumn("_sums", let(F.col("_sums"), lambda s: F.struct(running_sum(s["t"]).alias("t"), running_sum(s["l"]).alias("l"), at.alias("at"))))
+
+    def scores(s: Column) -> Column:
+        def below(sums: Column, n: Column, i: Column) -> Column:
+            return F.get(sums, F.get(s["at"], n["last"] - first)) - F.when(i > 0, F.get(sums, i - 1)).otherwise(0)
+        return F.transform(nodes, lambda n, i: F.struct(
+            (n["kind"] == "element").alias("ok"), below(s["t"], n, i).alias("t"), below(s["l"], n, i).alias("l"), i.alias("at")))
+
+    staged = staged.withColumn("_scores", let(F.col("_sums"), scores))
+    best = F.array_max(F.transform(F.filter("_scores", lambda x: x["ok"] & (x["t"] > 0)), lambda x: F.struct(
+        ((x["t"] - x["l"]) * (x["t"] - x["l"]) / x["t"]).alias("score"), x["at"].alias("at"))))
+    return staged.withColumn(to, F.get(nodes, best["at"])).drop("_text", "_sums", "_scores")
+
+
+def with_article_root(dom: DataFrame, to: str = "_root") -> DataFrame:
+    """Column ``to``: the first article, else the first main element, else the element that holds the content, else the body."""
     def first(tag: str) -> Column:
-        return F.get(F.filter(nodes, lambda n: n["tag"] == tag), F.lit(0))
+        return F.get(F.filter("nodes", lambda n: n["tag"] == tag), F.lit(0))
 
-    return F.coalesce(first("article"), first("main"), first("body"), F.get(nodes, F.lit(0)))
+    return with_content_root(dom, "_content").withColumn(
+        to, F.coalesce(first("article"), first("main"), F.col("_content"), first("body"), F.get("nodes", F.lit(0)))).drop("_content")
 
 
 def main_article(dom: DataFrame) -> DataFrame:
-    """Keep only the nodes of the main article; ``root_tag`` says which rule found it."""
-    return dom.withColumn("_root", article_root(F.col("nodes"))).withColumn(
-        "nodes", inside(F.col("nodes"), F.col("_root"))
-    ).withColumn("root_tag", F.col("_root.tag")).drop("_root")
-
+    """Keep only the nodes of the main article; ``root_tag`` says which element that is."""
+    return with_article_root(dom).withColumn("nodes", inside(F.col("nodes"), F.col("_root"))).withColumn("root_tag", F.col("_root.tag")).drop("_root")
 
-MD_BLOCKS = "p div section article main header footer aside nav ul ol table tr figure form address".split()
 
-
-def markdown_of(nodes: Column) -> Column:
-    """Markdown of a node list: ATX headings, fenced code, dash bullets."""
+def markdown_parts(nodes: Column) -> Column:
+    """What Markdown needs of a node list, for ``with_markdown``."""
     seen = drop_subtrees(nodes, lambda n: n["tag"].isin("script", "style", "noscript", "template", "head"))
+    return F.transform(F.filter(seen, lambda n: n["kind"] != "comment"), lambda n: F.struct(
+        n["ord"].alias("ord"), n["last"].alias("last"), n["tag"].alias("tag"), F.when(n["kind"] == "text", n["text"]).alias("text"),
+        F.coalesce(attr(n, "href"), attr(n, "src"), attr(n, "start")).alias("link"), attr(n, "alt").alias("alt")))
 
-    def positions(kept: Column) -> Column:
-        return F.struct(
-            kept.alias("nodes"), _ords(kept, "pre", "code").alias("code"), _ords(kept, "pre").alias("pre"),
-            _ords(kept, "ol").alias("ordered"), _ords(kept, "ul", "ol").alias("lists"))
-
-    return let(let(seen, positions), _markdown)
-
-
-def _markdown(at: Column) -> Column:
-    nodes, code, preformatted, ordered, lists = at["nodes"], at["code"], at["pre"], at["ordered"], at["lists"]
-
-    def in_code(n: Column) -> Column:
-        return F.arrays_overlap(n["anc"], code)
-
-    def in_pre(n: Column) -> Column:
-        return F.arrays_overlap(n["anc"], preformatted)
 
-    def before(n: Column) -> Column:
-        tag = n["tag"]
-        level = F.substring(tag, 2, 1).try_cast("int")
-        nested = F.size(F.array_intersect(n["anc"], lists)) - 1
-        bullet = F.when(
-            F.array_contains(ordered, F.coalesce(n["parent"], F.lit(-1))), F.concat(n["nth"].cast("string"), F.lit(". "))
-        ).otherwise("- ")
-        link = attr(n, "href").isNotNull()
-        words = F.regexp_replace(n["text"], "\\s+", " ")
-        return (
-            F.when(n["kind"] == "text", F.when(in_code(n), n["text"]).otherwise(
-                F.regexp_replace(words, "([\\\\*_`\\[\\]])", "\\\\$1")))
-            .when(n["kind"] == "comment", "")
-            .when(tag.rlike("^h[1-6]$"), F.concat(F.lit("\n\n"), F.repeat(F.lit("#"), level), F.lit(" ")))
-            .when(tag == "li", F.concat(F.lit("\n"), F.repeat(F.lit("    "), F.greatest(nested, F.lit(0))), bullet))
-            .when(tag == "pre", "\n\n```\n")
-            .when(tag == "blockquote", "\n\n> ")
-            .when(tag == "hr", "\n\n* * *\n\n")
-            .when(tag == "br", "  \n")
-            .when(tag.isin("b", "strong"), "**")
-            .when(tag.isin("i", "em"), "_")
-            .when((tag == "code") & ~in_pre(n), "`")
-            .when((tag == "a") & link, "[")
-            .when(tag == "img", F.concat(F.lit("!["), F.coalesce(attr(n, "alt"), F.lit("")), F.lit("]("),
-                                         F.coalesce(attr(n, "src"), F.lit("")), F.lit(")")))
-            .when(tag.isin("td", "th"), " ")
-            .when(tag.isin(*MD_BLOCKS), "\n\n")
-            .otherwise("")
-        )
+def with_markdown(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns made by ``markdown_parts`` become Markdown: ATX headings, fenced code, dash bullets, numbered lists from their start, quotes and pipe tables, nested at will.
 
-    def after(n: Column) -> Column:
-        tag = n["tag"]
-        return (
-            F.when(tag.isin("b", "strong"), "**")
-            .when(tag.isin("i", "em"), "_")
-            .when((tag == "code") & ~in_pre(n), "`")
-            .when((tag == "a") & attr(n, "href").isNotNull(), F.concat(F.lit("]("), attr(n, "href"), F.lit(")")))
-            .when(tag == "pre", "\n```\n\n")
-            .when(tag.rlike("^h[1-6]$") | tag.isin("blockquote", *MD_BLOCKS), "\n\n")
-            .otherwise("")
-        )
+    The rows pass through a Python worker, so select what is needed beside them first.
+    """
+    def run(batches):
+        for batch in batches:
+            made = {c: pa.array([None if page is None else fold(tuple(n.values()) for n in page) for page in (p.as_py() for p in batch.column(c))], pa.string())
+                    for c in columns}
+            yield pa.RecordBatch.from_arrays([made.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names)
 
-    joined = _assemble(nodes, before, after)
-    edges = F.regexp_replace(joined, "(?m)^ (?=[^ ])", "")
-    return trim_all(F.regexp_replace(edges, "\\n{3,}", "\n\n"))
+    out = T.StructType([T.StructField(f.name, T.StringType() if f.name in columns else f.dataType) for f in df.schema])
+    return df.mapInArrow(run, out).withColumns({c: trim_all(F.col(c)) for c in columns})
 
 
 def title_col(nodes: Column) -> Column:
@@ -246,21 +230,23 @@ def to_markdown(dom: DataFrame, fallback: str | None = "plain", max_chars: int =
     the whole body is converted instead. Columns to ``carry`` follow.
     """
     n = F.col("nodes")
-    staged = dom.withColumn("_title", title_col(n)).withColumn("_md", markdown_of(inside(n, article_root(n))))
-    head = F.when(F.col("_title") != "", F.concat(F.lit("# "), F.col("_title"), F.lit("\n\n"))).otherwise("")
-    md = F.when(F.col("_md") != "", F.concat(head, F.col("_md"))).otherwise("")
-    staged = staged.withColumn("_head", head).withColumn("_full", md)
-    short = F.length(trim_all(F.col("_full"))) < 100
+    staged = with_article_root(dom).withColumn("_title", title_col(n)).withColumn("_md", markdown_parts(inside(n, F.col("_root"))))
+    said = F.aggregate("_md", F.lit(0), lambda acc, x: acc + F.coalesce(F.length(F.regexp_replace(x["text"], "\\s", "")), F.lit(0)))
+    few = F.coalesce(said < 100, F.lit(False))  # Markdown is no shorter than the text it shows, so only such pages can need anything else
     if fallback is None:
         body = F.get(F.filter(n, lambda x: x["tag"] == "body"), F.lit(0))
-        chosen = F.when(short, F.concat("_head", markdown_of(inside(n, body)))).otherwise(F.col("_full"))
+        other = F.when(few, markdown_parts(inside(n, body)))
     else:
-        plain = plain_text_col(n) if fallback == "plain" else F.col(fallback)
-        staged = staged.withColumn("_plain", F.when(short, F.coalesce(plain, F.lit(""))))
-        longer = F.length(trim_all(F.col("_plain"))) > F.length(trim_all(F.col("_full")))
-        chosen = F.when(short & longer, F.concat("_head", "_plain")).otherwise(F.col("_full"))
+        other = F.when(few, F.coalesce(plain_text_col(n) if fallback == "plain" else F.col(fallback), F.lit("")))
+    shown = with_markdown(staged.select("page_id", "url", "cut", "_title", "_md", other.alias("_other"), *carry), "_md", *(["_other"] if fallback is None else []))
+    head = F.when(F.col("_title") != "", F.concat(F.lit("# "), F.col("_title"), F.lit("\n\n"))).otherwise("")
+    shown = shown.withColumn("_head", head).withColumn("_full", F.when(F.col("_md") != "", F.concat("_head", "_md")).otherwise(F.when(F.col("_md").isNotNull(), "")))
+    short = F.length(trim_all(F.col("_full"))) < 100
+    instead = F.concat("_head", F.coalesce("_other", F.lit("")))
+    if fallback is not None:
+        short = short & (F.length(trim_all(F.col("_other"))) > F.length(trim_all(F.col("_full"))))
     text = truncate_col(F.col("_text"), max_chars)
-    return staged.withColumn("_text", trim_all(chosen)).select(
+    return shown.withColumn("_text", trim_all(F.when(short, instead).otherwise(F.col("_full")))).select(
         "page_id", "url",
         F.when(F.col("cut"), F.concat(text, F.lit(HTML_CUT_WARNING))).otherwise(text).alias("text"), *carry,
     )
@@ -271,8 +257,7 @@ def select_subtree(dom: DataFrame, css: str) -> DataFrame:
 
     Pages without a match get ``error`` "Selector not found: ..." and no nodes.
     """
-    match = match_css(css)
-    root = F.get(F.filter(F.col("nodes"), lambda n: match(F.col("nodes"), n)), F.lit(0))
+    root = let(css_flags(css)(F.col("nodes")), lambda hit: F.get(F.filter("nodes", lambda n, i: F.get(hit, i)), F.lit(0)))
     found = dom.withColumn("_root", root)
     kept = F.when(F.col("_root").isNotNull(), inside(F.col("nodes"), F.col("_root")))
     missing = F.when(F.col("_root").isNull() & F.col("error").isNull(), F.lit(f"Selector not found: {css}"))

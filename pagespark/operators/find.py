@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.css import match_css
+from ..functions.css import css_flags
 from ..functions.lets import let
+from ..functions.prefix import running_max
 from ..functions.text import squash, trim_all
 from .dom import attr
 
@@ -34,8 +35,9 @@ def css_path_of(nodes: Column, n: Column) -> Column:
         kept = F.when(stop_at > 0, F.slice(labels, 1, stop_at.cast("int"))).otherwise(labels)
         return F.array_join(F.reverse(F.transform(kept, lambda x: x["text"])), " > ")
 
-    upward = F.slice(F.reverse(F.concat(n["anc"], F.array(n["ord"]))), 1, 5)
-    return let(F.transform(upward, lambda i: label(F.get(nodes, i))), cut)
+    up = lambda e: F.get(nodes, e["parent"])
+    chain = let(n, lambda a: let(up(a), lambda b: let(up(b), lambda c: let(up(c), lambda d: F.array(a, b, c, d, up(d))))))
+    return let(F.transform(F.array_compact(chain), label), cut)
 
 
 def css_path(dom: DataFrame) -> DataFrame:
@@ -56,7 +58,8 @@ def find_text(dom: DataFrame, query: str, limit: int = 10) -> DataFrame:
         raise ValueError("limit must be between 1 and 50")
     q = query.lower()
     nodes = F.col("nodes")
-    in_body = F.filter(nodes, lambda n: (n["kind"] == "text") & (n["depth"] >= 2) & (F.get(nodes, F.get(n["anc"], F.lit(1)))["tag"] == "body"))
+    body = F.get(F.filter(nodes, lambda n: n["tag"] == "body"), F.lit(0))
+    in_body = let(body, lambda b: F.filter(F.slice(nodes, b["ord"] + 1, b["last"] - b["ord"] + 1), lambda n: n["kind"] == "text"))
     trimmed = F.transform(in_body, lambda n: F.struct(n["parent"].alias("parent"), trim_all(n["text"]).alias("t")))
     hits = F.slice(
         F.filter(trimmed, lambda h: (F.length(h["t"]) >= 2) & F.lower(h["t"]).contains(q)), 1, limit)
@@ -125,12 +128,31 @@ def role_of(n: Column) -> Column:
     return F.coalesce(given, by_tag)
 
 
-def label_of(nodes: Column, n: Column) -> Column:
-    """Text of the label wrapped around a control or pointing at its id, or null."""
-    wrapping = F.filter(F.transform(n["anc"], lambda a: F.get(nodes, a)), lambda x: x["tag"] == "label")
-    pointing = F.filter(nodes, lambda x: (x["tag"] == "label") & (attr(x, "for") == attr(n, "id")))
-    label = F.coalesce(F.get(pointing, F.lit(0)), F.get(F.reverse(wrapping), F.lit(0)))
-    return F.when(n["tag"].isin(*LABELLED_TAGS), let(label, lambda x: F.when(x.isNotNull(), text_of(nodes, x))))
+def labels_of(nodes: Column) -> Column:
+    """What ``label_in`` needs of a page: the text of the first label for each id, and for every position how far the labels up to it reach and the newest."""
+    found = F.filter(nodes, lambda n: n["tag"] == "label")
+    ids = F.array_distinct(F.transform(F.filter(found, lambda x: attr(x, "for").isNotNull()), lambda x: attr(x, "for")))
+    pointed = F.transform(F.filter(found, lambda x: attr(x, "for").isNotNull()), lambda x: F.struct(attr(x, "for").alias("id"), x["ord"].alias("ord")))
+    first = let(F.array_sort(pointed), lambda p: F.map_from_entries(F.transform(
+        F.filter(p, lambda x, i: (i == 0) | (F.get(p, i - 1)["id"] != x["id"])), lambda x: F.struct(x["id"], text_of(nodes, F.get(nodes, x["ord"]))))))
+    reach = running_max(F.transform(nodes, lambda n: F.when(n["tag"] == "label", n["last"]).otherwise(-1)))
+    newest = running_max(F.transform(nodes, lambda n: F.when(n["tag"] == "label", n["ord"]).otherwise(-1)))
+    none = F.array().cast("array<int>")
+    some = F.size(found) > 0
+    return F.struct(F.when(F.size(ids) > 0, first).alias("by_id"), F.when(some, reach).otherwise(none).alias("reach"),
+                    F.when(some, newest).otherwise(none).alias("newest"))
+
+
+def label_in(nodes: Column, labels: Column, n: Column) -> Column:
+    """Text of the first label that points at a control's id, else of the innermost label wrapped around it, or null."""
+    def wrapping(at: Column) -> Column:
+        inner = F.get(nodes, at)
+        return F.when(inner["last"] >= n["ord"], at).otherwise(  # labels inside labels: look back for the one that reaches here
+            F.array_max(F.transform(F.filter(F.slice(nodes, 1, n["ord"]), lambda x: (x["tag"] == "label") & (x["last"] >= n["ord"])), lambda x: x["ord"])))
+
+    wrapped = F.when(F.get(labels["reach"], n["ord"]) >= n["ord"], let(F.get(labels["newest"], n["ord"]), wrapping))
+    by_id = F.when(attr(n, "id").isNotNull(), F.try_element_at(labels["by_id"], attr(n, "id")))
+    return F.when(n["tag"].isin(*LABELLED_TAGS), F.coalesce(by_id, let(wrapped, lambda w: F.when(w.isNotNull(), text_of(nodes, F.get(nodes, w))))))
 
 
 def name_from(n: Column, role: Column, label: Column, content: Column) -> Column:
@@ -148,8 +170,8 @@ def name_from(n: Column, role: Column, label: Column, content: Column) -> Column
     )
 
 
-def name_of(nodes: Column, n: Column, role: Column) -> Column:
-    return name_from(n, role, label_of(nodes, n), text_of(nodes, n))
+def name_of(nodes: Column, labels: Column, n: Column, role: Column) -> Column:
+    return name_from(n, role, label_in(nodes, labels, n), text_of(nodes, n))
 
 
 def may_be_named_by_content(n: Column) -> Column:
@@ -171,22 +193,20 @@ def matches(nodes: Column, target: str, kind: str = "text", role: str | None = N
         said = F.filter(elements, lambda n: ~n["tag"].isin(*unseen) & _says(
             F.when((n["tag"] == "input") & attr(n, "type").isin("button", "submit"), attr(n, "value"))
             .otherwise(text_of(nodes, n)), target, exact))
-        # Only the innermost matching elements count.
-        return let(said, lambda s: F.filter(s, lambda n: ~F.exists(
-            s, lambda m: (m["ord"] > n["ord"]) & (m["ord"] <= n["last"]))))
+        # Only the innermost matching elements count: those that the next one does not lie in.
+        return let(said, lambda s: F.filter(s, lambda n, i: F.coalesce(F.get(s, i + 1)["ord"] > n["last"], F.lit(True))))
     if kind == "role":
         want = role or "button"
-        return F.filter(elements, lambda n: F.coalesce(role_of(n) == want, F.lit(False)) & _says(
-            name_of(nodes, n, F.lit(want)), target, exact))
+        return let(labels_of(nodes), lambda labels: F.filter(elements, lambda n: F.coalesce(role_of(n) == want, F.lit(False)) & _says(
+            name_of(nodes, labels, n, F.lit(want)), target, exact)))
     if kind == "label":
-        return F.filter(elements, lambda n: _says(label_of(nodes, n), target, exact)
-                        | _says(squash(attr(n, "aria-label")), target, exact))
+        return let(labels_of(nodes), lambda labels: F.filter(elements, lambda n: _says(label_in(nodes, labels, n), target, exact)
+                                                             | _says(squash(attr(n, "aria-label")), target, exact)))
     if kind == "placeholder":
         return F.filter(elements, lambda n: _says(squash(attr(n, "placeholder")), target, exact))
     if kind == "testid":
         return F.filter(elements, lambda n: F.coalesce(attr(n, "data-testid") == target, F.lit(False)))
-    match = match_css(target)
-    return F.filter(elements, lambda n: match(nodes, n))
+    return let(css_flags(target)(nodes), lambda hit: F.filter(nodes, lambda n, i: F.get(hit, i)))
 
 
 def locate(

@@ -156,6 +156,52 @@ def _md(x: str) -> str:
     return f"regexp_replace({flat}, '([\\\\*_`\\[\\]])', '\\\\\\1', 'g')"
 
 
+_BARE = "CAST(length(regexp_replace({x}, '\\s', '', 'g')) AS BIGINT)"
+
+
+@query("main_content", f"""WITH {PARAS}, body AS (SELECT page_id, sum({_BARE.format(x=_unescape('words'))}) AS p FROM paras GROUP BY 1),
+s AS (SELECT t.page_id, {_BARE.format(x=_unescape('ad'))} AS ad, {_BARE.format(x=_unescape('h1'))} + coalesce(p, 0) AS story,
+    (SELECT coalesce(sum({_BARE.format(x=_unescape('x'))}), 0) FROM (SELECT unnest(regexp_extract_all(nav, '<a href="[^"]*">(.*?)</a>', 1)) AS x)) AS links
+  FROM parts t LEFT JOIN body b ON b.page_id = t.page_id),
+w AS (SELECT *, page_id % 2 = 0 AS linked FROM s),
+v AS (SELECT *, CASE WHEN linked THEN story * story / CAST(links + ad + story AS DOUBLE) ELSE (ad + story) * (ad + story) / CAST(links + ad + story AS DOUBLE) END AS body_score FROM w)
+SELECT page_id, CASE WHEN body_score > story THEN 'body' ELSE 'div' END AS root_tag, CASE WHEN body_score > story THEN NULL ELSE 'story' END AS root_class,
+  CASE WHEN body_score > story THEN links + ad + story ELSE story END AS chars FROM v""")
+def main_content(spark, sf):
+    """Pages whose story is a plain block between a list of links and, on every other page, a linked advertisement."""
+    html = F.replace(F.replace("html", F.lit("<article>"), F.lit('<div class="story">')), F.lit("</article>"), F.lit("</div>"))
+    html = F.replace(F.replace(html, F.lit("<nav>"), F.lit("<div>")), F.lit("</nav>"), F.lit("</div>"))
+    linked = F.regexp_replace(html, '(?s)<div class="ad">(.*?)</div>', '<div class="ad"><a href="/ad">$1</a></div>')
+    plain = feeds.pages(spark, sf).withColumn("html", F.when(F.col("page_id") % 2 == 0, linked).otherwise(html))
+    found = extract.main_article(extract.strip_compact(dom.build_dom(plain)))
+    shown = F.filter("nodes", lambda n: (n["kind"] == "text"))
+    inside = F.aggregate(shown, F.lit(0).cast("long"), lambda acc, n: acc + F.length(F.regexp_replace(n["text"], "\\s", "")))
+    return found.select("page_id", "root_tag", dom.attr(F.get("nodes", F.lit(0)), "class").alias("root_class"), inside.alias("chars"))
+
+
+# Lists in lists, a numbered list with a start, a quote of several blocks and a table, made of each page's heading, advertisement and links.
+_RICH = """concat('<title>T</title><article><h2>', h1, '</h2><ul><li>', ad, '<ol start="', 3 + page_id % 5, '"><li>one<li><p>two</p><p>', h1,
+  '</p></ol></li><li>last</li></ul><blockquote><p>', ad, '</p><p>', h1, '</p><ul><li>quoted</li></ul></blockquote><table><tr><th>a|b</th><th>', page_id,
+  '</th></tr>', rows, '</table><p>end of the page that is long enough to be an article by itself, which takes a hundred characters</p></article>')"""
+
+
+@query("rich_markdown", f"""WITH {PARTS}, t AS (SELECT *, CAST(3 + page_id % 5 AS VARCHAR) AS first, CAST(4 + page_id % 5 AS VARCHAR) AS next,
+  regexp_extract_all(nav, '<a href="[^"]*">(.*?)</a>', 1) AS links FROM parts),
+m AS (SELECT *, trim({_md('h1')}) AS h, trim({_md('ad')}) AS a,
+  coalesce((SELECT string_agg('| ' || replace(trim({_md('x')}), '|', '\\|') || ' | ' || CAST(i AS VARCHAR) || ' |', chr(10) ORDER BY i) || chr(10)
+    FROM (SELECT unnest(links) AS x, generate_subscripts(links, 1) AS i)), '') AS body FROM t)
+SELECT page_id, url, '# T' || chr(10) || chr(10) || '## ' || h || chr(10) || chr(10) || '- ' || a || chr(10) || '  ' || first || '. one' || chr(10) || '  ' || next || '. two' || chr(10)
+  || chr(10) || '     ' || h || chr(10) || '- last' || chr(10) || chr(10) || '> ' || a || chr(10) || '>' || chr(10) || '> ' || h || chr(10) || '>' || chr(10) || '> - quoted' || chr(10) || chr(10)
+  || '| a\\|b | ' || CAST(page_id AS VARCHAR) || ' |' || chr(10) || '| --- | --- |' || chr(10) || body || chr(10)
+  || 'end of the page that is long enough to be an article by itself, which takes a hundred characters' AS text FROM m""")
+def rich_markdown(spark, sf):
+    part = lambda pattern: F.trim(F.regexp_extract("html", pattern, 1))
+    links = F.regexp_extract_all("html", F.lit('(?s)<li><a href="[^"]*">(.*?)</a>'), F.lit(1))
+    rows = F.array_join(F.transform(links, lambda x, i: F.concat(F.lit("<tr><td>"), x, F.lit("</td><td>"), (i + 1).cast("string"), F.lit("</td></tr>"))), "")
+    made = feeds.pages(spark, sf).withColumn("h1", part("(?s)<h1>(.*?)</h1>")).withColumn("ad", part('(?s)<div class="ad">(.*?)</div>')).withColumn("rows", rows)
+    return extract.to_markdown(dom.build_dom(made.withColumn("html", F.expr(_RICH)).select("page_id", "url", "html")), max_chars=1_000_000)
+
+
 MARKDOWN = f"""{PARAS},
 mds AS (SELECT page_id, string_agg(repeat('**', CAST(bolds AS INT)) || {_md('words')} || CASE WHEN br THEN '  ' || chr(10) ELSE '' END
           || repeat('**', CAST(bolds AS INT)), chr(10) || chr(10) ORDER BY i) AS body FROM paras GROUP BY 1),

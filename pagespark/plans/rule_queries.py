@@ -209,6 +209,72 @@ def redacted_calls(spark, sf):
     return calls.redact_args(feeds.tool_calls(spark, sf)).select("seq", "name", "redacted")
 
 
+# White space that may stand around JSON, by call.
+_SPACED = r"""CASE seq % 4 WHEN 0 THEN {n} WHEN 1 THEN {t} WHEN 2 THEN {r} || {n} ELSE '  ' || {n} || ' ' END || args || {n}"""
+_SPACED_DUCK = _SPACED.format(n="chr(10)", t="chr(9)", r="chr(13)")
+_SPACED_SPARK = _SPACED.format(n="char(10)", t="char(9)", r="char(13)")
+
+
+def _spaced(spark, sf):
+    return feeds.tool_calls(spark, sf).withColumn("args", F.expr(_SPACED_SPARK))
+
+
+@query("redacted_spaced_calls", f"""WITH {CALLS}
+SELECT seq, name, CASE WHEN name = 'browser_unknown' OR e = 'view' THEN {_SPACED_DUCK} ELSE redacted END AS redacted FROM red""")
+def redacted_spaced_calls(spark, sf):
+    return calls.redact_args(_spaced(spark, sf)).select("seq", "name", "redacted")
+
+
+@query("classified_spaced_calls", f"WITH {CALLS} SELECT seq, name, status FROM st")
+def classified_spaced_calls(spark, sf):
+    return calls.classify_calls(_spaced(spark, sf)).select("seq", "name", "status")
+
+
+# All tools whose arguments carry secrets, with objects, lists and broken text; the same expression in both dialects.
+_TOOLS = """CASE seq % 10 WHEN 0 THEN 'browser_type' WHEN 1 THEN 'browser_save' WHEN 2 THEN 'browser_download_wait' WHEN 3 THEN 'browser_storage'
+  WHEN 4 THEN 'browser_handle_dialog' WHEN 5 THEN 'browser_cookies' WHEN 6 THEN 'browser_fill_form' WHEN 7 THEN 'browser_evaluate'
+  WHEN 8 THEN 'browser_upload' ELSE 'browser_configure' END"""
+_SECRET = "'s3cret ' || CAST(k AS {text})"
+_ARGS = """CASE WHEN k % 13 = 5 THEN '{{"text":"' || {secret} WHEN k % 11 = 3 THEN '[1,"x"]' ELSE
+  CASE seq % 10 WHEN 0 THEN '{{"target":"a","text":"' || {secret} || '","submit":true}}' WHEN 1 THEN '{{"path":"' || {secret} || '","format":"pdf"}}'
+  WHEN 2 THEN '{{"action":"click","save_to":"' || {secret} || '"}}' WHEN 3 THEN '{{"action":"set","key":"k","value":"' || {secret} || '"}}'
+  WHEN 4 THEN '{{"prompt_text":"' || {secret} || '"}}' WHEN 5 THEN '{{"cookies":[{{"name":"n","value":"' || {secret} || '"}},{{"name":"m"}}]}}'
+  WHEN 6 THEN '{{"fields":[{{"target":"t","value":"' || {secret} || '"}},{{"target":"u","checked":true}}]}}' WHEN 7 THEN '{{"expression":"' || {secret} || '"}}'
+  WHEN 8 THEN '{{"files":["' || {secret} || '","b"]}}' ELSE '{{"locale":"de","extra_headers":{{"A":"' || {secret} || '","B":"x"}}}}' END END"""
+
+
+@query("redacted_tool_calls", f"""WITH {BASE}, a AS (SELECT seq, k, {_TOOLS} AS name, {_ARGS.format(secret=_SECRET.format(text="VARCHAR"))} AS args FROM base)
+SELECT seq, name, CASE WHEN k % 13 = 5 THEN '"«redacted»"' WHEN k % 11 = 3 THEN args
+  WHEN name = 'browser_cookies' THEN '{{"cookies":[{{"name":"n","value":"«redacted»"}},{{"name":"m","value":"«redacted»"}}]}}'
+  WHEN name = 'browser_evaluate' THEN '{{"expression":"«redacted ' || (7 + length(CAST(k AS VARCHAR))) || 'ch»"}}' WHEN name = 'browser_upload' THEN '{{"files":"«2 files»"}}'
+  WHEN name = 'browser_configure' THEN '{{"locale":"de","extra_headers":{{"A":"«redacted»","B":"«redacted»"}}}}'
+  ELSE regexp_replace(args, 's3cret [0-9]+', '«redacted»') END AS redacted FROM a""")
+def redacted_tool_calls(spark, sf):
+    made = feeds.base(spark, sf).select("seq", "k", F.expr(_TOOLS).alias("name"), F.expr(_ARGS.format(secret=_SECRET.format(text="STRING"))).alias("args"))
+    return calls.redact_args(made).select("seq", "name", "redacted")
+
+
+_HANDLED = """CASE seq % 4 WHEN 0 THEN 'browser_wait' WHEN 1 THEN 'browser_configure' WHEN 2 THEN 'browser_storage' ELSE 'browser_download_wait' END"""
+_HANDLED_ARGS = """CASE seq % 4 WHEN 0 THEN CASE k % 3 WHEN 0 THEN '{"selector":"a"}' WHEN 1 THEN '{"selector":"a","condition":"b"}' ELSE '{}' END
+  WHEN 1 THEN CASE k % 3 WHEN 0 THEN '{"viewport_width":800,"viewport_height":600}' WHEN 1 THEN '{"viewport_width":800}' ELSE '{"locale":"de"}' END
+  WHEN 2 THEN CASE k % 3 WHEN 0 THEN '{"action":"set","key":"a","value":"b"}' WHEN 1 THEN '{"action":"set","key":"a"}' ELSE '{"action":"remove"}' END
+  ELSE CASE k % 3 WHEN 0 THEN '{"action":"click","target":"a","save_to":"f"}' WHEN 1 THEN '{"action":"navigate","save_to":"f"}' ELSE '{"action":"click","save_to":"f"}' END END"""
+
+
+@query("handler_outcomes", f"""WITH {BASE}, a AS (SELECT seq, k, {_HANDLED} AS name FROM base),
+p AS (SELECT *, CASE WHEN name = 'browser_wait' AND k % 3 > 0 THEN 'provide exactly one of `selector` or `condition`'
+  WHEN name = 'browser_configure' AND k % 3 = 1 THEN 'viewport_width and viewport_height must be set together.'
+  WHEN name = 'browser_storage' AND k % 3 = 1 THEN '`key` and `value` are required for action=''set'''
+  WHEN name = 'browser_storage' AND k % 3 = 2 THEN '`key` is required for action=''remove'''
+  WHEN name = 'browser_download_wait' AND k % 3 = 1 THEN 'url required for action=''navigate'''
+  WHEN name = 'browser_download_wait' AND k % 3 = 2 THEN 'target required for action=''click''' END AS problem FROM a)
+SELECT seq, name, 200 AS status, problem IS NULL AS ok, 'Error in ' || name || ': ' || problem AS error_message FROM p""")
+def handler_outcomes(spark, sf):
+    made = feeds.base(spark, sf).select(
+        "seq", F.expr(_HANDLED).alias("name"), F.expr(_HANDLED_ARGS).alias("args"), F.lit(False).alias("is_error"), F.lit("[]").alias("content"))
+    return calls.classify_calls(made).select("seq", "name", "status", "ok", "error_message")
+
+
 @query("call_log_lines", f"""WITH {CALLS}
 SELECT seq, ts_ms, name, redacted, CAST(floor(value) AS BIGINT) AS elapsed_ms, NOT broke AS ok,
   '→ ' || name || ' ' || CASE WHEN length(redacted) > 200 THEN substr(redacted, 1, 200) || '…' ELSE redacted END AS start_line,

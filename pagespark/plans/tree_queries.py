@@ -73,7 +73,7 @@ FROM parts p LEFT JOIN nav_lines n ON n.page_id = p.page_id"""
 
 @query("compact_trees", _COMPACT_SQL)
 def compact_trees(spark, sf):
-    return ax.render_tree(ax.filter_compact(ax.semantic_tree(_dom(spark, sf))))
+    return ax.render_tree(ax.compact_tree(_dom(spark, sf)))
 
 
 @query("shallow_trees", f"""WITH {PARTS}
@@ -101,7 +101,7 @@ SELECT p.page_id AS snapshot_id, '{{"role":"group","children":[{{"role":"navigat
   || ']}}]}},{{"role":"article","children":[{{"role":"heading","name":' || {_json_text('h1')} || ',"level":1}}]}},{{"role":"contentinfo","name":'
   || {_json_text('foot')} || '}}]}}' AS text FROM parts p JOIN nj ON nj.page_id = p.page_id""")
 def tree_json(spark, sf):
-    return ax.snapshot_format(ax.filter_compact(ax.semantic_tree(_dom(spark, sf))), "json")
+    return ax.snapshot_format(ax.compact_tree(_dom(spark, sf)), "json")
 
 
 _GROUP = "'/group|'"
@@ -117,7 +117,7 @@ _SIGS = f"""sigs AS (
 
 @query("path_signatures", f"WITH {LINKS}, {_SIGS} SELECT page_id AS snapshot_id, signature FROM sigs")
 def path_signatures(spark, sf):
-    return diff.path_signature(ax.filter_compact(ax.semantic_tree(_dom(spark, sf)))).select("snapshot_id", "signature")
+    return diff.path_signature(ax.compact_tree(_dom(spark, sf))).select("snapshot_id", "signature")
 
 
 def _two_versions(spark, sf):
@@ -130,7 +130,7 @@ def _two_versions(spark, sf):
         "</h1>", "!!" + box.replace(">", ">", 1).replace('label="agree"', 'label="agree" checked'))
     both = first.withColumn("v", F.lit(0)).unionByName(p.withColumn("html", edited).withColumn("v", F.lit(1)))
     parsed = dom.build_dom(both.withColumn("page_id", F.col("page_id") * 2 + F.col("v")))
-    sigs = diff.path_signature(ax.filter_compact(ax.semantic_tree(parsed)))
+    sigs = diff.path_signature(ax.compact_tree(parsed))
     return sigs.withColumn("v", F.col("snapshot_id") % 2).withColumn("snapshot_id", F.floor(F.col("snapshot_id") / 2))
 
 
@@ -283,6 +283,57 @@ def locate_ads(spark, sf):
     return find.locate(_dom(spark, sf), "div.ad", "selector").drop("ord")
 
 
+_FORM = """concat('<form><label>Mail ', page_id % 7, ' <input class="m" data-testid="box', page_id % 5, '"></label><label for="z">Zip code</label>',
+  '<input id="z" placeholder="Find item ', page_id % 10, '"><button>Go ', page_id % 3, '</button><p>Say <b>word ', page_id % 4, '</b></p></form>')"""
+
+
+def _forms(spark, sf):
+    """Each page with a small form behind its heading."""
+    return dom.build_dom(feeds.pages(spark, sf).withColumn("html", F.replace("html", F.lit("</h1>"), F.concat(F.lit("</h1>"), F.expr(_FORM)))))
+
+
+@query("locate_by_label", """SELECT page_id, 1 AS nth, 'input' AS tag, '' AS text FROM pages WHERE page_id % 7 = 3""")
+def locate_by_label(spark, sf):
+    return find.locate(_forms(spark, sf), "mail 3", "label", exact=False).drop("ord")
+
+
+@query("locate_by_label_exactly", """SELECT page_id, 1 AS nth, 'input' AS tag, '' AS text FROM pages""")
+def locate_by_label_exactly(spark, sf):
+    return find.locate(_forms(spark, sf), "Zip code", "label", exact=True).drop("ord")
+
+
+@query("locate_by_placeholder", """SELECT page_id, 1 AS nth, 'input' AS tag, '' AS text FROM pages WHERE page_id % 10 = 4""")
+def locate_by_placeholder(spark, sf):
+    return find.locate(_forms(spark, sf), "ITEM 4", "placeholder").drop("ord")
+
+
+@query("locate_by_testid", """SELECT page_id, 1 AS nth, 'input' AS tag, '' AS text FROM pages WHERE page_id % 5 = 2""")
+def locate_by_testid(spark, sf):
+    return find.locate(_forms(spark, sf), "box2", "testid").drop("ord")
+
+
+@query("locate_by_role", """SELECT page_id, 1 AS nth, 'button' AS tag, 'Go 1' AS text FROM pages WHERE page_id % 3 = 1""")
+def locate_by_role(spark, sf):
+    return find.locate(_forms(spark, sf), "go 1", "role", role="button").drop("ord")
+
+
+@query("locate_by_text", """SELECT page_id, 1 AS nth, 'b' AS tag, 'word 2' AS text FROM pages WHERE page_id % 4 = 2""")
+def locate_by_text(spark, sf):
+    return find.locate(_forms(spark, sf), "word 2", "text", exact=True).drop("ord")
+
+
+@query("locate_by_position", f"""WITH {LINKS}, c AS (SELECT page_id, i, {_unescape('text')} AS text FROM links WHERE i % 2 = 1 AND i < n)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) AS nth, 'a' AS tag, text FROM c""")
+def locate_by_position(spark, sf):
+    return find.locate(_dom(spark, sf), "nav li:nth-child(odd):not(:last-child) > a", "selector").drop("ord")
+
+
+@query("locate_by_siblings", f"""WITH {PARAS}, c AS (SELECT page_id, i, trim(regexp_replace({_unescape('words')}, '\\s+', ' ', 'g')) AS text FROM paras WHERE i > 2)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) AS nth, 'p' AS tag, text FROM c""")
+def locate_by_siblings(spark, sf):
+    return find.locate(_dom(spark, sf), "h1 ~ p + p:not(:nth-of-type(2))", "selector").drop("ord")
+
+
 RULES = [
     expect.Rule("heading shown", "visible", "h1", "selector"),
     expect.Rule("script hidden", "hidden", "script", "selector"),

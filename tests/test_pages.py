@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from pagespark.functions.css import BadSelector, css_flags
 from pagespark.functions.html_tree import parse_nodes
 from pagespark.functions.text import truncate_col
-from pagespark.operators import dom, expect, extract, find
+from pagespark.operators import ax, dom, expect, extract, find
 
 BOARD = """<!doctype html><html><body><header><h1>Shop</h1></header><nav>Start Help</nav><aside>Offer</aside>
 <main><div>Hello</div><div>Total: <b>42</b></div></main><footer>imprint</footer>
@@ -71,18 +72,93 @@ def test_many_dropped_subtrees(spark):
     assert {n["tag"] for n in kept} == {"html", "head", "body", "p", None}
 
 
+def test_no_depth_loses_a_page(spark):
+    """7,000 levels and more read like any other page, in every operator."""
+    deep = "<div>" * 7000 + "<p>bottom <a href='/x'>link</a><script>no()</script>"
+    rows = parse_nodes(deep)
+    assert max(r[2] for r in rows) > 7000
+    d = dom.build_dom(pages(spark, "<p>ok</p>", deep)).cache()
+    assert dom.bad_pages(d).count() == 0
+    for mode, want in (("text", "bottom link"), ("markdown", "bottom [link](/x)"), ("html", "<p>bottom <a")):
+        ok, got = extract.read_content(pages(spark, "<p>ok</p>", deep), mode=mode, compact=True, max_chars=10**6).orderBy("page_id").collect()
+        assert "ok" in ok["content"] and got["error"] is None and want in got["content"]
+    assert find.locate(d, "div div p > a", "selector").count() == 1
+    assert ax.render_tree(ax.compact_tree(d)).count() == 2
+
+
 def test_bad_pages_are_quarantined(spark):
-    too_deep = "<div>" * 5800
-    with pytest.raises(ValueError):
-        parse_nodes(too_deep)
-    d = dom.build_dom(pages(spark, "<p>ok</p>", too_deep)).cache()
-    assert [r["page_id"] for r in dom.bad_pages(d).collect()] == [1]
-    assert {r["page_id"] for r in dom.dom_nodes(d).collect()} == {0}
-    for mode in ("text", "markdown", "html"):
-        ok, bad = extract.read_content(pages(spark, "<p>ok</p>", too_deep), mode=mode, compact=True).orderBy("page_id").collect()
-        assert "ok" in ok["content"] and ok["error"] is None and bad["content"] is None and "ancestors" in bad["error"]
+    """A page whose parsing failed is set aside with its reason; the others go on."""
+    bad = F.col("page_id") == 1
+    d = dom.build_dom(pages(spark, "<p>ok</p>", "<p>bad</p>")).withColumn("error", F.when(bad, "ValueError: broken")).withColumn("nodes", F.when(~bad, F.col("nodes")))
+    assert [r["page_id"] for r in dom.bad_pages(d).collect()] == [1] and {r["page_id"] for r in dom.dom_nodes(d).collect()} == {0}
     found = expect.check_expectations(d, [expect.Rule("r", "count", target="p", target_type="css", expected=1)]).orderBy("page_id").collect()
-    assert [r["ok"] for r in found] == [True, False] and "ancestors" in found[1]["detail"]
+    assert [r["ok"] for r in found] == [True, False] and "broken" in found[1]["detail"]
+    assert [r["text"] is None for r in extract.to_markdown(d).orderBy("page_id").collect()] == [False, True]
+
+
+RICH = {
+    "<p>i<ul><li>a<ul><li>b<li>c</ul><li>d</ul>after": "i\n\n- a\n  - b\n  - c\n- d\n\nafter",
+    "<ol start=3><li><p>one</p><p>two</p><li>x</ol>": "3. one\n\n   two\n4. x",
+    "<ol start=9><li>a<ol><li>b</ol><li>c<ul><li>d": "9. a\n   1. b\n10. c\n    - d",
+    "<blockquote><p>one</p><p>two</p><ul><li>q</ul></blockquote>t": "> one\n>\n> two\n>\n> - q\n\nt",
+    "<ul><li><blockquote>a<blockquote>b</blockquote></blockquote>": "- > a\n  >\n  > > b",
+    "<table><caption>C</caption><tr><th>a|b<th>c<tr><td>1<td>2 <b>x</b><tr><td><p>l</p><p>m</p></table>z":
+        "C\n\n| a\\|b | c |\n| --- | --- |\n| 1 | 2 **x** |\n| l m |  |\n\nz",
+    "<blockquote><table><tr><td>a</table>": "> | a |\n> | --- |",
+    "<ul><li>a<pre>x\n  y</pre>": "- a\n\n  ```\n  x\n    y\n  ```",
+    "<pre><code>a\n```\n</code></pre><p>e *f* <code>g*</code>": "````\na\n```\n````\n\ne \\*f\\* `g*`",
+    "<h2>A<br>b</h2>c<br>d<hr><p>&nbsp;<img alt=x src=y>": "## A b\n\nc  \nd\n\n* * *\n\n![x](y)",
+    "<b><p>x</p><p>z</p></b><ul><li></li><li>y<i></i></ul>": "**x**\n\n**z**\n\n-\n- y",
+}
+
+
+def test_markdown_of_nested_blocks(spark):
+    parts = dom.build_dom(pages(spark, *RICH)).select("page_id", extract.markdown_parts(F.col("nodes")).alias("md"))
+    got = extract.with_markdown(parts, "md").orderBy("page_id").collect()
+    for r, (html, want) in zip(got, RICH.items()):
+        assert r["md"].replace("\u00a0", "") == want, html
+
+
+def test_content_without_article(spark):
+    """The block of prose wins over link lists, chrome and the body around it."""
+    links = "<ul>" + "".join(f"<li><a href='/{i}'>a long link text {i}</a></li>" for i in range(30)) + "</ul>"
+    prose = "<p>" + "Some sentence of the story. " * 8 + "</p>"
+    cases = [
+        (f"<body>{links}<div id=a><div id=b>{prose}{prose}</div></div>{links}<footer>{prose * 9}</footer>", "b"),
+        (f"<body><div id=x>{links}</div><section id=s>{prose}<a href=/>more</a>{prose}</section><div id=y>{links}{prose}</div>", "s"),
+        (f"<body id=all>{prose}<div id=in>{prose}</div>", "all"),
+        (f"<body id=all><article id=art>{'x'}</article>{prose}", "art"), (f"<body><div>{prose}</div><main id=m>x</main>", "m"),
+        ("<body id=none>", "none"),
+    ]
+    p = pages(spark, *[html for html, _ in cases])
+    for cut in (lambda d: d, extract.strip_compact):
+        got = extract.main_article(cut(dom.build_dom(p))).orderBy("page_id").select(F.col("nodes")[0]["attrs"]["id"]).collect()
+        assert [r[0] for r in got] == [want for _, want in cases]
+
+
+SELECTORS = """<ul id=l><li class='a x'>1</li><li class=b>2</li><!-- c --><li class='a'>3<b>i</b></li>text<li lang='en-US' class='a b'>4</li></ul>
+<div><p>p1</p><span>s</span><p class=a>p2</p><p>p3</p><div><p></p></div></div><ol><li>o1<li class=a>o2</ol>"""
+
+
+@pytest.mark.parametrize("css, want", [
+    ("li:first-child", ["1", "o1"]), ("li:last-child", ["4", "o2"]), ("li:nth-child(odd)", ["1", "3i", "o1"]), ("#l li:nth-child(2n)", ["2", "4"]),
+    ("li:nth-child(-n+2)", ["1", "2", "o1", "o2"]), ("li:nth-child(n + 3)", ["3i", "4"]), ("li:nth-last-child(1)", ["4", "o2"]), ("div > p:nth-child(3)", ["p2"]),
+    ("li:not(.a)", ["2", "o1"]), ("li:not(.a, .b)", ["o1"]), ("li:not(:first-child):not(:last-child)", ["2", "3i"]), ("p:not([class])", ["p1", "p3", ""]),
+    (".x + li", ["2"]), ("li + .a", ["3i", "4", "o2"]), ("span ~ p", ["p2", "p3"]), (".b ~ .a", ["3i", "4"]), ("ul ~ div p.a ~ p", ["p3"]),
+    ("ul > li ~ li b", ["i"]), ("body>ul>li.a", ["1", "3i", "4"]), ("div div > p", [""]), ("p:empty", [""]), ("p:only-child", [""]),
+    ("[lang|=en]", ["4"]), ("li[class~=b]", ["2", "4"]), ("div > :first-of-type", ["p1", "s", "", ""]), ("ol li, .x", ["1", "o1", "o2"]),
+    ("ul li:last-of-type", ["4"]), ("html:root > body > ol > li.a", ["o2"]), ("b, i, u", ["i"]),
+])
+def test_selectors(spark, css, want):
+    d = dom.build_dom(pages(spark, SELECTORS))
+    got = [r["text"] for r in find.locate(d, css, "selector").orderBy("nth").collect()]
+    assert [x.replace(" ", "") for x in got] == want
+
+
+@pytest.mark.parametrize("css", ["", "> p", "p >", "p > > a", "p:hover", "li:nth-child(x)", ":not(", "p,,a"])
+def test_bad_selectors(css):
+    with pytest.raises(BadSelector):
+        css_flags(css)
 
 
 def test_latest_status(spark):

@@ -142,3 +142,23 @@ def test_small_texts(spark):
         pad_end(F.lit("abc"), 2).alias("a"), pad_end(F.lit("abc"), 5).alias("b"),
         log_value(F.lit("x" * 201)).alias("c"), log_value(F.lit(None).cast("string")).alias("d")).first()
     assert (row["a"], row["b"], len(row["c"]), row["c"][-1], row["d"]) == ("abc", "abc  ", 201, "…", "")
+
+
+BLANKS = ["", " ", "\n", "\t", "\r\n", " \n\t \r"]
+
+
+def test_white_space_around_json_hides_nothing(spark):
+    rows = [(f"{i}-{j}-{len(after)}", tool, before + json.dumps(args) + after, want)
+            for i, before in enumerate(BLANKS) for after in ("", "\n ") for j, (tool, args, want) in enumerate(REDACT)]
+    df = spark.createDataFrame([r[:3] for r in rows], "i string, name string, args string")
+    wanted = {i: want for i, _, _, want in rows}
+    for r in calls.redact_args(df).collect():
+        assert json.loads(r["redacted"]) == wanted[r["i"]], r
+
+
+def test_white_space_around_arguments_is_valid(spark):
+    rows = [(b + '{"url":"https://a.b"}' + b, 200) for b in BLANKS] + [(b + "null" + b, 400) for b in BLANKS] + [(b, 400) for b in BLANKS] + [
+        (b + '[{"url":"https://a.b"}]', 400) for b in BLANKS] + [('{"url"', 400)]
+    df = spark.createDataFrame([(i, "browser_open", a, False, "[]") for i, (a, _) in enumerate(rows)], "i int, name string, args string, is_error boolean, content string")
+    got = {r["i"]: r["status"] for r in calls.classify_calls(df).collect()}
+    assert [got[i] for i in range(len(rows))] == [want for _, want in rows]
