@@ -124,16 +124,6 @@ def nav_neighbors(navs: DataFrame, chunk_ms: int = HOUR_MS * 24) -> DataFrame:
     return around.withColumn("back_text", back).withColumn("forward_text", forward)
 
 
-def state_holds(state: str, matches: Column, visible: Column) -> Column:
-    """Whether an element state is reached, given the match count and visibility of the first match."""
-    found = F.coalesce(matches, F.lit(0)) > 0
-    shown = found & F.coalesce(visible, F.lit(False))
-    holds = {"visible": shown, "hidden": ~shown, "attached": found, "detached": ~found}
-    if state not in holds:
-        raise ValueError(f"unknown state: {state}")
-    return holds[state]
-
-
 def first_satisfied(
     versions: DataFrame, predicate: Column, timeout_ms: int = 10_000, keys: Sequence[str] = ("key",)
 ) -> DataFrame:

@@ -1,12 +1,10 @@
-"""User-supplied expressions over pages, and the tokenizer as a SQL table function."""
+"""User-supplied expressions over pages."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
-from ..functions.html_tree import parse_nodes
 from ..functions.text import MAX_CHARS, truncate_col
 
 
@@ -16,15 +14,3 @@ def evaluate(pages: DataFrame, expression: str, max_chars: int = MAX_CHARS) -> D
     bare = F.regexp_replace(wrapped, '^\\{("v":)?|\\}$', "")
     text = F.when(bare == "", "undefined").otherwise(bare)
     return pages.select("page_id", truncate_col(text, max_chars).alias("result"))
-
-
-def register_dom_tokens(spark: SparkSession, name: str = "dom_tokens") -> None:
-    """``SELECT ... FROM pages p, LATERAL dom_tokens(p.html) d``"""
-
-    @udtf(returnType="ord int, parent int, depth int, last int, kind string, tag string, text string")
-    class DomTokens:
-        def eval(self, html: str):
-            for ord_, parent, depth, last, kind, tag, _, text, *_ in parse_nodes(html or ""):
-                yield ord_, parent, depth, last, kind, tag, text
-
-    spark.udtf.register(name, DomTokens)

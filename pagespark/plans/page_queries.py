@@ -72,9 +72,11 @@ def capped_pages(spark, sf):
         "page_id", F.md5(F.encode("html", "UTF-8")).alias("html_md5"), "cut")
 
 
-@query("saved_pages", "SELECT page_id, octet_length(encode(html)) AS bytes FROM pages")
+@query("saved_pages", """SELECT page_id, CAST(page_id % 4096 AS VARCHAR) || '/' || CAST(page_id AS VARCHAR) || '-' || substr(sha256(html), 1, 12) || '.html' AS path,
+  octet_length(encode(html)) AS bytes FROM pages""")
 def saved_pages(spark, sf):
-    return save_html(feeds.pages(spark, sf), shared_dir(spark, "saved-pages")).select("page_id", "bytes")
+    home = shared_dir(spark, "saved-pages")
+    return save_html(feeds.pages(spark, sf), home).withColumn("path", F.substr("path", F.lit(len(home) + 2)))
 
 
 _COUNTS = f"""WITH {PARAS}

@@ -31,10 +31,12 @@ def get_session(app: str = "pagespark", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    The session setting wins; only an unset one (tests, local mode) falls back to a
-    temporary folder of this machine.
+    The session setting wins; only in local mode an unset one falls back to a
+    temporary folder of this machine, which no other machine could see.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         base = os.path.join(tempfile.gettempdir(), "pagespark-checkpoints")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

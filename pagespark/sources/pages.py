@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .page_files import page_path, write_pages, written_pages
+
 PAGES = T.StructType([
     T.StructField("page_id", T.LongType()),
     T.StructField("url", T.StringType()),
@@ -30,23 +32,16 @@ def read_pages_table(spark: SparkSession, path: str, streaming: bool = False) ->
     return spread(spark.read.schema(PAGES).parquet(path))
 
 
-def save_html(pages: DataFrame, out: str, buckets: int = 64) -> DataFrame:
-    """Write each page's HTML and return the manifest: page_id, path, bytes.
+def save_html(pages: DataFrame, out: str) -> DataFrame:
+    """Write each page's HTML to a file of its own below ``out`` and return the manifest: page_id, path, bytes.
 
-    Rows spread over ``buckets`` sub-folders by page id without a shuffle: every task
-    writes its own rows. The manifest is read back from what was written.
+    Nothing can be seen before all pages are written (``page_files``). Sizes are those of the files that were written.
     """
-    spark = pages.sparkSession
-    (
-        pages.select("page_id", "url", "html", F.pmod(F.xxhash64("page_id"), F.lit(buckets)).alias("bucket"))
-        .write.mode("overwrite").partitionBy("bucket").parquet(out)
-    )
-    saved = spark.read.parquet(out)
-    return saved.select(
-        "page_id",
-        F.concat(F.lit(out.rstrip("/") + "/bucket="), F.col("bucket").cast("string")).alias("path"),
-        F.octet_length("html").cast("long").alias("bytes"),
-    )
+    write_pages(pages, out)
+    saved = written_pages(pages.sparkSession, out)
+    empty = F.length(F.coalesce("html", F.lit(""))) == 0  # Spark does not list empty files
+    return pages.select("page_id", page_path().alias("path"), F.when(empty, 0).alias("none")).join(saved, "path", "left").select(
+        "page_id", F.concat(F.lit(out.rstrip("/") + "/"), F.col("path")).alias("path"), F.coalesce("bytes", "none").cast("long").alias("bytes"))
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:

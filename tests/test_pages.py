@@ -7,6 +7,7 @@ from pagespark.functions.css import BadSelector, css_flags
 from pagespark.functions.html_tree import parse_nodes
 from pagespark.functions.text import truncate_col
 from pagespark.operators import ax, dom, expect, extract, find
+from pagespark.sources.pages import save_html
 
 BOARD = """<!doctype html><html><body><header><h1>Shop</h1></header><nav>Start Help</nav><aside>Offer</aside>
 <main><div>Hello</div><div>Total: <b>42</b></div></main><footer>imprint</footer>
@@ -251,3 +252,24 @@ def test_assertions(spark):
     assert got["1"]["report"] == "FAIL visible actual=0\n  not found\n  (retried for 5000ms)"
     assert got["9"]["report"] == 'FAIL text_matches expected="^log" actual="Log in"\n  (retried for 5000ms)'
     assert "bad regex: " in got["19"]["report"]
+
+
+def test_every_page_gets_its_file(spark, tmp_path):
+    rows = [(1, "u", "<p>one é"), (1, "u", "<p>other"), (2, "u", None), (None, "u", ""), (7, "u", "x" * 200_000), (7, "u", "x" * 200_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    out = f"{tmp_path}/saved"
+    got = save_html(df, out).collect()
+    assert sorted((r["page_id"] or -1, r["bytes"]) for r in got) == [(-1, 0), (1, 8), (1, 9), (2, 0), (7, 200_000), (7, 200_000)]
+    html = {r["path"]: open(r["path"], encoding="utf-8").read() for r in got}
+    assert sorted(html.values(), key=len) == ["", "", "<p>one é", "<p>other", "x" * 200_000]
+    assert len({r["path"] for r in got if r["page_id"] == 1}) == 2
+    assert [p.name for p in tmp_path.iterdir()] == ["saved"]
+    with pytest.raises(Exception):
+        save_html(df, out)
+
+
+def test_an_aborted_save_shows_nothing(spark, tmp_path):
+    df = spark.range(200).selectExpr("id as page_id", "'u' as url", "if(id = 150, raise_error('no'), 'x') as html").repartition(4)
+    with pytest.raises(Exception):
+        save_html(df, f"{tmp_path}/saved")
+    assert list(tmp_path.iterdir()) == []
