@@ -19,6 +19,7 @@ from ..functions.prefix import covers
 from ..functions.text import json_string
 from .dom import attr
 from .tree_fold import PLACED, Node, bottom_up, fold_trees, hoisted
+from .tree_rank import ranked_places
 from .find import label_in, labels_of, may_be_named_by_content, name_from, role_of, text_of, title_col_text
 
 # Roles kept by the compact view.
@@ -121,17 +122,19 @@ def _place(links: list[dict]) -> list[dict]:
     """Preorder positions of one snapshot's nodes, from their ids alone."""
     by_id = {n["nodeId"]: n for n in links}
     root = next((n for n in links if not n["parentId"] or n["parentId"] not in by_id), None)
+    kids: dict[str, list] = {}
+    taken = {root["nodeId"]} if root else set()
+    for n in links:  # a node in several child lists belongs to the first
+        for c in n["childIds"] or []:
+            if c in by_id and c not in taken:
+                taken.add(c)
+                kids.setdefault(n["nodeId"], []).append(by_id[c])
     out, todo = [], [(root, None, 0)] if root else []
-    seen = set()
     while todo:
         node, parent, depth = todo.pop()
-        if node["nodeId"] in seen:
-            continue
-        seen.add(node["nodeId"])
         me = len(out)
         out.append({"nodeId": node["nodeId"], "ord": me, "parent_ord": parent, "depth": depth, "last": me})
-        kids = [by_id[c] for c in node["childIds"] or [] if c in by_id]
-        todo.extend((k, me, depth + 1) for k in reversed(kids))
+        todo.extend((k, me, depth + 1) for k in reversed(kids.get(node["nodeId"], [])))
     for row in reversed(out):
         if row["parent_ord"] is not None:
             up = out[row["parent_ord"]]
@@ -146,17 +149,36 @@ def _place_batches(batches):
             [batch.column("snapshot_id"), pa.array(placed, _ARROW_PLACE)], names=["snapshot_id", "places"])
 
 
+WALK_NODES = 100_000
+
+
+def _ranked(links: DataFrame) -> DataFrame:
+    """The places that ``_place`` gives, without holding a snapshot in a task."""
+    ids = links.select("snapshot_id", F.col("nodeId").alias("id"))
+    orphan = links.join(ids, (links["snapshot_id"] == ids["snapshot_id"]) & (F.col("parentId") == F.col("id")) & (F.col("parentId") != ""), "left_anti")
+    roots = orphan.groupBy("snapshot_id").agg(F.min_by("nodeId", "pos").alias("root"))
+    lists = links.filter(F.size("childIds") > 0).select("snapshot_id", F.col("nodeId").alias("parent"), "pos", F.posexplode("childIds").alias("i", "nodeId"))
+    claims = lists.join(links.select("snapshot_id", "nodeId"), ["snapshot_id", "nodeId"]).groupBy("snapshot_id", "nodeId").agg(
+        F.min(F.struct("pos", "i", "parent")).alias("c")).join(roots, "snapshot_id").filter("nodeId <> root")
+    return ranked_places(links, claims.select("snapshot_id", "nodeId", F.col("c.parent").alias("parent"), F.col("c.i").alias("place")), roots)
+
+
 def wire_tree(raw: DataFrame) -> DataFrame:
     """Place raw nodes (see ``RAW``) in trees: root, then children in ``childIds`` order.
 
-    The root is the first node whose parent is absent; ids that name no node are skipped;
-    nodes the root does not reach are left out. Only the ids of one snapshot (one page, so
-    bounded) meet in a group; names and properties stay outside and are joined afterwards.
+    The root is the first node whose parent is absent; ids that name no node are skipped; a node in several child lists belongs to the first;
+    nodes the root does not reach are left out. The ids of a snapshot of up to ``WALK_NODES`` nodes are walked in one group, those of larger ones
+    are ranked by pointer doubling; names and properties stay outside and are joined afterwards.
     """
-    link = F.struct("pos", "nodeId", "parentId", "childIds")
-    links = raw.groupBy("snapshot_id").agg(F.array_sort(F.collect_list(link)).alias("links"))
-    placed = links.mapInArrow(_place_batches, f"snapshot_id string, places {PLACE}")
+    links = raw.select("snapshot_id", "pos", "nodeId", "parentId", "childIds")
+    big = links.groupBy("snapshot_id").count().filter(F.col("count") > WALK_NODES).select("snapshot_id")
+    huge = not big.isEmpty()
+    walked = links.join(big, "snapshot_id", "left_anti") if huge else links
+    grouped = walked.groupBy("snapshot_id").agg(F.array_sort(F.collect_list(F.struct("pos", "nodeId", "parentId", "childIds"))).alias("links"))
+    placed = grouped.mapInArrow(_place_batches, f"snapshot_id string, places {PLACE}")
     rows = placed.select("snapshot_id", F.explode("places").alias("t")).select("snapshot_id", "t.*")
+    if huge:
+        rows = rows.unionByName(_ranked(links.join(big, "snapshot_id", "left_semi")))
     return rows.join(raw.drop("pos", "parentId", "childIds"), ["snapshot_id", "nodeId"])
 
 

@@ -161,3 +161,46 @@ def test_depth_limit_and_report(spark):
     assert text.endswith("  …(140 more)")
     same = diff.diff_report(diff.diff_snapshots(diff.path_signature(tree), diff.path_signature(tree)), tree, "before")
     assert same.first()["text"] == 'No changes since "before"'
+
+
+def test_ranking_equals_walking(spark, monkeypatch):
+    """Pointer doubling gives the places of the walk: chains, stars, dangling and repeated ids, several roots, cycles off the tree."""
+    rng = random.Random(12)
+    rows = []
+    for s in range(30):
+        n = rng.choice([1, 2, 3, 9, 40])
+        parent = [None] + [max(0, i - 1) if s % 5 == 0 else 0 if s % 5 == 1 else rng.randrange(i) for i in range(1, n)]
+        kids = {i: [j for j in range(1, n) if parent[j] == i] for i in range(n)}
+        for k in kids.values():
+            rng.shuffle(k)
+        order = list(range(n))
+        if s % 3:
+            rng.shuffle(order)
+        for pos, i in enumerate(order):
+            listed = [f"n{j}" for j in kids[i]]
+            if s % 4 == 0:
+                listed = ["gone", *listed, *listed[:1], "n0"]
+            rows.append((f"s{s}", pos, f"n{i}", None if parent[i] is None else f"n{parent[i]}", listed or None))
+        if s % 7 == 0:  # another tree and a cycle that the root does not reach
+            rows += [(f"s{s}", 1000, "x", "nobody", ["y"]), (f"s{s}", 1001, "y", "x", None), (f"s{s}", 1002, "a", "b", ["b"]), (f"s{s}", 1003, "b", "a", ["a"])]
+    rows += [("loop", 0, "a", "b", ["b"]), ("loop", 1, "b", "a", ["a"])]
+    df = spark.createDataFrame(rows, "snapshot_id string, pos int, nodeId string, parentId string, childIds array<string>").withColumn("role", F.lit("r"))
+    walked = sorted(map(tuple, ax.wire_tree(df).collect()), key=repr)
+    monkeypatch.setattr(ax, "WALK_NODES", 5)
+    ranked = sorted(map(tuple, ax.wire_tree(df).select(*ax.wire_tree(df).columns).collect()), key=repr)
+    assert len(walked) > 200 and ranked == walked
+
+
+def test_tree_folds_of_a_deep_tree(spark):
+    node = {"role": "StaticText", "name": "deep", "ignored": False, "kids": []}
+    for i in range(3000):
+        node = {"role": "StaticText" if i % 2 else "generic", "name": None, "ignored": i % 3 == 0, "kids": [node]}
+    rows, todo = [], [(node, None, 0)]
+    while todo:
+        n, up, depth = todo.pop()
+        rows.append([1, len(rows), up, depth, 3000, n["role"], n["name"], n["ignored"]])
+        todo += [(k, len(rows) - 1, depth + 1) for k in n["kids"]]
+    df = spark.createDataFrame([tuple(r) for r in rows], "snapshot_id int, ord int, parent_ord int, depth int, last int, role string, name string, ignored boolean").withColumn("p", ax._p())
+    out = ax.collapse_text(ax.prune_tree(df)).collect()
+    assert out and max(r["depth"] for r in out) == len(out) - 1
+    assert diff.path_signature(ax.collapse_text(ax.prune_tree(df))).count() == len(out)
