@@ -133,6 +133,35 @@ def running(
     return joined.select(*df.columns, *out)
 
 
+def merged_runs(df: DataFrame, keys: Sequence[str], start: str, end: str, gap_ms: int, chunk_ms: int = HOUR_MS * 24) -> DataFrame:
+    """Maximal runs of intervals (start, end) per key: keys, run_start, run_end, run_rows.
+
+    An interval goes on with a run while it starts no more than ``gap_ms`` after the run's end so far. Each (key, chunk of starts) is first
+    summarised on its own: runs inside a chunk that neither the reach of earlier chunks touches nor a later chunk may go on with are finished there, the
+    rest, two rows a chunk, is merged along the key. So a busy key's rows are sorted chunk by chunk, and one exchange carries them.
+    """
+    key = F.struct(*[F.col(k) for k in keys])  # a struct is never null, and equals one with the same nulls
+    rows = df.select(key.alias("_k"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.floor(F.col(start) / F.lit(chunk_ms)).alias("_c"), F.lit(1).cast("long").alias("_n"))
+
+    def numbered(part: DataFrame, *by: str) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy("_s", "_e")
+        reach = F.max("_e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        fresh = F.col("_reach").isNull() | (F.col("_s") - F.col("_reach") > gap_ms)
+        return part.withColumn("_reach", reach).withColumn("_run", F.sum(fresh.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def summary(part: DataFrame, *by: str) -> DataFrame:
+        return part.groupBy(*by).agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.sum("_n").alias("_n"))
+
+    inside = summary(numbered(rows, "_k", "_c"), "_k", "_c", "_run").withColumn("_last", F.max("_run").over(Window.partitionBy("_k", "_c")) == F.col("_run"))
+    earlier = Window.partitionBy("_k").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    come = rows.groupBy("_k", "_c").agg(F.max("_e").alias("_far")).select("_k", "_c", F.max("_far").over(earlier).alias("_come"))
+    met = inside.join(come, ["_k", "_c"]).withColumn("_touched", F.coalesce(F.col("_s") - F.col("_come") <= gap_ms, F.lit(False)))
+    # Finished runs stay in their chunk's part; the others share the null part of the key. What the reach touches is one run.
+    met = met.withColumn("_part", F.when(~F.col("_touched") & ~F.col("_last"), F.col("_c"))).withColumn("_one", F.when(~F.col("_touched"), F.col("_run")))
+    whole = summary(numbered(summary(met, "_k", "_c", "_part", "_one"), "_k", "_part"), "_k", "_part", "_run")
+    return whole.select("_k.*", F.col("_s").alias("run_start"), F.col("_e").alias("run_end"), F.col("_n").alias("run_rows"))
+
+
 def chunk_for(df: DataFrame, keys: Sequence[str], time_col: str, rows_per_task: int = 5_000_000) -> int:
     """A chunk length for ``running``, from the row count and time span of the busiest key.
 

@@ -151,10 +151,13 @@ def check_expectations(dom: DataFrame, rules: Sequence[Rule]) -> DataFrame:
             F.lit(r.rule_id).alias("rule_id"), F.lit(r.assertion).alias("assertion"),
             F.lit(None if r.expected is None else json.dumps(r.expected, ensure_ascii=False)).cast("string").alias("expected"),
             F.lit(r.timeout_ms).alias("timeout_ms"),
-            F.when(F.col("error").isNotNull(), _result(F.lit(False), detail=F.col("error"))).otherwise(_outcome(spark, nodes, r)).alias("r"))
+            _outcome(spark, nodes, r).alias("r"))
         for r in rules])
-    rows = dom.select("page_id", F.explode(checks).alias("c")).select(
-        "page_id", "c.rule_id", "c.assertion", "c.expected", "c.timeout_ms", "c.r.*")
+    # The error is looked at behind the array, so rules that look for the same elements share the search.
+    failed = F.when(F.col("error").isNotNull(), _result(F.lit(False), detail=F.col("error"))).otherwise(F.col("c.r"))
+    rows = dom.select("page_id", "error", F.explode(checks).alias("c")).select(
+        "page_id", "c.rule_id", "c.assertion", "c.expected", "c.timeout_ms", failed.alias("r")).select(
+        "page_id", "rule_id", "assertion", "expected", "timeout_ms", "r.*")
     return rows.withColumn("report", report_line()).drop("timeout_ms")
 
 

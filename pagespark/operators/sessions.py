@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.skew import HOUR_MS, Run, running
+from ..functions.skew import HOUR_MS, Run, merged_runs, running
 
 SESSION_TTL_MS = 1_800_000
 SESSION_CAP = 50
@@ -21,23 +21,11 @@ def sessionize(
 ) -> DataFrame:
     """Idle-TTL sessions: a gap longer than the TTL (strictly) starts a new one.
 
-    Two running values and one partially aggregated group-by; a busy user's rows are
-    spread over time chunks instead of being sorted in one task.
+    Chunks of a user's time are summarised on their own and merged at their borders, so a busy user's rows are never sorted in one task.
     """
-    keys = list(keys)
-    slim = activity.select(*keys, "ts_ms", "seq")
-    gaps = running(
-        slim, keys, ["ts_ms", "seq"], [Run("prev_ms", "max", F.col("ts_ms"), inclusive=False)],
-        "ts_ms", chunk_ms,
-    )
-    is_new = F.col("prev_ms").isNull() | (F.col("ts_ms") - F.col("prev_ms") > ttl_ms)
-    marked = gaps.select(*keys, "ts_ms", "seq", F.when(is_new, F.col("ts_ms")).alias("opened"))
-    tagged = running(
-        marked, keys, ["ts_ms", "seq"], [Run("start_ms", "max", F.col("opened"))], "ts_ms", chunk_ms
-    )
-    return tagged.groupBy(*keys, "start_ms").agg(
-        F.max("ts_ms").alias("last_ms"), F.count("*").alias("n_events")
-    ).withColumn("expires_ms", F.col("last_ms") + ttl_ms)
+    runs = merged_runs(activity, keys, "ts_ms", "ts_ms", ttl_ms, chunk_ms)
+    return runs.select(*keys, F.col("run_start").alias("start_ms"), F.col("run_end").alias("last_ms"), F.col("run_rows").alias("n_events"),
+                       (F.col("run_end") + ttl_ms).alias("expires_ms"))
 
 
 def busy_intervals(
@@ -47,19 +35,8 @@ def busy_intervals(
 
     ``sessions``: key, start_ms, end_ms. Touching sessions belong together.
     """
-    reach = running(
-        sessions.select(key, "start_ms", "end_ms"), [key], ["start_ms", "end_ms"],
-        [Run("reached", "max", F.col("end_ms"), inclusive=False)], "start_ms", chunk_ms,
-    )
-    fresh = F.col("reached").isNull() | (F.col("start_ms") > F.col("reached"))
-    marked = reach.select(key, "start_ms", "end_ms", F.when(fresh, F.col("start_ms")).alias("opened"))
-    tagged = running(
-        marked, [key], ["start_ms", "end_ms"], [Run("busy_from", "max", F.col("opened"))],
-        "start_ms", chunk_ms,
-    )
-    return tagged.groupBy(key, "busy_from").agg(
-        F.max("end_ms").alias("busy_to"), F.count("*").alias("n_sessions")
-    )
+    runs = merged_runs(sessions, [key], "start_ms", "end_ms", 0, chunk_ms)
+    return runs.select(key, F.col("run_start").alias("busy_from"), F.col("run_end").alias("busy_to"), F.col("run_rows").alias("n_sessions"))
 
 
 def concurrency(

@@ -29,9 +29,10 @@ def storage_state(spark, sf):
     return state.kv_state(feeds.kv_log(spark, sf))
 
 
-@query("storage_state_early", f"WITH {KV}, {_LIVE.format(upto=500)} SELECT * FROM live")
+@query("storage_state_early", f"WITH {KV}, {_LIVE.format(upto="(SELECT max(seq) // 2 FROM kv)")} SELECT * FROM live")
 def storage_state_early(spark, sf):
-    return state.kv_state(feeds.kv_log(spark, sf), as_of=500)
+    log = feeds.kv_log(spark, sf)
+    return state.kv_state(log, as_of=(log.agg(F.max("seq")).first()[0] or 0) // 2)
 
 
 @query("storage_all_entries", f"""WITH {KV}, {_LIVE.format(upto=10**15)}

@@ -184,7 +184,7 @@ def snapshot_store(spark, sf):
 
 
 @query("snapshot_lookup", f"""WITH {SNAPS},
-last AS (SELECT session, name, arg_max(version, seq) AS version FROM s WHERE seq <= 300 GROUP BY 1, 2),
+last AS (SELECT session, name, arg_max(version, seq) AS version FROM s WHERE seq <= (SELECT max(seq) // 32 FROM s) GROUP BY 1, 2),
 w AS (SELECT DISTINCT profile || '/s' || (k % 2) AS session, 'n' || (k % 4) AS name FROM base WHERE event_type = 'view')
 SELECT w.session, w.name, version, CASE WHEN version IS NULL THEN
   'No stored snapshot named "' || w.name || '". Use store_as= on an earlier call first.' END AS error
@@ -194,28 +194,25 @@ def snapshot_lookup(spark, sf):
     wanted = feeds.base(spark, sf).filter(F.col("event_type") == "view").select(
         F.concat_ws("/", "profile", F.concat(F.lit("s"), (k % 2).cast("string"))).alias("session"),
         F.concat(F.lit("n"), (k % 4).cast("string")).alias("name")).distinct()
-    return diff.snapshot_lookup(diff.snapshot_store(_snap_log(spark, sf), as_of=300), wanted)
-
-
-@query("rolling_diff", f"""WITH {LINKS},
-v AS (SELECT DISTINCT 's' || (page_id % 10) AS session, page_id AS seq, text FROM links),
-p AS (SELECT session, seq, lag(seq) OVER (PARTITION BY session ORDER BY seq) AS prev FROM (SELECT DISTINCT session, seq FROM v)),
-f AS (SELECT p.session, p.seq, 'added' AS kind, v.text FROM p JOIN v ON v.session = p.session AND v.seq = p.seq
-        WHERE p.prev IS NOT NULL AND NOT EXISTS (SELECT 1 FROM v o WHERE o.session = p.session AND o.seq = p.prev AND o.text = v.text)
-      UNION ALL
-      SELECT p.session, p.seq, 'removed', v.text FROM p JOIN v ON v.session = p.session AND v.seq = p.prev
-        WHERE NOT EXISTS (SELECT 1 FROM v n WHERE n.session = p.session AND n.seq = p.seq AND n.text = v.text))
-SELECT session, 'nav' AS name, seq, kind, 'link "' || text || '"' AS signature FROM f""")
+    log = _snap_log(spark, sf)
+    early = (log.agg(F.max("seq")).first()[0] or 0) // 32  # a moment in the log's first part, when some names are still missing
+    return diff.snapshot_lookup(diff.snapshot_store(log, as_of=early), wanted)
+
+
+@query("rolling_diff", f"""WITH {LINKS}, {_SIGS},
+v AS (SELECT DISTINCT 's' || (page_id % 10) AS session, page_id AS seq, signature FROM sigs),
+p AS (SELECT session, seq, lag(seq) OVER (PARTITION BY session ORDER BY seq) AS prev FROM (SELECT DISTINCT session, seq FROM v))
+SELECT p.session, 'page' AS name, p.seq, 'added' AS kind, v.signature FROM p JOIN v ON v.session = p.session AND v.seq = p.seq
+  WHERE p.prev IS NOT NULL AND NOT EXISTS (SELECT 1 FROM v o WHERE o.session = p.session AND o.seq = p.prev AND o.signature = v.signature)
+UNION ALL SELECT p.session, 'page', p.seq, 'removed', v.signature FROM p JOIN v ON v.session = p.session AND v.seq = p.prev
+  WHERE NOT EXISTS (SELECT 1 FROM v n WHERE n.session = p.session AND n.seq = p.seq AND n.signature = v.signature)""")
 def rolling_diff(spark, sf):
-    nav = F.regexp_extract("html", "(?s)<nav>(.*?)</nav>", 1)
-    names = F.array_distinct(F.regexp_extract_all(nav, F.lit('<li><a href="[^"]*">(.*?)</a></li>'), 1))
-    rows = feeds.pages(spark, sf).select(
-        F.concat(F.lit("s"), (F.col("page_id") % 10).cast("string")).alias("session"),
-        F.lit("nav").alias("series"), F.col("page_id").alias("seq"), F.posexplode(names).alias("pos", "name"))
-    sigs = rows.select("session", "series", "seq", F.concat(F.lit("/link|"), F.col("name")).alias("signature"),
-                       F.lit("link").alias("role"), "name", F.lit("").alias("state"), "pos")
+    """Each tenth page is a version of one series: whole semantic trees against those before."""
+    sigs = diff.path_signature(ax.compact_tree(_dom(spark, sf))).select(
+        F.concat(F.lit("s"), (F.col("snapshot_id") % 10).cast("string")).alias("session"), F.lit("page").alias("series"),
+        F.col("snapshot_id").alias("seq"), "signature", "role", "name", "state", "pos")
     got = diff.rolling_diff(sigs, ("session", "series"))
-    return got.select("session", F.col("series").alias("name"), "seq", "kind", "signature")
+    return got.select("session", F.col("series").alias("name"), "seq", "kind", F.col("path").alias("signature"))
 
 
 _BODY = "regexp_extract(html, '(?s)<body>(.*)', 1)"

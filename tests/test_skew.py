@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagespark.functions.patterns import BadPattern
-from pagespark.functions.skew import Run, chunk_for, running, topk_per_key
+from pagespark.functions.skew import Run, chunk_for, merged_runs, running, topk_per_key
 from pagespark.operators import dom, logs
 from pagespark.streaming import logs as streams
 from pagespark.streaming.runs import run_to_table
@@ -42,6 +42,29 @@ def test_running(skewed, chunk):
     assert got.exceptAll(want).count() == 0
 
 
+@pytest.mark.parametrize("chunk, gap", [(1, 0), (50, 0), (50, 7), (300, 40), (10_000, 3), (7, 100)])
+def test_merged_runs(spark, chunk, gap):
+    """Long intervals reach over many chunks; a hot key, negative times, ties and repeated rows."""
+    rng = random.Random(chunk * 1000 + gap)
+    rows = []
+    for key, n, span in (("hot", 900, 20_000), ("a", 60, 3000), ("b", 2, 500), (None, 30, 900)):
+        for _ in range(n):
+            start = rng.randrange(-span // 2, span // 2)
+            rows.append((key, start, start + rng.choice([0, 0, 3, 20, 90, 700 if rng.random() < 0.1 else 5])))
+    rows += rows[:25]
+    want = []
+    for key in {r[0] for r in rows}:
+        at = None
+        for s, e in sorted(r[1:] for r in rows if r[0] == key):
+            if at is None or s - at[1] > gap:
+                at = [s, e, 0]
+                want.append((key, at))
+            at[1], at[2] = max(at[1], e), at[2] + 1
+    df = spark.createDataFrame(rows, "key string, s long, e long")
+    got = [tuple(r) for r in merged_runs(df, ["key"], "s", "e", gap, chunk).collect()]
+    assert sorted(got, key=repr) == sorted([(k, *a) for k, a in want], key=repr)
+
+
 def test_chunk_length(skewed):
     assert 1 <= chunk_for(skewed, ["key"], "ts_ms", 100) < 50_000
 
@@ -86,7 +109,7 @@ def test_stream_in_many_batches(spark, tmp_path):
     log = spark.createDataFrame([("p" if i % 3 else "q", i, i) for i in range(120)], "profile string, ts_ms long, seq long")
     for i in range(4):
         log.filter(f"seq % 4 = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     kept = streams.stream_ring(stream, 10).select("profile", "seq", "total")
     ring = logs.ring(log, 10).select("profile", "seq", "total")
     assert kept.exceptAll(ring).count() == 0 and kept.count() == 20
