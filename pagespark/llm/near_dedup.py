@@ -6,8 +6,9 @@ by a hash of the path, until nodes are small. Small nodes are compared exhaustiv
 are similar on average (groups of near copies) do not branch; they are dealt into random blocks, other ones in each tree, that share
 a few leaders.
 
-First a node's best spanning links are confirmed on the full sets, which joins dense groups without looking at all of their
-pairs. Then whatever looks similar and is not yet in one component is confirmed too, and in nodes that stayed large every class
+First a node's best spanning links are confirmed on the full sets. Members of one dense root are taken as joined by it when later trees are looked at, so dense
+groups are joined by a few links a class however many trees hold them. Then whatever looks
+similar and is not yet in one component is confirmed too, and in nodes that stayed large every class
 outside the largest component meets all others, block by block. So a link is left out only where its two ends are already
 connected; no partner or candidate is capped.
 """
@@ -30,6 +31,7 @@ TOKENS = 512
 TOKEN_BITS = 2  # of a token, in a sketch
 LETTERS = 64  # tokens that nodes branch by, four bits each; the first PROBES only tell dense nodes
 PROBES = 8
+BIN_ROWS = 48
 FILTER_WORDS = 1 << 18  # 64-bit words of the filter in front of texts: 2 MB however many keys
 NODE_ROWS = 96
 DEPTH = 10
@@ -80,8 +82,8 @@ def _signatures(words: int):
     def run(batches):
         for batch in batches:
             n, cids, sketches, letters, keys = [], [], [], [], []
-            for text in batch.column("text").to_pylist():
-                found = shingles(text, words)
+            for value in batch.column("text"):
+                found = shingles(value.as_py(), words)
                 n.append(len(found))
                 if not len(found):
                     cids.append(None)
@@ -103,18 +105,22 @@ def _signatures(words: int):
     return run
 
 
-def dense(large: DataFrame, classes: DataFrame) -> DataFrame:
-    """``node`` of the nodes whose members agree with each other in half of their tokens, on average; from a few tokens' counts."""
-    letter = F.array(*[F.struct(F.lit(k).alias("k"), F.substring("letters", k + 1, 1).alias("v")) for k in range(PROBES)])
-    counts = large.join(classes.select("cid", F.substring("letters", 1, PROBES).alias("letters")), "cid").select("node", "count", F.inline(letter)).groupBy("node", "count", "k", "v").agg(
-        F.count("*").alias("c"))
-    agree = F.sum(F.col("c") * F.col("c")) / F.first("count") / F.first("count") / PROBES
-    return counts.groupBy("node").agg(agree.alias("agree")).filter((F.col("agree") * 16 - 1) / 15 >= 0.5).select("node")
+def dense(large: DataFrame) -> DataFrame:
+    """``node`` of the nodes whose members agree with each other in half of their tokens, on average.
+
+    Members are dealt at random into bins of a few dozen; neighbours in a bin are compared in PROBES letters, one comparison a member.
+    """
+    bins = F.expr(f"cast(ceil(count / {BIN_ROWS}) as long)")
+    binned = large.groupBy("node", F.pmod(F.xxhash64("cid", F.lit(5)), bins).alias("bin")).agg(F.collect_list(F.substring("letters", 1, PROBES)).alias("l"))
+    same = lambda a, b: F.size(F.filter(F.sequence(F.lit(1), F.lit(PROBES)), lambda k: F.substr(a, k, F.lit(1)) == F.substr(b, k, F.lit(1))))
+    agreed = F.aggregate(F.transform("l", lambda a, i: F.when(i > 0, same(a, F.get("l", i - 1))).otherwise(0)), F.lit(0), lambda acc, x: acc + x)
+    share = F.sum(agreed) / F.sum(F.size("l") - 1) / PROBES
+    return binned.groupBy("node").agg(share.alias("agree")).filter((F.col("agree") * 16 - 1) / 15 >= 0.5).select("node")
 
 
 def nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, cid) of the small leaves, and (node, cid, size, tree) of the large nodes that are compared as they are; below the
-    roots ``tree`` is ROOT_TREES.
+    """(node, cid, tree) of the small leaves, and (node, cid, size, tree) of the large nodes that are compared as they are; below the
+    roots their ``tree`` is ROOT_TREES.
 
     Those are dense nodes, which would branch in vain, and what is still large at DEPTH. Two similar classes share a
     root with a probability of their similarity, so the dense roots of all trees count.
@@ -124,22 +130,24 @@ def nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     while True:
         sizes = level.groupBy("node").count().filter("count > 1")
         met = settle(level.join(sizes, "node"), f"near-level-{depth}")
-        small.append(met.filter(F.col("count") <= NODE_ROWS).select("node", "cid"))
+        small.append(met.filter(F.col("count") <= NODE_ROWS).select("node", "cid", "tree"))
         large = met.filter(F.col("count") > NODE_ROWS)
         if large.isEmpty():
             break
+        if not depth:  # from here on letters travel with the members of large nodes
+            large = settle(large.join(classes.select("cid", "letters"), "cid"), "near-large")
         if depth == DEPTH:
             big.append(large.select("node", "cid", F.col("count").alias("size"), F.lit(ROOT_TREES).alias("tree")))
             break
-        packed = settle(dense(large, classes), "near-dense")
+        packed = settle(dense(large), "near-dense")
         as_is = large.join(packed, "node", "left_semi")
         at_root = as_is.filter(F.col("tree") < ROOT_TREES)
         big.append((as_is.withColumn("tree", F.lit(ROOT_TREES)) if depth else at_root).select("node", "cid", F.col("count").alias("size"), "tree"))
         depth += 1
         at = (F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(LETTERS - PROBES)) + PROBES).cast("int")  # the token selected at this node
-        level = large.join(packed, "node", "left_anti").join(classes.select("cid", "letters"), "cid").select(
-            "cid", "tree", F.xxhash64("node", F.substr("letters", at + 1, F.lit(1))).alias("node"))
-    empty = classes.select(F.col("cid").alias("node"), "cid").limit(0)
+        level = large.join(packed, "node", "left_anti").select(
+            "cid", "tree", F.xxhash64("node", F.substr("letters", at + 1, F.lit(1))).alias("node"), "letters")
+    empty = classes.select(F.col("cid").alias("node"), "cid", F.lit(0).alias("tree")).limit(0)
     for s in small:
         empty = empty.unionByName(s)
     none = classes.select(F.col("cid").alias("node"), "cid", F.col("n").alias("size"), F.lit(0).alias("tree")).limit(0)
@@ -195,6 +203,9 @@ def _candidates(threshold: float, forest: bool):
         sketch = np.concatenate([packed >> 6, packed >> 4 & 3, packed >> 2 & 3, packed & 3], axis=1)
         i, j, share = _pairs(units, take("side"), take("cid"), take("n"), sketch, take("place"), take("tree"), [take(x) for x in SEATS], least, threshold)
         if forest and len(i):
+            _, part = np.unique(take("place"), return_inverse=True)
+            apart = np.where(take("place") < 0, np.arange(len(units)), len(units) + units * (part.max() + 1) + part)
+            _, known = np.unique(apart, return_inverse=True)  # a unit's rows of one component are one from the start
             top = list(range(len(units)))
 
             def root(x):
@@ -205,7 +216,7 @@ def _candidates(threshold: float, forest: bool):
 
             kept = []
             for e in np.argsort(-share, kind="stable").tolist():  # rows of different units never meet, so one forest does for all
-                a, b = root(int(i[e])), root(int(j[e]))
+                a, b = root(int(known[i[e]])), root(int(known[j[e]]))
                 if a != b:
                     top[a] = b
                     kept.append(e)
@@ -236,8 +247,11 @@ def _candidates(threshold: float, forest: bool):
 
 def candidates(units: DataFrame, classes: DataFrame, threshold: float, forest: bool) -> DataFrame:
     """(a, b) of unit members whose sketches agree enough; units are (unit, cid, side, place, tree, *SEATS)."""
-    rows = units.join(classes.select("cid", "n", "sketch"), "cid").repartition("unit").sortWithinPartitions("unit").select(
-        "unit", "cid", "side", "place", "tree", *SEATS, "n", "sketch")
+    return _solved(units.join(classes.select("cid", "n", "sketch"), "cid"), threshold, forest)
+
+
+def _solved(rows: DataFrame, threshold: float, forest: bool) -> DataFrame:
+    rows = rows.repartition("unit").sortWithinPartitions("unit").select("unit", "cid", "side", "place", "tree", *SEATS, "n", "sketch")
     return rows.mapInArrow(_candidates(threshold, forest), "a long, b long").distinct()
 
 
@@ -265,12 +279,12 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) ->
 
         for batch in batches:
             good = []
-            for a, part, cid, text in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "cid", "text"))):
+            for a, part, cid, text in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "cid")), batch.column("text")):
                 if (a, part) != now:
                     if now is not None:
                         good += solve()
                     now, sets = (a, part), {}
-                sets[cid] = shingles(text, words)
+                sets[cid] = shingles(text.as_py(), words)
             if good:
                 yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in good], pa.int64()), pa.array([g[1] for g in good], pa.int64())], names=["a", "b"])
         if now is not None:
@@ -307,6 +321,14 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def contract(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """``placed`` (cid, place: component so far) after further links between classes; only components that are still apart meet."""
+    at = lambda end: placed.select(F.col("cid").alias(end), F.col("place").alias(f"p{end}"))
+    across = links.join(at("a"), "a").join(at("b"), "b").filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
+    moved = components(across).select(F.col("cid").alias("place"), F.col("label").alias("to"))
+    return settle(placed.join(moved, "place", "left").select("cid", F.coalesce("to", "place").alias("place")), "near-places")
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row per document: id, ``n_shingles``, ``component_id``, ``kept``, ``class_id``.
 
@@ -330,22 +352,26 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
 
     small, large = nodes(classes)
     blocks = F.expr(f"cast(ceil(size / {NODE_ROWS}) as long)")
-    dealt = large.select("node", "cid", F.pmod(F.xxhash64("node", "cid"), blocks).alias("block"), blocks.alias("blocks"))
-    lead = large.groupBy("node", "size").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("cid", "node"), F.greatest(F.lit(1), (F.col("size") / (4 * LEADERS)).cast("long"))) == 0, F.col("cid")))), 1, LEADERS).alias("leaders"))
-    led = lead.select("node", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "leaders").select("node", "block", F.explode("leaders").alias("cid"))
-    unknown = [F.lit(0).alias("side"), F.lit(-1).cast("long").alias("place"), F.lit(0).alias("tree"), *[F.lit(0).cast("long").alias(x) for x in SEATS]]
-    in_blocks = dealt.select("node", "block", "cid").unionByName(led).distinct().select(F.xxhash64("node", "block").alias("unit"), "cid", *unknown)
-    small_units = small.select(F.col("node").alias("unit"), "cid", *unknown)
-    units = small_units.unionByName(in_blocks)
-    tried = settle(candidates(units, classes, threshold, forest=True), "near-forest")
+    dealt = large.select("node", "cid", "tree", F.pmod(F.xxhash64("node", "cid"), blocks).alias("block"), blocks.alias("blocks"))
+    lead = large.groupBy("node", "size", "tree").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("cid", "node"), F.greatest(F.lit(1), (F.col("size") / (4 * LEADERS)).cast("long"))) == 0, F.col("cid")))), 1, LEADERS).alias("leaders"))
+    led = lead.select("node", "tree", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "leaders").select("node", "tree", "block", F.explode("leaders").alias("cid"))
+    in_blocks = dealt.select("node", "tree", "block", "cid").unionByName(led).distinct().select(F.xxhash64("node", "block").alias("unit"), "cid", "tree")
+    units = small.select(F.col("node").alias("unit"), "cid", "tree").unionByName(in_blocks)
+    positive = lambda c: F.col(c).bitwiseAND(F.lit((1 << 62) - 1))
+    seats = large.filter(F.col("tree") < ROOT_TREES).groupBy("cid").agg(*[F.max(F.when(F.col("tree") == k, F.col("node"))).alias(x) for k, x in enumerate(SEATS)])
+    # The first dense root of an earlier tree stands for the component that it is taken to make; where it does not, what is still apart is tried below.
+    held = F.coalesce(*[F.when(F.col("tree") > k, positive(x)) for k, x in enumerate(SEATS)], F.lit(-1).cast("long"))
+    zero = F.lit(0).cast("long")
+    rows = units.join(classes.select("cid", "n", "sketch").join(seats, "cid", "left"), "cid").select(
+        "unit", "cid", F.lit(0).alias("side"), held.alias("place"), F.lit(0).alias("tree"), *[zero.alias(x) for x in SEATS], "n", "sketch")
+    tried = settle(_solved(rows, threshold, forest=True), "near-forest")
     texts = texts_of(ends(tried), "near-texts")
-    sure = settle(confirm(tried, texts, words, threshold), "near-sure")
 
-    # What is still apart: a component's number is its label, a class alone is its own.
-    label = components(sure)
+    # A class' place is its component's label, or itself.
+    label = components(settle(confirm(tried, texts, words, threshold), "near-sure"))
     placed = settle(classes.select("cid").join(label, "cid", "left").select("cid", F.coalesce("label", "cid").alias("place")), "near-places")
-    positive = F.col("place").bitwiseAND(F.lit((1 << 62) - 1)).alias("place")
-    again = small_units.select("unit", "cid", "side").join(placed, "cid").select("unit", "cid", "side", positive, F.lit(ROOT_TREES).alias("tree"))
+    positive = positive("place").alias("place")
+    again = small.select(F.col("node").alias("unit"), "cid", F.lit(0).alias("side")).join(placed, "cid").select("unit", "cid", "side", positive, F.lit(ROOT_TREES).alias("tree"))
     mixed = again.groupBy("unit").agg((F.min("place") < F.max("place")).alias("apart")).filter("apart").select("unit")
     again = again.join(mixed, "unit", "left_semi")
     at_large = large.join(placed, "cid").select("node", "cid", "size", "tree", positive)
@@ -357,7 +383,6 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     ins = out_in.join(outside, "node").withColumn("block", F.pmod(F.xxhash64("node", "cid"), blocks)).withColumn(
         "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("node", "chunk", "block", "cid", "place", "tree", F.when(F.col("out"), 3).otherwise(2).alias("side"))
     crossing = outs.unionByName(ins).select(F.xxhash64("node", "chunk", "block", F.lit(1)).alias("unit"), "cid", "side", "place", "tree")
-    seats = large.filter(F.col("tree") < ROOT_TREES).groupBy("cid").agg(*[F.max(F.when(F.col("tree") == k, F.col("node"))).alias(x) for k, x in enumerate(SEATS)])
     seated = again.unionByName(crossing).join(seats, "cid", "left").select("unit", "cid", "side", "place", "tree", *[F.coalesce(x, F.lit(0).cast("long")).alias(x) for x in SEATS])
     more = candidates(seated, classes, threshold, forest=False).join(tried, ["a", "b"], "left_anti")
     more = settle(more, "near-more")
@@ -366,8 +391,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         texts = texts.unionByName(texts_of(unread, "near-texts"))
     late = settle(confirm(more, texts, words, threshold), "near-late")
 
-    final = components(sure.unionByName(late))
-    named = classes.select("cid", "first_id").join(final, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    named = classes.select("cid", "first_id").join(contract(placed, late), "cid").withColumnRenamed("place", "label")
     names = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     found = named.select("cid", "label").join(names, "label").select("cid", "component_id")
     whole = signed.select("id", "n", "cid").filter("n > 0").join(found, "cid").unionByName(
