@@ -5,10 +5,9 @@ Each line's hash gets a HyperLogLog sketch of the sites it occurs on; sketches a
 the threshold are boilerplate, clearly below are not; the lines in between are counted exactly. Only
 hashes are shuffled for this; texts move once, to meet the marks of their document.
 
-Copied documents are for the near-duplicate stage to decide, and there are two rules for them. With a ``copied_share`` a document
-that consists mostly of spread lines counts as copied and is left whole, short pages with long boilerplate as well. With
-None only evidence of copying counts: each distinct text speaks for one site, so copies of a text do not make its
-lines spread, and every spread line goes from every document.
+Copied documents are for the near-duplicate stage to decide: each distinct text speaks for one site, so copies of a text do not make its
+lines spread, and every spread line goes from every document. That is the rule of the query and the pipeline (``copied_share=None``). With a share
+sites are counted over all rows, and a document that consists mostly of spread lines is left whole, short pages with long boilerplate as well.
 """
 
 from __future__ import annotations

@@ -47,12 +47,13 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.remove_repeated(table(spark, sf_dir, "documents"), width=400).select(
-        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        (F.col("n_removed") > 0).alias("removed"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return line_spread.remove_spread_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+    return line_spread.remove_spread_lines(docs, copied_share=None).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

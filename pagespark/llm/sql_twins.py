@@ -26,12 +26,11 @@ OP7 = """
 WITH l AS (SELECT doc_id, source, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
     generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
 k AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS bare FROM l),
-spread AS (SELECT bare FROM k WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT coalesce('=' || source, '')) >= 10),
+once AS (SELECT min(coalesce('=' || source, '')) AS site, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL GROUP BY text),
+spread AS (SELECT bare FROM (SELECT site, trim(line, ' ' || chr(9) || chr(13)) AS bare FROM once) WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT site) >= 10),
 m AS (SELECT k.*, s.bare IS NOT NULL AS gone FROM k LEFT JOIN spread s ON k.bare = s.bare),
-a AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS g, coalesce(sum(length(bare)) FILTER (gone), 0) <= 0.5 * sum(length(bare)) AS ok,
-    string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS rest FROM m GROUP BY doc_id)
-SELECT d.doc_id, CASE WHEN text IS NULL THEN 0 ELSE n END AS n_lines, CASE WHEN ok THEN g ELSE 0 END AS n_removed,
-    CASE WHEN ok AND g > 0 THEN coalesce(rest, '') ELSE text END AS text
+a AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS g, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS rest FROM m GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN text IS NULL THEN 0 ELSE n END AS n_lines, g AS n_removed, CASE WHEN g > 0 THEN coalesce(rest, '') ELSE text END AS text
 FROM documents d JOIN a USING (doc_id)
 """
 
