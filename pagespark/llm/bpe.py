@@ -20,6 +20,7 @@ import struct
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,13 +31,15 @@ from .common import col, packed, unpacked
 MAX_ARCS = 400_000
 MAX_PIECES = 200_000
 NEVER = 1 << 60
+TOKEN_BITS = 24  # more tokens than any vocabulary has
+TOKEN_MASK = (1 << TOKEN_BITS) - 1
 LOOKBACK = 1 << 14  # bytes between emissions inside one match; far above the longest token
 ROWS_OUT_BYTES = 8 << 20
 BLANK_BESIDE_SPACE = re.compile(r"\A | \Z|\s | \s")
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
-    """Ranks file (base64 token and rank a line). Read by Spark where it sees the file, else on the driver."""
+    """Ranks file (base64 token and rank a line), read on the driver."""
     with open(path, "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
@@ -66,10 +69,10 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        start = ((0, -1),)
-        self.states = [start]
+        start = (0,)
+        self.states = [start]  # hypotheses as node << TOKEN_BITS | last token + 1
         self.number = {start: 0}
-        self.arcs: dict[int, tuple[int, int]] = {}  # state << 8 | byte -> state, token that ends here
+        self.arcs: dict[int, int] = {}  # state << 8 | byte -> state << TOKEN_BITS | token that ends here
 
     def merged(self, text: bytes) -> list[int]:
         """The merges themselves, for the few bytes of one or two tokens: lowest rank first, leftmost of equals."""
@@ -138,16 +141,17 @@ class Transducer:
             else:
                 j += 1
 
-    def _arc(self, state: int, byte: int) -> tuple[int, int]:
+    def _arc(self, state: int, byte: int) -> int:
         live = []
         fresh = -1
         child, inner, token_at, pairs = self.child, self.inner, self.token_at, self._pairs
-        for node, last in self.states[state]:
-            to = child.get(node << 8 | byte)
+        for held in self.states[state]:
+            to = child.get(held >> TOKEN_BITS << 8 | byte)
             if to is None:
                 continue
+            last = (held & TOKEN_MASK) - 1
             if to in inner:
-                live.append((to, last))
+                live.append(to << TOKEN_BITS | last + 1)
             if fresh < 0:
                 token = token_at[to]
                 if token >= 0:
@@ -156,13 +160,13 @@ class Transducer:
                         fresh = token
         if fresh < 0:
             raise ValueError("the vocabulary lacks a byte")
-        live.append((0, fresh))
+        live.append(fresh + 1)
         after = tuple(live)
         to = self.number.get(after)
         if to is None:
             to = self.number[after] = len(self.states)
             self.states.append(after)
-        self.arcs[state << 8 | byte] = arc = (to, fresh)
+        self.arcs[state << 8 | byte] = arc = to << TOKEN_BITS | fresh
         return arc
 
     def _back(self, ends: list[int], at: int) -> list[int]:
@@ -188,8 +192,8 @@ class Transducer:
             if arc is None:
                 arc = self._arc(state, byte)
                 arcs = self.arcs
-            state = arc[0]
-            ends.append(arc[1])
+            state = arc >> TOKEN_BITS
+            ends.append(arc & TOKEN_MASK)
             if len(ends) >= LOOKBACK:
                 out += self._emit(ends)
                 if len(arcs) > 2 * self.max_arcs:  # one endless match: keep the state, forget the rest
@@ -389,10 +393,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
 
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded",
-               keep: list[str] | None = None) -> DataFrame:
+               keep: list[str] | None = None, same_col: str | None = None) -> DataFrame:
     """``encode`` and then ``decode`` of its ids, in one Python worker a task instead of two, each with a vocabulary of its own.
 
-    Columns are those of ``encode`` and ``decoded_col``; the rules are those of the two.
+    Columns are those of ``encode`` and ``decoded_col``; the rules are those of the two. With ``same_col`` the decoded text stays in the
+    worker, a slice at a time, and that column says whether it is the text (null as empty).
     """
     shared = Shared(docs.sparkSession, ranks)
     df = packed(docs, keep, text=F.coalesce(col(text_col), F.lit("")))
@@ -402,11 +407,13 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col:
         for whole in batches:
             for batch in _slices(whole, "text"):
                 ids = _packed_ids([encoder.encode(t.as_py()) for t in batch.column("text")])
-                yield pa.RecordBatch.from_arrays([batch.column("row"), ids, pa.array(_texts(decoder, ids), pa.string())], names=["row", "ids", "decoded"])
+                texts = pa.array(_texts(decoder, ids), pa.string())
+                result = pc.equal(texts, batch.column("text")) if same_col else texts
+                yield pa.RecordBatch.from_arrays([batch.column("row"), ids, result], names=["row", "ids", "decoded"])
 
-    out = T.StructType([df.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    named = df.mapInArrow(run, out).withColumnsRenamed({"ids": ids_col, "decoded": decoded_col})
-    return unpacked(named, docs.columns if keep is None else keep, [ids_col, decoded_col])
+    out = T.StructType([df.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BooleanType() if same_col else T.StringType())])
+    named = df.mapInArrow(run, out).withColumnsRenamed({"ids": ids_col, "decoded": same_col or decoded_col})
+    return unpacked(named, docs.columns if keep is None else keep, [ids_col, same_col or decoded_col])
 
 
 def decode(coded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

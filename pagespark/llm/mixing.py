@@ -145,17 +145,38 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return Mix(documents, schedule)
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The documents of the mix, whole: a row is repeated taken / size times, rounded; empty texts, of which a mix takes nothing, stay out.
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to its n-th word, white space before it as it is."""
+    words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    return F.array_join(F.slice(words, 1, n), "")
 
-    Same columns as ``docs``. Rows of one id, source and size share their mean of ``taken``.
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars",
+                    **options) -> DataFrame:
+    """The words of the mix as documents: a row is repeated for every whole time that it is taken, and a rest of words follows as
+    the row with its text cut behind them (and ``length_col`` renewed, where there is one). So each source gives exactly the words the
+    mix takes of it, and no source of which it takes a word leaves.
+
+    Same columns as ``docs``. Empty and null texts, of which a mix takes nothing, stay out. Rows that repeat an id, source and size are taken
+    alike, each by an equal share of their words, rounded down. Empty tables give empty results.
     """
     plan = mix(docs, id_col, text_col, source_col, **options).documents
-    share = plan.filter("taken > 0").groupBy(F.col("doc_id").alias("m_id"), F.col("src").alias("m_src"), F.col("size").alias("m_size")).agg(
-        F.expr("cast(round(avg(taken / size)) as int)").alias("m_copies")).filter("m_copies > 0")
-    packed = docs.select(
+    share = plan.groupBy(F.col("doc_id").alias("m_id"), F.col("src").alias("m_src"), F.col("size").alias("m_size")).agg(
+        F.expr("sum(taken) div count(*)").alias("m_words")).filter("m_words > 0")
+    rows = docs.select(
         F.struct(*[col(c) for c in docs.columns]).alias("row"), col(id_col).alias("p_id"),
         F.coalesce(F.concat(F.lit("="), col(source_col).cast("string")), F.lit("")).alias("p_src"), word_count(col(text_col)).alias("p_size"))
-    joined = packed.join(share, F.col("p_id").eqNullSafe(F.col("m_id")) & (F.col("p_src") == F.col("m_src")) & (F.col("p_size") == F.col("m_size")))
-    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("m_copies"))).alias("copy")).select(
-        *[F.col("row").getField(c).alias(c) for c in docs.columns])
+    dealt = rows.join(share, F.col("p_id").eqNullSafe(F.col("m_id")) & (F.col("p_src") == F.col("m_src")) & (F.col("p_size") == F.col("m_size")))
+    whole, rest = F.expr("cast(m_words div p_size as int)"), F.expr("cast(m_words % p_size as int)")
+    pieces = dealt.select("row", whole.alias("whole"), rest.alias("rest")).select("row", F.explode(F.concat(
+        F.array_repeat(F.lit(-1), F.col("whole")), F.when(F.col("rest") > 0, F.array("rest")).otherwise(F.array().cast("array<int>")))).alias("upto"))
+
+    def value(name: str) -> Column:
+        old = F.col("row").getField(name)
+        text = first_words(F.col("row").getField(text_col).cast("string"), F.col("upto"))
+        if name == text_col:
+            return F.when(F.col("upto") >= 0, text).otherwise(old)
+        if name == length_col:
+            return F.when(F.col("upto") >= 0, F.length(text).cast(docs.schema[name].dataType)).otherwise(old)
+        return old
+    return pieces.select(*[value(c).alias(c) for c in docs.columns])

@@ -29,7 +29,7 @@ PRIOR_SHARE = 0.1  # weight of the prior, as a share of all counts
 MIN_Z = 3.5
 MIN_ODDS = 1.0  # a marker is at least e times as likely in toxic documents; topics and languages differ by less
 STEMS = (5, 4)  # leading letters that stand for words too rare to judge
-MEMO = 400_000
+MEMO = 100_000
 DRIFT = 0.5
 TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -196,7 +196,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     Only the text is looked at; a null text scores as the empty one. Rows are independent; an empty table gives no rows.
     """
-    df = packed(docs, text=col(text_col))
+    df = packed(docs)  # the text travels once, inside the row
+    place = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("p_value", pa.float64())]))
 
@@ -205,8 +206,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         weigh = Weigher(m.weights)
         for batch in batches:
             probs, passages = [], []
-            for text in batch.column("text").to_pylist():
-                segs, x = features(m, weigh, text)
+            for value in batch.column("row").field(place):
+                segs, x = features(m, weigh, value.as_py())
                 n = math.expm1(x[2])
                 probs.append(chance(m, x))
                 passages.append([{"start": s, "end": e, "score": v, "p_value": -math.expm1(-n * math.exp(-m.rate * v))} for s, e, v in segs])
