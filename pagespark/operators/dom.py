@@ -9,6 +9,7 @@ bounded by the size cap, so its array is too.
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,38 +38,55 @@ def cap_html(pages: DataFrame, n: int = MAX_HTML_CHARS) -> DataFrame:
     )
 
 
-PIECE_CHARS = 4_000_000
+PIECE_BYTES = 512_000
 
 
 def _pieces(batch):
-    """Slices of a batch with a bounded amount of HTML, so node lists of many pages never pile up."""
-    start, chars = 0, 0
-    for i, html in enumerate(batch.column("html").to_pylist()):
-        chars += len(html or "")
-        if chars >= PIECE_CHARS:
+    """Slices of a batch with a bounded amount of HTML, so node lists of many pages never pile up. Only the lengths of the texts are looked at."""
+    start, size = 0, 0
+    for i, n in enumerate(pc.binary_length(batch.column("html")).to_pylist()):
+        size += n or 0
+        if size >= PIECE_BYTES:
             yield batch.slice(start, i + 1 - start)
-            start, chars = i + 1, 0
+            start, size = i + 1, 0
     if start < batch.num_rows:
         yield batch.slice(start)
 
 
+def _parsed(html: pa.Array) -> list[pa.Array]:
+    """Node lists and errors of some pages; nodes go into one list a field, so that no page's rows are held as objects."""
+    columns: dict[str, list] = {f: [] for f in _FIELDS}
+    ends, errors, keys, values, attr_ends = [0], [], [], [], [0]
+    for doc in html:
+        try:
+            rows = parse_nodes(doc.as_py() or "")
+            error = None
+        except Exception as exc:  # a bad document must not fail the job
+            rows, error = [], f"{type(exc).__name__}: {exc}"
+        for name, column in zip(_FIELDS, zip(*rows)):
+            columns[name] += column
+        errors.append(error)
+        ends.append(len(columns["ord"]))
+    for pairs in columns["attrs"]:
+        for k, v in pairs or ():
+            keys.append(k)
+            values.append(v)
+        attr_ends.append(len(keys))
+    told = pa.array([pairs is None for pairs in columns.pop("attrs")], pa.bool_())
+    kinds = {f.name: f.type for f in _ARROW_NODE}
+    made = {name: pa.array(column, kinds[name]) for name, column in columns.items()}
+    made["attrs"] = pa.MapArray.from_arrays(pa.array(attr_ends, pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string()), mask=told)
+    nodes = pa.StructArray.from_arrays([made[f] for f in _FIELDS], fields=list(_ARROW_NODE))
+    bad = pa.array([e is not None for e in errors], pa.bool_())
+    return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), nodes, type=pa.list_(_ARROW_NODE), mask=bad), pa.array(errors, pa.string())]
+
+
 def _parse_batches(batches):
     for whole in batches:
         for batch in _pieces(whole):
-            nodes, errors = [], []
-            for html in batch.column("html").to_pylist():
-                try:
-                    nodes.append([dict(zip(_FIELDS, row)) for row in parse_nodes(html or "")])
-                    errors.append(None)
-                except Exception as exc:  # a bad document must not fail the job
-                    nodes.append(None)
-                    errors.append(f"{type(exc).__name__}: {exc}")
             keep = [c for c in batch.schema.names if c != "html"]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in keep]
-                + [pa.array(nodes, pa.list_(_ARROW_NODE)), pa.array(errors, pa.string())],
-                names=[*keep, "nodes", "error"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + _parsed(batch.column("html")), names=[*keep, "nodes", "error"])
+            pa.default_memory_pool().release_unused()
 
 
 def _parse(docs: DataFrame) -> DataFrame:

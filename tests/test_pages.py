@@ -1,5 +1,8 @@
 """Page extraction on small fixed pages."""
 
+import gc
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -273,3 +276,25 @@ def test_an_aborted_save_shows_nothing(spark, tmp_path):
     with pytest.raises(Exception):
         save_html(df, f"{tmp_path}/saved")
     assert list(tmp_path.iterdir()) == []
+
+
+def test_parsing_holds_a_few_pages_at_a_time():
+    html = ["<p>" + "word &amp; " * 2_000 + f"<a href='/{i}' href=x>{i}</a>" for i in range(120)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(121)), pa.array(html)], names=["page_id", "html"])
+    got = list(dom._parse_batches([batch]))
+    assert [x for b in got for x in b.column("page_id").to_pylist()] == list(range(121))
+    assert max(b.num_rows for b in got) * 20_000 < 2 * dom.PIECE_BYTES and len(got) > 3
+    nodes = [x for b in got for x in b.column("nodes").to_pylist()]
+    assert [dict(n["attrs"]) for n in nodes[7] if n["tag"] == "a"] == [{"href": "/7"}] and len(nodes[120]) == 3
+    assert [n["attrs"] for n in nodes[7] if n["kind"] == "text"] == [None, None]
+
+
+def test_a_parsed_page_leaves_nothing_behind():
+    gc.collect()
+    gc.disable()
+    try:
+        for _ in range(20):
+            parse_nodes("<ul>" + "<li><b>x" * 200)
+        assert gc.collect() < 2_000
+    finally:
+        gc.enable()
