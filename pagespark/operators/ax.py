@@ -11,6 +11,7 @@ rows leave it in order. A snapshot is one page, hence bounded.
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,11 +143,20 @@ def _place(links: list[dict]) -> list[dict]:
     return out
 
 
+PIECE_NODES = 5_000
+
+
 def _place_batches(batches):
     for batch in batches:
-        placed = [_place(links) for links in batch.column("links").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("snapshot_id"), pa.array(placed, _ARROW_PLACE)], names=["snapshot_id", "places"])
+        start, size = 0, 0
+        for i, n in enumerate(pc.list_value_length(batch.column("links")).to_pylist()):  # a few snapshots at a time
+            size += n or 0
+            if size >= PIECE_NODES or i + 1 == batch.num_rows:
+                piece = batch.slice(start, i + 1 - start)
+                placed = pa.array([_place(links) for links in piece.column("links").to_pylist()], _ARROW_PLACE)
+                yield pa.RecordBatch.from_arrays([piece.column("snapshot_id"), placed], names=["snapshot_id", "places"])
+                pa.default_memory_pool().release_unused()
+                start, size = i + 1, 0
 
 
 WALK_NODES = 100_000

@@ -82,12 +82,21 @@ def _rows(root: Node, at: list[int], out: dict[str, list], blank: int) -> None:
     out["last"] += lasts
 
 
+PIECE_ROWS = 2_000
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Short slices of the batches, so that few rows at a time become objects."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, PIECE_ROWS):
+            yield batch.slice(start, PIECE_ROWS)
+            pa.default_memory_pool().release_unused()
+
+
 def _snapshots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
-    """Tables of whole snapshots with the row ranges of each; a snapshot may go on in the next batch."""
+    """Tables of whole snapshots with the row ranges of each; a snapshot may go on in the next piece."""
     held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in _pieces(batches):
         ids = batch.column("snapshot_id")
         newest = ids[batch.num_rows - 1].as_py()
         cut = batch.num_rows

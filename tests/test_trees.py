@@ -2,10 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pagespark.operators import ax, diff
+from pagespark.operators import ax, diff, tree_fold
 
 ROLES = ["button", "heading", "list", "listitem", "generic", "StaticText", "InlineTextBox", "paragraph", "link"]
 NAMES = ["a", "b", "x y", None, ""]
@@ -204,3 +205,21 @@ def test_tree_folds_of_a_deep_tree(spark):
     out = ax.collapse_text(ax.prune_tree(df)).collect()
     assert out and max(r["depth"] for r in out) == len(out) - 1
     assert diff.path_signature(ax.collapse_text(ax.prune_tree(df))).count() == len(out)
+
+
+def test_wiring_holds_a_few_snapshots_at_a_time():
+    links = [[{"nodeId": "a", "parentId": None, "childIds": ["b", "c"], "pos": 0}, {"nodeId": "b", "parentId": "a", "childIds": [], "pos": 1},
+              {"nodeId": "c", "parentId": "a", "childIds": None, "pos": 2}]] * 4000
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("nodeId", pa.string()), ("parentId", pa.string()), ("childIds", pa.list_(pa.string()))]))
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(4000)]), pa.array(links, kind)], names=["snapshot_id", "links"])
+    got = list(ax._place_batches([batch, batch.slice(0, 0)]))
+    assert [x for b in got for x in b.column("snapshot_id").to_pylist()] == batch.column("snapshot_id").to_pylist()
+    assert all(x == ax._place(links[0]) for b in got for x in b.column("places").to_pylist())
+    assert max(b.num_rows for b in got) * 3 <= ax.PIECE_NODES + 3
+
+
+def test_folding_takes_short_slices():
+    rows = pa.RecordBatch.from_arrays([pa.array([i // 3 for i in range(9_000)])], names=["snapshot_id"])
+    tables = list(tree_fold._snapshots([rows]))
+    assert sum(len(ranges) for _, ranges in tables) == 3_000 and sum(t.num_rows for t, _ in tables) == 9_000
+    assert max(t.num_rows for t, _ in tables) <= tree_fold.PIECE_ROWS + 3
