@@ -19,7 +19,7 @@ from ..functions.lets import let
 from ..functions.prefix import covers
 from ..functions.text import json_string
 from .dom import attr
-from .tree_fold import PLACED, Node, bottom_up, fold_trees, hoisted
+from .tree_fold import PLACED, Node, bottom_up, fold_trees, hoisted, in_order
 from .tree_rank import ranked_places
 from .find import label_in, labels_of, may_be_named_by_content, name_from, role_of, text_of, title_col_text
 
@@ -319,9 +319,14 @@ def limit_depth(ax: DataFrame, max_depth: int) -> DataFrame:
     return fold_trees(ax, [cut])
 
 
-def subtree(ax: DataFrame, targets: DataFrame) -> DataFrame:
-    """Target nodes (snapshot_id, ord) with their descendants and ancestors."""
-    wanted = targets.select("snapshot_id", "ord").distinct().withColumn("_t", F.lit(True))
+def subtree(ax: DataFrame, targets: DataFrame | Column) -> DataFrame:
+    """Target nodes with their descendants and ancestors. Targets are a table (snapshot_id, ord), or a condition on the nodes of ``ax``, which
+    takes no second look at the trees."""
+    if by_rule := isinstance(targets, Column):
+        place = Window.partitionBy("snapshot_id", "ord")  # rows of one place are targets together; a tree without an id has none
+        marked = in_order(ax).withColumn("_t", F.max(F.when(targets & F.col("snapshot_id").isNotNull(), True)).over(place))
+    else:
+        marked = ax.join(targets.select("snapshot_id", "ord").distinct().withColumn("_t", F.lit(True)), ["snapshot_id", "ord"], "left")
 
     def near(root: Node, rows: dict) -> Node | None:
         hit, held, todo = rows["_t"], set(), [(root, False)]
@@ -332,7 +337,7 @@ def subtree(ax: DataFrame, targets: DataFrame) -> DataFrame:
                 held.add(n.row)
             todo.extend((k, below) for k in n.kids)
         return bottom_up(root, lambda n: n if n.kids or n.row in held else None)
-    return fold_trees(ax.join(wanted, ["snapshot_id", "ord"], "left"), [near], extra=["_t"])
+    return fold_trees(marked, [near], extra=["_t"], ordered=by_rule)
 
 
 def number_text(c: Column) -> Column:

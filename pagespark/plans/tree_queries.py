@@ -87,7 +87,7 @@ SELECT p.page_id AS snapshot_id, {_NAMED_GROUP} || '    - navigation' || {_NL} |
   || coalesce({_NL} || regexp_replace(n.body, '(?m)^', '  ', 'g'), '') AS text FROM parts p LEFT JOIN nav_lines n ON n.page_id = p.page_id""")
 def navigation_subtrees(spark, sf):
     tree = ax.semantic_tree(_dom(spark, sf))
-    return ax.render_tree(ax.subtree(tree, tree.filter(F.col("role") == "navigation")))
+    return ax.render_tree(ax.subtree(tree, F.col("role") == "navigation"))
 
 
 def _json_text(x: str) -> str:

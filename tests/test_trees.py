@@ -223,3 +223,12 @@ def test_folding_takes_short_slices():
     tables = list(tree_fold._snapshots([rows]))
     assert sum(len(ranges) for _, ranges in tables) == 3_000 and sum(t.num_rows for t, _ in tables) == 9_000
     assert max(t.num_rows for t, _ in tables) <= tree_fold.PIECE_ROWS + 3
+
+
+def test_subtrees_by_condition(forest):
+    ax_rows = ax.filter_compact(forest[1].filter("snapshot_id < 60"))
+    want = ax.subtree(ax_rows, ax_rows.filter(F.col("role") == "list"))
+    got = ax.subtree(ax_rows, F.col("role") == "list")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
