@@ -18,11 +18,14 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
     return read_pages_table(spark, f"{sf}/pages.parquet")
 
 
-def base(spark: SparkSession, sf: str) -> DataFrame:
+CALLS_PER_TASK = 100_000  # judging as many takes a core some six seconds
+
+
+def base(spark: SparkSession, sf: str, rows_per_task: int | None = None) -> DataFrame:
     """Events with typed helper columns; event ids rise with time, so they are the arrival order."""
     events = spark.read.parquet(f"{sf}/events.parquet")
     if not events.isStreaming:
-        events = spread(events)
+        events = spread(events, rows_per_task)
     return events.select(
         F.col("event_id").alias("seq"),
         epoch_ms(F.col("ts")).alias("ts_ms"),
@@ -300,7 +303,7 @@ def tool_calls(spark: SparkSession, sf: str) -> DataFrame:
                                         F.when(bad, "").otherwise(',"path":"/"'), F.lit("}]}")))
         .otherwise(F.concat(F.lit('{"expression":'), F.when(bad, s).otherwise(F.concat(F.lit('"secret('), s, F.lit(')"'))), F.lit("}")))
     )
-    return base(spark, sf).select(
+    return base(spark, sf, CALLS_PER_TASK).select(
         "seq", "ts_ms", name.alias("name"), args.alias("args"), F.floor("value").alias("elapsed_ms"),
         F.when(k % 11 == 0, F.concat(F.lit("timeout after "), s)).alias("error"),
         (k % 11 == 0).alias("is_error"),

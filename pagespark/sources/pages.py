@@ -15,13 +15,16 @@ PAGES = T.StructType([
 ])
 
 
-def spread(scan: DataFrame) -> DataFrame:
+def spread(scan: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     """Give a scan with fewer splits than cores to all cores.
 
     Work per row is heavy here (parsing, rules), and a small table may be one split. A table
-    with enough splits, as any large one has, is left alone and not shuffled.
+    with enough splits, as any large one has, is left alone and not shuffled. Splits say nothing of rows, though: a row group lies in one
+    of them whole, however long it is. With ``rows_per_task`` the rows are dealt evenly to as many tasks as that takes (they are counted first, from file footers).
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
+    if rows_per_task:
+        return scan.repartition(max(cores, -(-scan.count() // rows_per_task)))
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagespark.functions.patterns import BadPattern
 from pagespark.functions.skew import Run, chunk_for, merged_runs, running, topk_per_key
 from pagespark.operators import dom, logs
+from pagespark.plans import feeds
 from pagespark.streaming import logs as streams
 from pagespark.streaming.runs import run_to_table
 
@@ -131,3 +132,13 @@ def test_stream_unmatched_ends(spark, tmp_path):
         at(spark.readStream.schema(ends.schema).parquet(str(tmp_path / "e"))))
     got = {r["req_id"]: (r["ts_ms"], r["duration_ms"]) for r in run_to_table(pairs, "pairs").collect()}
     assert got[1] == (1000, 500) and got[3] == (2500, None) and got[9] == (9_000_000, 4)
+
+
+def test_calls_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    events = spark.range(6_000).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") + 1_700_000_000).alias("ts"), (F.col("id") % 7).alias("user_id"),
+        F.lit("click").alias("event_type"), F.lit(1.5).alias("value"), F.concat(F.lit('{"k":'), F.col("id") % 100, F.lit("}")).alias("props"))
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(feeds, "CALLS_PER_TASK", 100, raising=False)
+    dealt = feeds.tool_calls(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in dealt) == 6_000 and max(r["count"] for r in dealt) <= 150
