@@ -76,7 +76,9 @@ def stream_settle(events: DataFrame, idle_ms: int = 500, cap_ms: int = 3000, del
     def take(state, row):
         t0, at, delta, seq = state or (row["t0_ms"], [], [], [])
         if row["delta"] is not None and row["ts_ms"] <= t0 + cap_ms:
-            at, delta, seq = [*at, row["ts_ms"]], [*delta, row["delta"]], [*seq, row["seq"]]
+            at.append(row["ts_ms"])
+            delta.append(row["delta"])
+            seq.append(row["seq"])
         return (t0, at, delta, seq), t0 + cap_ms + 1
 
     def result(key, state):
