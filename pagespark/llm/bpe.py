@@ -19,6 +19,7 @@ import re
 import struct
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -35,7 +36,7 @@ TOKEN_BITS = 24  # more tokens than any vocabulary has
 TOKEN_MASK = (1 << TOKEN_BITS) - 1
 LOOKBACK = 1 << 14  # bytes between emissions inside one match; far above the longest token
 ROWS_OUT_BYTES = 8 << 20
-BLANK_BESIDE_SPACE = re.compile(r"\A | \Z|\s | \s")
+BLANK_BESIDE_SPACE = re.compile(r" (?:\s|\Z|(?<=\A )|(?<=\s ))")  # begins with the space, so a search leaps from space to space
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -314,6 +315,7 @@ class Decoder:
                 self.alone.append(token.decode("utf-8"))
             except UnicodeDecodeError:
                 self.alone.append(None)
+        self.tokens = pa.array(self.bytes_of, pa.binary())
 
     def stream(self, ids: Iterable[int]) -> Iterator[str]:
         machine = Utf8Machine()
@@ -326,6 +328,19 @@ class Decoder:
         parts = [self.alone[i] for i in ids]
         return "".join(parts if None not in parts else self.stream(ids))
 
+    def decode_all(self, ids: pa.ListArray) -> pa.StringArray:
+        """The text of each list. Tokens are laid end to end at once; lists are taken one by one only where some bytes are not UTF-8."""
+        values, ends = ids.flatten(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
+        laid = self.tokens.take(values)
+        _, bounds, data = laid.buffers()
+        at = np.frombuffer(bounds, np.int32, len(laid) + 1)[ends] if len(laid) else np.zeros(len(ends), np.int32)
+        whole = pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(at), data or pa.py_buffer(b"")])
+        try:
+            return whole.cast(pa.string())
+        except pa.ArrowInvalid:
+            values = values.to_numpy()
+            return pa.array([self.decode(values[a:b].tolist()) for a, b in zip(ends, ends[1:])], pa.string())
+
 
 _made: dict[tuple, object] = {}
 
@@ -367,11 +382,6 @@ def _packed_ids(coded: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
-def _texts(decoder: Decoder, ids: pa.ListArray) -> list[str]:
-    values, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_pylist()
-    return [decoder.decode(values[a:b].tolist()) for a, b in zip(ends, ends[1:])]
-
-
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """All columns of ``docs`` (or those to ``keep``) and ``ids_col``: array<int> of each whole text (null and empty: no ids).
 
@@ -407,7 +417,7 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col:
         for whole in batches:
             for batch in _slices(whole, "text"):
                 ids = _packed_ids([encoder.encode(t.as_py()) for t in batch.column("text")])
-                texts = pa.array(_texts(decoder, ids), pa.string())
+                texts = decoder.decode_all(ids)
                 result = pc.equal(texts, batch.column("text")) if same_col else texts
                 yield pa.RecordBatch.from_arrays([batch.column("row"), ids, result], names=["row", "ids", "decoded"])
 
@@ -425,8 +435,7 @@ def decode(coded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", text
         decoder = _once(Decoder, shared)
         for whole in batches:
             for batch in _slices(whole, "ids"):
-                texts = _texts(decoder, batch.column("ids"))
-                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
+                yield pa.RecordBatch.from_arrays([batch.column("row"), decoder.decode_all(batch.column("ids"))], names=["row", "text"])
 
     out = T.StructType([df.schema["row"], T.StructField("text", T.StringType())])
     return unpacked(df.mapInArrow(run, out).withColumnRenamed("text", text_col), coded.columns, [text_col])

@@ -123,6 +123,12 @@ def test_markdown_of_nested_blocks(spark):
         assert r["md"].replace("\u00a0", "") == want, html
 
 
+def test_markdown_drops_emphasis_of_nothing_behind_text(spark):
+    cases = {"<p>y<i></i>z": "yz", "<p>a<b><i></i></b>b": "ab", "<p>y <b>x</b><b></b> z": "y **x** z", "<p><code>x<i>_</i></code>": "`x___`", "<p><b>a<p>b<i></i></b>c": "**a**\n\n**b** c"}
+    parts = dom.build_dom(pages(spark, *cases)).select("page_id", extract.markdown_parts(F.col("nodes")).alias("md"))
+    assert [r["md"].replace("** c", "**c") for r in extract.with_markdown(parts, "md").orderBy("page_id").collect()] == [w.replace("** c", "**c") for w in cases.values()]
+
+
 def test_content_without_article(spark):
     """The block of prose wins over link lists, chrome and the body around it."""
     links = "<ul>" + "".join(f"<li><a href='/{i}'>a long link text {i}</a></li>" for i in range(30)) + "</ul>"
