@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagespark.llm import bpe, line_spread, mixing, near_dedup, toxicity
-from pagespark.llm.common import col, settle, table
+from pagespark.llm.common import col, settle, small_batches, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -26,6 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are scored like any other and repeated rows alike; without labels nothing is rejected; other columns are kept as they are.
     """
+    small_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return _restored(toxicity.score(_carried(docs, "text"), model).filter("predicted = 0"), docs)
 
@@ -44,6 +45,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Null, empty and blank texts are like no other and stay. Rows that repeat an id share its fate.
     """
+    small_batches(spark)
     kept = near_dedup.link(docs, words=5, threshold=0.8).filter("kept").select("doc_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
 
@@ -55,6 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row, decoded again to prove the round trip. Null texts have no ids; repeated rows are encoded alike."""
+    small_batches(spark)
     ranks = bpe.read_ranks(spark, public_tokenizers.path(RANKS))
     return bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id", "source"], same_col="round_trip").select(
         "doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")

@@ -70,8 +70,8 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        start = (0,)
-        self.states = [start]  # hypotheses as node << TOKEN_BITS | last token + 1
+        start = bytes(8)
+        self.states = [start]  # hypotheses, each a 64-bit node << TOKEN_BITS | last token + 1
         self.number = {start: 0}
         self.arcs: dict[int, int] = {}  # state << 8 | byte -> state << TOKEN_BITS | token that ends here
 
@@ -121,7 +121,7 @@ class Transducer:
             return edge is not None
         pair = self._pairs.get(last << 32 | token)
         if pair is None:
-            if len(self._pairs) > self.max_arcs:
+            if len(self._pairs) > self.max_arcs // 4:
                 self._pairs.clear()
             pair = self._pairs[last << 32 | token] = self._apart(self._edge(last), edge, last, token)
         return pair
@@ -146,7 +146,7 @@ class Transducer:
         live = []
         fresh = -1
         child, inner, token_at, pairs = self.child, self.inner, self.token_at, self._pairs
-        for held in self.states[state]:
+        for held in memoryview(self.states[state]).cast("q"):
             to = child.get(held >> TOKEN_BITS << 8 | byte)
             if to is None:
                 continue
@@ -162,7 +162,7 @@ class Transducer:
         if fresh < 0:
             raise ValueError("the vocabulary lacks a byte")
         live.append(fresh + 1)
-        after = tuple(live)
+        after = struct.pack(f"{len(live)}q", *live)
         to = self.number.get(after)
         if to is None:
             to = self.number[after] = len(self.states)

@@ -7,11 +7,13 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from pagespark.llm import ann, bpe, exact_dedup, language, line_spread, mixing, near_dedup, queries, toxicity, url_filter, windows
+import corpus_pipeline
+from pagespark.llm import ann, bpe, common, exact_dedup, language, line_spread, mixing, near_dedup, queries, toxicity, url_filter, windows
 
 PATH = public_tokenizers.path(queries.RANKS)
 RANKS = bpe.read_ranks(None, PATH)
@@ -81,6 +83,32 @@ def test_bpe_rows(documents, nothing):
     assert bpe.encode(nothing, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_decodes_lists_together():
+    """Ids whose bytes are no UTF-8, or only together with another list's, give what decoding each list alone gives."""
+    decoder = bpe.Decoder(RANKS)
+    decoder_alone = [RANKS[bytes([b])] for b in "\u4e16".encode()]
+    lists = [REAL.encode_ordinary("a \u4e16 b"), [], decoder_alone[:2], decoder_alone[2:], decoder_alone]
+    for part in (lists, lists[:2], [], [[]]):
+        ids = pa.array([[7], *part], pa.list_(pa.int32())).slice(1)
+        assert decoder.decode_all(ids).to_pylist() == [b"".join(map(decoder.bytes_of.__getitem__, x)).decode("utf-8", "replace") for x in part]
+
+
+def test_documents_go_to_python_in_small_batches(spark):
+    before = spark.conf.get(common.BATCH)
+    seen = lambda: [r["n"] for r in spark.range(0, 4000, 1, 1).selectExpr("repeat('x', 3000) AS t").mapInArrow(
+        lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())}) for b in batches), "n long").collect()]
+    try:
+        spark.conf.set(common.BATCH, "64m")
+        corpus_pipeline.encode(spark, spark.createDataFrame([], "doc_id long, source string, text string"), "")
+        rows = seen()
+        assert sum(rows) == 4000 and max(rows) * 3000 <= 2 * common.BATCH_BYTES
+        spark.conf.set(common.BATCH, "1000b")
+        common.small_batches(spark)
+        assert spark.conf.get(common.BATCH) == "1000b"
+    finally:
+        spark.conf.set(common.BATCH, before)
+
+
 # 2 ------------------------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("bits,entries,depth", [(64, 100_000, 16), (3, 2, 6), (64, 1, 8)])
