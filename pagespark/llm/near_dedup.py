@@ -7,8 +7,8 @@ are similar on average (groups of near copies) do not branch; they are dealt int
 a few leaders.
 
 First a node's best spanning links are confirmed on the full sets. Members of one dense root are taken as joined by it when later trees are looked at, so dense
-groups are joined by a few links a class however many trees hold them. Then whatever looks
-similar and is not yet in one component is confirmed too, and in nodes that stayed large every class
+groups are joined by a few links a class however many trees hold them. Then components that are still apart are joined by the best links
+between them, and at last whatever looks similar and is not in one component even so is confirmed too; in nodes that stayed large every class
 outside the largest component meets all others, block by block. So a link is left out only where its two ends are already
 connected; no partner or candidate is capped.
 """
@@ -370,28 +370,34 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     # A class' place is its component's label, or itself.
     label = components(settle(confirm(tried, texts, words, threshold), "near-sure"))
     placed = settle(classes.select("cid").join(label, "cid", "left").select("cid", F.coalesce("label", "cid").alias("place")), "near-places")
-    positive = positive("place").alias("place")
-    again = small.select(F.col("node").alias("unit"), "cid", F.lit(0).alias("side")).join(placed, "cid").select("unit", "cid", "side", positive, F.lit(ROOT_TREES).alias("tree"))
-    mixed = again.groupBy("unit").agg((F.min("place") < F.max("place")).alias("apart")).filter("apart").select("unit")
-    again = again.join(mixed, "unit", "left_semi")
-    at_large = large.join(placed, "cid").select("node", "cid", "size", "tree", positive)
-    biggest = at_large.groupBy("node", "place").count().groupBy("node").agg(F.max_by("place", F.struct("count", "place")).alias("main"))
-    out_in = settle(at_large.join(biggest, "node").withColumn("out", F.col("place") != F.col("main")), "near-outside")
-    outside = out_in.filter("out").groupBy("node").agg(F.expr(f"cast(ceil(count(*) / {NODE_ROWS}) as long)").alias("chunks"))
-    outs = out_in.filter("out").join(outside, "node").withColumn("chunk", F.pmod(F.xxhash64("cid", F.lit(3)), F.col("chunks"))).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select("node", "chunk", "block", "cid", "place", "tree", F.lit(1).alias("side"))
-    ins = out_in.join(outside, "node").withColumn("block", F.pmod(F.xxhash64("node", "cid"), blocks)).withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("node", "chunk", "block", "cid", "place", "tree", F.when(F.col("out"), 3).otherwise(2).alias("side"))
-    crossing = outs.unionByName(ins).select(F.xxhash64("node", "chunk", "block", F.lit(1)).alias("unit"), "cid", "side", "place", "tree")
-    seated = again.unionByName(crossing).join(seats, "cid", "left").select("unit", "cid", "side", "place", "tree", *[F.coalesce(x, F.lit(0).cast("long")).alias(x) for x in SEATS])
-    more = candidates(seated, classes, threshold, forest=False).join(tried, ["a", "b"], "left_anti")
-    more = settle(more, "near-more")
-    unread = ends(more).join(texts, "cid", "left_anti")
-    if not unread.isEmpty():  # met only in a large node
-        texts = texts.unionByName(texts_of(unread, "near-texts"))
-    late = settle(confirm(more, texts, words, threshold), "near-late")
-
-    named = classes.select("cid", "first_id").join(contract(placed, late), "cid").withColumnRenamed("place", "label")
+
+    def apart(placed: DataFrame) -> DataFrame:
+        """Units (unit, cid, side, place, tree, *SEATS) in which all classes of a node meet that are not in one component."""
+        place = positive("place").alias("place")
+        again = small.select(F.col("node").alias("unit"), "cid", F.lit(0).alias("side")).join(placed, "cid").select("unit", "cid", "side", place, F.lit(ROOT_TREES).alias("tree"))
+        mixed = again.groupBy("unit").agg((F.min("place") < F.max("place")).alias("apart")).filter("apart").select("unit")
+        again = again.join(mixed, "unit", "left_semi")
+        at_large = large.join(placed, "cid").select("node", "cid", "size", "tree", place)
+        biggest = at_large.groupBy("node", "place").count().groupBy("node").agg(F.max_by("place", F.struct("count", "place")).alias("main"))
+        out_in = settle(at_large.join(biggest, "node").withColumn("out", F.col("place") != F.col("main")), "near-outside")
+        outside = out_in.filter("out").groupBy("node").agg(F.expr(f"cast(ceil(count(*) / {NODE_ROWS}) as long)").alias("chunks"))
+        outs = out_in.filter("out").join(outside, "node").withColumn("chunk", F.pmod(F.xxhash64("cid", F.lit(3)), F.col("chunks"))).withColumn(
+            "block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select("node", "chunk", "block", "cid", "place", "tree", F.lit(1).alias("side"))
+        ins = out_in.join(outside, "node").withColumn("block", F.pmod(F.xxhash64("node", "cid"), blocks)).withColumn(
+            "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("node", "chunk", "block", "cid", "place", "tree", F.when(F.col("out"), 3).otherwise(2).alias("side"))
+        crossing = outs.unionByName(ins).select(F.xxhash64("node", "chunk", "block", F.lit(1)).alias("unit"), "cid", "side", "place", "tree")
+        return again.unionByName(crossing).join(seats, "cid", "left").select("unit", "cid", "side", "place", "tree", *[F.coalesce(x, F.lit(0).cast("long")).alias(x) for x in SEATS])
+
+    # What is apart is joined by a unit's best links first; then every pair that may be similar and is apart even so is confirmed.
+    for forest, purpose in ((True, "near-across"), (False, "near-more")):
+        more = settle(candidates(apart(placed), classes, threshold, forest).join(tried, ["a", "b"], "left_anti"), purpose)
+        unread = ends(more).join(texts, "cid", "left_anti")
+        if not unread.isEmpty():  # met only in a large node
+            texts = texts.unionByName(texts_of(unread, "near-texts"))
+        placed = contract(placed, settle(confirm(more, texts, words, threshold), "near-late"))
+        tried = tried.unionByName(more)
+
+    named = classes.select("cid", "first_id").join(placed, "cid").withColumnRenamed("place", "label")
     names = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     found = named.select("cid", "label").join(names, "label").select("cid", "component_id")
     whole = signed.select("id", "n", "cid").filter("n > 0").join(found, "cid").unionByName(

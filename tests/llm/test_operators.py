@@ -420,6 +420,22 @@ def test_near_dedup_with_a_large_group(spark, words, threshold):
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (sizes[i], roots[i], roots[i] == i), i
 
 
+def test_near_dedup_joins_components_before_it_tries_all_pairs(spark, monkeypatch):
+    """Many chains of near copies in one large node: what the best links join is not tried pair by pair."""
+    monkeypatch.setattr(near_dedup, "NODE_ROWS", 12)
+    rng = random.Random(8)
+    text = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(240):  # neighbours in the chain are similar, ends are not
+        text[rng.randrange(len(text))] = f"x{i}"
+        texts.append(" ".join(text))
+    tried, confirm = [], near_dedup.confirm
+    monkeypatch.setattr(near_dedup, "confirm", lambda pairs, *rest: tried.append(pairs.count()) or confirm(pairs, *rest))
+    got = near_dedup.link(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=3, threshold=0.85).orderBy("doc_id").collect()
+    assert [r["component_id"] for r in got] == brute_links(texts, 3, 85)[1]
+    assert len(tried) == 3 and sum(tried) < 4 * len(texts), tried
+
+
 def test_near_dedup_rows(documents, nothing):
     got = near_dedup.link(documents, words=3, threshold=0.85).collect()
     assert len(got) == 9
