@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STORE_CLASS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -31,12 +32,13 @@ class OncePerKey(StatefulProcessor):
     """
 
     def __init__(self, state_schema: str, take: Callable, result: Callable, time_of: Callable, keep_ms: int):
-        self.state_schema, self.take, self.result, self.time_of, self.keep_ms = state_schema, take, result, time_of, keep_ms
+        self.schema = f"due_ms long, given boolean, last_ms long, {state_schema}"
+        self.nothing = (None,) * len(T.StructType.fromDDL(state_schema))
+        self.take, self.result, self.time_of, self.keep_ms = take, result, time_of, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", self.state_schema)
-        self.mark = handle.getValueState("mark", "due_ms long, given boolean, last_ms long")
+        self.held = handle.getValueState("held", self.schema)  # mark and state in one value: each call to the store is a message of its own
 
     def _timer(self, old: int | None, new: int) -> None:
         if old != new:
@@ -45,8 +47,9 @@ class OncePerKey(StatefulProcessor):
             self.handle.registerTimer(new)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        due, given, last = self.mark.get() if self.mark.exists() else (None, False, None)
-        state = self.state.get() if not given and self.state.exists() else None
+        held = self.held.get()
+        due, given, last, *state = held or (None, False, None)
+        state = tuple(state) if held and not given else None
         when = due
         for row in rows:
             last = max(self.time_of(row), last if last is not None else self.time_of(row))
@@ -54,22 +57,19 @@ class OncePerKey(StatefulProcessor):
                 state, when = self.take(state, row)
         if given:
             when = max(due, last + self.keep_ms)
-        else:
-            self.state.update(state)
         self._timer(due, when)
-        self.mark.update((when, given, last))
+        self.held.update((when, given, last, *(self.nothing if given else state)))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        due, given, last = self.mark.get()
+        due, given, last, *state = self.held.get()
         if given:
-            self.mark.clear()
+            self.held.clear()
             return
-        yield self.result(key, self.state.get())
-        self.state.clear()
+        yield self.result(key, tuple(state))
         forget = max(due, last) + self.keep_ms
         self.handle.registerTimer(forget)
-        self.mark.update((forget, True, last))
+        self.held.update((forget, True, last, *self.nothing))
 
     def close(self) -> None:
         pass
