@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 
 from .common import col, packed, unpacked
 
-MAX_ARCS = 400_000
-MAX_PIECES = 200_000
+MAX_ARCS = 800_000
+MAX_PIECES = 400_000
 NEVER = 1 << 60
 TOKEN_BITS = 24  # more tokens than any vocabulary has
 TOKEN_MASK = (1 << TOKEN_BITS) - 1
