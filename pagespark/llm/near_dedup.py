@@ -10,7 +10,8 @@ First a node's best spanning links are confirmed on the full sets. Members of on
 groups are joined by a few links a class however many trees hold them. Then components that are still apart are joined by the best links
 between them, and at last whatever looks similar and is not in one component even so is confirmed too; in nodes that stayed large every class
 outside the largest component meets all others, block by block. So a link is left out only where its two ends are already
-connected; no partner or candidate is capped.
+connected; no partner or candidate is capped. A large node has as many blocks as their rows' square root tells, so a class is copied to few of them, and
+what met in a dense root of an earlier tree is not dealt again.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -245,9 +246,10 @@ def _candidates(threshold: float, forest: bool):
     return run
 
 
-def candidates(units: DataFrame, classes: DataFrame, threshold: float, forest: bool) -> DataFrame:
-    """(a, b) of unit members whose sketches agree enough; units are (unit, cid, side, place, tree, *SEATS)."""
-    return _solved(units.join(classes.select("cid", "n", "sketch"), "cid"), threshold, forest)
+def candidates(units: DataFrame, sketches: DataFrame, threshold: float, forest: bool) -> DataFrame:
+    """(a, b) of unit members whose sketches agree enough; units are (unit, cid, side, place, tree), sketches (cid, n, sketch, *SEATS)."""
+    seats = [F.coalesce(x, F.lit(0).cast("long")).alias(x) for x in SEATS]
+    return _solved(units.join(sketches, "cid").select("unit", "cid", "side", "place", "tree", *seats, "n", "sketch"), threshold, forest)
 
 
 def _solved(rows: DataFrame, threshold: float, forest: bool) -> DataFrame:
@@ -255,6 +257,42 @@ def _solved(rows: DataFrame, threshold: float, forest: bool) -> DataFrame:
     return rows.mapInArrow(_candidates(threshold, forest), "a long, b long").distinct()
 
 
+def positive(c: str) -> Column:
+    """A key as a place: places that are not known are negative."""
+    return F.col(c).bitwiseAND(F.lit((1 << 62) - 1))
+
+
+def held() -> Column:
+    """The first dense root of an earlier tree stands for the component that it is taken to make; where it does not, what is still apart is tried later."""
+    return F.coalesce(*[F.when(F.col("tree") > k, positive(x)) for k, x in enumerate(SEATS)], F.lit(-1).cast("long"))
+
+
+def seats_of(large: DataFrame) -> DataFrame:
+    """(cid, *SEATS) of the classes in dense roots; null where a tree has none."""
+    return settle(large.filter(F.col("tree") < ROOT_TREES).groupBy("cid").agg(*[F.max(F.when(F.col("tree") == k, F.col("node"))).alias(x) for k, x in enumerate(SEATS)]), "near-seats")
+
+
+def crossing(large: DataFrame, placed: DataFrame) -> DataFrame:
+    """Units (unit, cid, side, place, tree) in which the classes of a large node meet that are not in one component.
+
+    ``large``: (node, cid, size, tree, held); ``placed``: (cid, place).
+    Classes of one component, or that sit in one dense root of an earlier tree, need not meet here; the largest such group of a node meets only the
+    classes outside. A node of n classes has sqrt(n / NODE_ROWS) blocks, and as many chunks of outsiders at most, so rows grow with n ** 1.5.
+    """
+    at_large = large.join(placed, "cid").withColumn("place", positive("place"))
+    group = lambda by: at_large.filter(f"{by} >= 0").groupBy("node", F.col(by).alias("of")).count().withColumn("seat", F.lit(by == "held"))
+    biggest = group("place").unionByName(group("held")).groupBy("node").agg(F.max(F.struct("count", "seat", "of")).alias("main"))
+    inside = F.when(F.col("main.seat"), F.col("held")).otherwise(F.col("place")) == F.col("main.of")
+    blocks = F.expr(f"cast(ceil(sqrt(size / {NODE_ROWS})) as long)")
+    out_in = settle(at_large.join(biggest, "node").select("node", "cid", "place", "tree", blocks.alias("blocks"), (~inside).alias("out"), "size"), "near-outside")
+    outside = out_in.filter("out").groupBy("node").agg(F.expr("cast(ceil(count(*) * max(blocks) / max(size)) as long)").alias("chunks"))
+    met = out_in.join(outside, "node").drop("size")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    outs = met.filter("out").withColumn("chunk", F.pmod(F.xxhash64("cid", F.lit(3)), F.col("chunks"))).withColumn("block", upto("blocks")).withColumn("side", F.lit(1))
+    ins = met.withColumn("block", F.pmod(F.xxhash64("node", "cid"), F.col("blocks"))).withColumn("chunk", upto("chunks")).withColumn("side", F.when(F.col("out"), 3).otherwise(2))
+    return outs.unionByName(ins).select(F.xxhash64("node", "chunk", "block", F.lit(1)).alias("unit"), "cid", "side", "place", "tree")
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
     """The pairs (a, b) of classes whose full shingle sets are similar; ``texts``: (cid, text).
 
@@ -348,22 +386,22 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         return settle(likely(base.select("rk", "text"), keys).join(keys, "rk").dropDuplicates(["cid"]).select("cid", "text"), purpose)
 
     def ends(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        return pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
 
     small, large = nodes(classes)
+    large = settle(large, "near-dense-nodes")
+    seats = seats_of(large)
+    large = settle(large.join(seats, "cid", "left").select("node", "cid", "size", "tree", held().alias("held")), "near-nodes")
+    sketches = settle(classes.select("cid", "n", "sketch").join(seats, "cid", "left"), "near-sketches")
     blocks = F.expr(f"cast(ceil(size / {NODE_ROWS}) as long)")
     dealt = large.select("node", "cid", "tree", F.pmod(F.xxhash64("node", "cid"), blocks).alias("block"), blocks.alias("blocks"))
     lead = large.groupBy("node", "size", "tree").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("cid", "node"), F.greatest(F.lit(1), (F.col("size") / (4 * LEADERS)).cast("long"))) == 0, F.col("cid")))), 1, LEADERS).alias("leaders"))
     led = lead.select("node", "tree", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "leaders").select("node", "tree", "block", F.explode("leaders").alias("cid"))
     in_blocks = dealt.select("node", "tree", "block", "cid").unionByName(led).distinct().select(F.xxhash64("node", "block").alias("unit"), "cid", "tree")
     units = small.select(F.col("node").alias("unit"), "cid", "tree").unionByName(in_blocks)
-    positive = lambda c: F.col(c).bitwiseAND(F.lit((1 << 62) - 1))
-    seats = large.filter(F.col("tree") < ROOT_TREES).groupBy("cid").agg(*[F.max(F.when(F.col("tree") == k, F.col("node"))).alias(x) for k, x in enumerate(SEATS)])
-    # The first dense root of an earlier tree stands for the component that it is taken to make; where it does not, what is still apart is tried below.
-    held = F.coalesce(*[F.when(F.col("tree") > k, positive(x)) for k, x in enumerate(SEATS)], F.lit(-1).cast("long"))
     zero = F.lit(0).cast("long")
-    rows = units.join(classes.select("cid", "n", "sketch").join(seats, "cid", "left"), "cid").select(
-        "unit", "cid", F.lit(0).alias("side"), held.alias("place"), F.lit(0).alias("tree"), *[zero.alias(x) for x in SEATS], "n", "sketch")
+    rows = units.join(sketches, "cid").select(
+        "unit", "cid", F.lit(0).alias("side"), held().alias("place"), F.lit(0).alias("tree"), *[zero.alias(x) for x in SEATS], "n", "sketch")
     tried = settle(_solved(rows, threshold, forest=True), "near-forest")
     texts = texts_of(ends(tried), "near-texts")
 
@@ -372,25 +410,16 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     placed = settle(classes.select("cid").join(label, "cid", "left").select("cid", F.coalesce("label", "cid").alias("place")), "near-places")
 
     def apart(placed: DataFrame) -> DataFrame:
-        """Units (unit, cid, side, place, tree, *SEATS) in which all classes of a node meet that are not in one component."""
+        """Units (unit, cid, side, place, tree) in which all classes of a node meet that are not in one component."""
         place = positive("place").alias("place")
         again = small.select(F.col("node").alias("unit"), "cid", F.lit(0).alias("side")).join(placed, "cid").select("unit", "cid", "side", place, F.lit(ROOT_TREES).alias("tree"))
         mixed = again.groupBy("unit").agg((F.min("place") < F.max("place")).alias("apart")).filter("apart").select("unit")
         again = again.join(mixed, "unit", "left_semi")
-        at_large = large.join(placed, "cid").select("node", "cid", "size", "tree", place)
-        biggest = at_large.groupBy("node", "place").count().groupBy("node").agg(F.max_by("place", F.struct("count", "place")).alias("main"))
-        out_in = settle(at_large.join(biggest, "node").withColumn("out", F.col("place") != F.col("main")), "near-outside")
-        outside = out_in.filter("out").groupBy("node").agg(F.expr(f"cast(ceil(count(*) / {NODE_ROWS}) as long)").alias("chunks"))
-        outs = out_in.filter("out").join(outside, "node").withColumn("chunk", F.pmod(F.xxhash64("cid", F.lit(3)), F.col("chunks"))).withColumn(
-            "block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select("node", "chunk", "block", "cid", "place", "tree", F.lit(1).alias("side"))
-        ins = out_in.join(outside, "node").withColumn("block", F.pmod(F.xxhash64("node", "cid"), blocks)).withColumn(
-            "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("node", "chunk", "block", "cid", "place", "tree", F.when(F.col("out"), 3).otherwise(2).alias("side"))
-        crossing = outs.unionByName(ins).select(F.xxhash64("node", "chunk", "block", F.lit(1)).alias("unit"), "cid", "side", "place", "tree")
-        return again.unionByName(crossing).join(seats, "cid", "left").select("unit", "cid", "side", "place", "tree", *[F.coalesce(x, F.lit(0).cast("long")).alias(x) for x in SEATS])
+        return again.unionByName(crossing(large, placed))
 
     # What is apart is joined by a unit's best links first; then every pair that may be similar and is apart even so is confirmed.
     for forest, purpose in ((True, "near-across"), (False, "near-more")):
-        more = settle(candidates(apart(placed), classes, threshold, forest).join(tried, ["a", "b"], "left_anti"), purpose)
+        more = settle(candidates(apart(placed), sketches, threshold, forest).join(tried, ["a", "b"], "left_anti"), purpose)
         unread = ends(more).join(texts, "cid", "left_anti")
         if not unread.isEmpty():  # met only in a large node
             texts = texts.unionByName(texts_of(unread, "near-texts"))
