@@ -15,6 +15,7 @@ at most); text leaves as soon as it is complete, malformed bytes become U+FFFD.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import struct
 from collections.abc import Iterable, Iterator
@@ -27,10 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, packed, unpacked
+from .common import KEPT, col, packed, unpacked
 
-MAX_ARCS = 800_000
-MAX_PIECES = 400_000
+MAX_ARCS = 690_000  # each memory stays below the size at which its dict doubles
+MAX_PIECES = 170_000
 NEVER = 1 << 60
 TOKEN_BITS = 24  # more tokens than any vocabulary has
 TOKEN_MASK = (1 << TOKEN_BITS) - 1
@@ -342,24 +343,22 @@ class Decoder:
             return pa.array([self.decode(values[a:b].tolist()) for a, b in zip(ends, ends[1:])], pa.string())
 
 
-_made: dict[tuple, object] = {}
-
-
 def _once(kind, shared, *rest):
-    """One encoder or decoder per Python worker and vocabulary."""
-    key = (kind.__name__, shared.id, *rest)
-    if key not in _made:
-        _made.clear() if len(_made) > 4 else None
-        _made[key] = kind(shared.value, *rest)
-    return _made[key]
+    """One encoder and one decoder per Python worker. Runs with the same vocabulary share them; those of another vocabulary go before new ones come."""
+    key = (shared.id, *rest)
+    if KEPT.get(kind.__name__, (None,))[0] != key:
+        for name in [name for name, (known, _) in KEPT.items() if name == kind.__name__ or known[0] != shared.id]:
+            del KEPT[name]
+        KEPT[kind.__name__] = key, kind(shared.value, *rest)
+    return KEPT[kind.__name__][1]
 
 
 class Shared:
-    """A broadcast with an id that workers can keep results by."""
+    """A broadcast of a vocabulary with an id of its content, so that workers can keep what they made of it from run to run."""
 
-    def __init__(self, spark: SparkSession, value):
+    def __init__(self, spark: SparkSession, value: dict[bytes, int]):
         self.broadcast = spark.sparkContext.broadcast(value)
-        self.id = id(value)
+        self.id = hashlib.sha256(repr(sorted(value.items())).encode()).hexdigest()
 
     @property
     def value(self):

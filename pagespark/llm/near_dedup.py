@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, row_key, settle
+from .common import col, forget, row_key, settle
 
 TREES = 12
 TOKENS = 512
@@ -81,6 +81,7 @@ def minwise(found: np.ndarray) -> np.ndarray:
 
 def _signatures(words: int):
     def run(batches):
+        forget()
         for batch in batches:
             n, cids, sketches, letters, keys = [], [], [], [], []
             for value in batch.column("text"):
