@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, packed, settle, unpacked
+from .common import col, forget, packed, settle, unpacked
 
 TRAIN_DOCS = 24_000
 MAX_WORDS = 20_000
@@ -142,6 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches):
+        forget()
         m = shared.value
         for batch in batches:
             weigh = Weigher(m.weights)
@@ -202,6 +203,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("p_value", pa.float64())]))
 
     def run(batches):
+        forget()
         m = shared.value
         weigh = Weigher(m.weights)
         for batch in batches:
