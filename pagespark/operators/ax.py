@@ -67,42 +67,45 @@ def ax_from_dom(dom: DataFrame) -> DataFrame:
                     | F.coalesce(attr(n, "aria-hidden") == "true", F.lit(False)) | attr(n, "hidden").isNotNull())
 
     def marked(x: Column) -> Column:
-        # Only what needs the whole page is taken inside the array; the rest runs on plain columns below.
+        # Only what needs the whole page is taken inside the array; the rest runs on single nodes below.
         return F.transform(nodes, lambda n, i: F.struct(
             n.alias("n"),
             F.when(n["ord"] == 0, title_col_text(nodes)).when(may_be_named_by_content(n), text_of(nodes, n)).alias("said"),
             label_in(nodes, x["labels"], n).alias("label"),
             F.get(x["gone"], i).alias("gone")))
 
+    def shown(m: Column, role: Column) -> Column:
+        n = m["n"]
+        text, root = n["kind"] == "text", n["ord"] == 0
+        name = F.when(text, F.trim(F.regexp_replace(n["text"], "\\s+", " "))).when(root, m["said"]).otherwise(
+            name_from(n, role, m["label"], m["said"]))
+        checked = F.when(role.isin("checkbox", "radio", "switch"), F.coalesce(
+            attr(n, "aria-checked"), F.when(attr(n, "checked").isNotNull(), "true").otherwise("false")))
+        level = F.when(n["tag"].rlike("^h[1-6]$"), F.substring(n["tag"], 2, 1))
+        valued = (n["tag"] == "input") & role.isin("textbox", "searchbox", "spinbutton", "slider")
+        props = _p(
+            value=F.when(valued & (F.length(attr(n, "value")) > 0), json_string(attr(n, "value"))),
+            disabled=F.when(attr(n, "disabled").isNotNull(), True),
+            required=F.when(attr(n, "required").isNotNull(), True),
+            readonly=F.when(attr(n, "readonly").isNotNull(), True),
+            expanded=F.when(attr(n, "aria-expanded").isin("true", "false"), attr(n, "aria-expanded") == "true"),
+            checked=checked,
+            pressed=attr(n, "aria-pressed"),
+            level=F.coalesce(attr(n, "aria-level"), level).try_cast("double"),
+        )
+        shown_role = F.when(text, "StaticText").when(root, "RootWebArea").otherwise(role)
+        return F.struct(shown_role.alias("role"), name.alias("name"), props.alias("p"))
+
     known = F.struct(hidden.alias("gone"), labels_of(nodes).alias("labels"))
-    seen = dom.select(F.col("page_id").alias("snapshot_id"), F.explode(let(known, marked)).alias("m")).select(
-        "snapshot_id", "m.*")
-    n = F.col("n")
+    seen = dom.select(F.col("page_id").alias("snapshot_id"), F.explode(let(known, marked)).alias("m"))
+    n = F.col("m.n")
     blank = (n["kind"] == "comment") | ((n["kind"] == "text") & ~n["text"].rlike("\\S"))
-    roled = seen.withColumn("_role", F.when(n["kind"] == "element", role_of(n)))
-    role, text, root = F.col("_role"), n["kind"] == "text", n["ord"] == 0
-    name = F.when(text, F.trim(F.regexp_replace(n["text"], "\\s+", " "))).when(root, F.col("said")).otherwise(
-        name_from(n, role, F.col("label"), F.col("said")))
-    checked = F.when(role.isin("checkbox", "radio", "switch"), F.coalesce(
-        attr(n, "aria-checked"), F.when(attr(n, "checked").isNotNull(), "true").otherwise("false")))
-    level = F.when(n["tag"].rlike("^h[1-6]$"), F.substring(n["tag"], 2, 1))
-    valued = (n["tag"] == "input") & role.isin("textbox", "searchbox", "spinbutton", "slider")
-    props = _p(
-        value=F.when(valued & (F.length(attr(n, "value")) > 0), json_string(attr(n, "value"))),
-        disabled=F.when(attr(n, "disabled").isNotNull(), True),
-        required=F.when(attr(n, "required").isNotNull(), True),
-        readonly=F.when(attr(n, "readonly").isNotNull(), True),
-        expanded=F.when(attr(n, "aria-expanded").isin("true", "false"), attr(n, "aria-expanded") == "true"),
-        checked=checked,
-        pressed=attr(n, "aria-pressed"),
-        level=F.coalesce(attr(n, "aria-level"), level).try_cast("double"),
-    )
-    shown_role = F.when(text, "StaticText").when(root, "RootWebArea").otherwise(role)
-    rows = roled.select(
-        "snapshot_id", n["ord"].alias("ord"), n["parent"].alias("parent_ord"), n["depth"].alias("depth"),
-        n["last"].alias("last"), shown_role.alias("role"), name.alias("name"),
-        props.alias("p"), shown_role.isNull().alias("ignored"), (F.col("gone") | blank).alias("_out"))
-    return rows.filter(~F.col("_out")).drop("_out")
+    # Bound by ``let``, so that the code made for a node stays short: the JVM compiles no method of more than 8000 bytes.
+    told = let(F.col("m"), lambda m: let(F.when(m["n"]["kind"] == "element", role_of(m["n"])), lambda role: shown(m, role)))
+    rows = seen.filter(~(F.col("m.gone") | blank)).select("snapshot_id", n.alias("n"), told.alias("t")).select(
+        "snapshot_id", F.col("n.ord").alias("ord"), F.col("n.parent").alias("parent_ord"), F.col("n.depth").alias("depth"),
+        F.col("n.last").alias("last"), "t.role", "t.name", "t.p", F.col("t.role").isNull().alias("ignored"))
+    return rows
 
 
 RAW = (
